@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from .line_dedup import OP10_SQL, op10_site_line_dedup
 from .quality_rules import OP4_SQL, op4_host_rules
+from .secrets import op2_secret_randomness
 from .sharding import op9_hypergeometric_shards
+from .simhash import op3_simhash_gray
 
-QUERIES = {f.__name__: f for f in (op4_host_rules, op9_hypergeometric_shards, op10_site_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_secret_randomness, op3_simhash_gray, op4_host_rules, op9_hypergeometric_shards, op10_site_line_dedup)
+}
 
 ORACLE_SQL = {"op4_host_rules": OP4_SQL, "op10_site_line_dedup": OP10_SQL}
