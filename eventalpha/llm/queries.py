@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import OP10_SQL, op10_site_line_dedup
+from .phrase_dedup import op8_phrase_automata
 from .quality_rules import OP4_SQL, op4_host_rules
 from .secrets import op2_secret_randomness
 from .sharding import op9_hypergeometric_shards
@@ -10,7 +11,7 @@ from .simhash import op3_simhash_gray
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_secret_randomness, op3_simhash_gray, op4_host_rules, op9_hypergeometric_shards, op10_site_line_dedup)
+    for f in (op2_secret_randomness, op3_simhash_gray, op4_host_rules, op8_phrase_automata, op9_hypergeometric_shards, op10_site_line_dedup)
 }
 
 ORACLE_SQL = {"op4_host_rules": OP4_SQL, "op10_site_line_dedup": OP10_SQL}
