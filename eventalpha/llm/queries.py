@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_bm25_wand
 from .line_dedup import OP10_SQL, op10_site_line_dedup
 from .phrase_dedup import op8_phrase_automata
 from .quality_rules import OP4_SQL, op4_host_rules
@@ -11,7 +12,7 @@ from .simhash import op3_simhash_gray
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_secret_randomness, op3_simhash_gray, op4_host_rules, op8_phrase_automata, op9_hypergeometric_shards, op10_site_line_dedup)
+    for f in (op2_secret_randomness, op3_simhash_gray, op4_host_rules, op5_bm25_wand, op8_phrase_automata, op9_hypergeometric_shards, op10_site_line_dedup)
 }
 
 ORACLE_SQL = {"op4_host_rules": OP4_SQL, "op10_site_line_dedup": OP10_SQL}
