@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import op7_budgeted_windows
 from .decontamination import op5_bm25_wand
 from .line_dedup import OP10_SQL, op10_site_line_dedup
 from .phrase_dedup import op8_phrase_automata
@@ -13,7 +14,7 @@ from .simhash import op3_simhash_gray
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_rule_ensemble, op2_secret_randomness, op3_simhash_gray, op4_host_rules, op5_bm25_wand, op8_phrase_automata, op9_hypergeometric_shards, op10_site_line_dedup)
+    for f in (op1_rule_ensemble, op2_secret_randomness, op3_simhash_gray, op4_host_rules, op5_bm25_wand, op7_budgeted_windows, op8_phrase_automata, op9_hypergeometric_shards, op10_site_line_dedup)
 }
 
 ORACLE_SQL = {"op4_host_rules": OP4_SQL, "op10_site_line_dedup": OP10_SQL}
