@@ -11,10 +11,11 @@ from .quality_rules import OP4_SQL, op4_host_rules
 from .secrets import op2_secret_randomness
 from .sharding import op9_hypergeometric_shards
 from .simhash import op3_simhash_gray
+from .subword_sampling import op6_gumbel_lattice
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_rule_ensemble, op2_secret_randomness, op3_simhash_gray, op4_host_rules, op5_bm25_wand, op7_budgeted_windows, op8_phrase_automata, op9_hypergeometric_shards, op10_site_line_dedup)
+    for f in (op1_rule_ensemble, op2_secret_randomness, op3_simhash_gray, op4_host_rules, op5_bm25_wand, op6_gumbel_lattice, op7_budgeted_windows, op8_phrase_automata, op9_hypergeometric_shards, op10_site_line_dedup)
 }
 
 ORACLE_SQL = {"op4_host_rules": OP4_SQL, "op10_site_line_dedup": OP10_SQL}
