@@ -5,18 +5,20 @@ with a smaller id. No pass compares documents with each other:
 
 1. Anchors. Of the ``GRAM``-word sequences in a window the one with the least hash is its anchor;
    equal windows have equal anchors, and neighbours mostly share one, so a text of n words sends
-   about n / 3.5 short rows (hash, document, place) instead of n.
+   about n / 5 short rows (hash, document) instead of n.
 2. Sorted by hash, a run with one document is dropped; the rest are recurring anchors.
-3. Documents with recurring anchors (by a join on doc_id) send, for each, the words of the windows
-   that it stands for to the anchor's shard.
-4. A shard takes its sorted rows in blocks. It confirms the phrases that two documents hold in
-   full, compiles them into an automaton with each phrase's first document, and streams the block's
-   texts through it; every hit in a later document is an occurrence to remove. Hashes only route:
-   what is removed was matched as text.
-5. The places go back to their documents by doc_id, and the covered words are cut out.
+3. Documents with recurring anchors (by a join on doc_id) send, for each, the passage (the words of
+   the windows that it stands for) to the anchor's shard.
+4. A shard takes its sorted rows in blocks. It confirms what recurs (the whole passage, where all
+   documents have the same one, else the single windows that two documents hold), compiles that into
+   an automaton with each phrase's first document, and streams every distinct passage of the block
+   through it; a hit is an occurrence to remove in all later documents with that passage. Hashes
+   only route: what is removed was matched as text.
+5. The places go back to their documents by doc_id (the same exchange of texts as in step 3), and
+   the covered words are cut out.
 
 Memory: a task holds a block of rows and its automaton, or for one endless run of a single anchor
-the distinct phrases of that run (copies of one passage are one phrase); the rows themselves stream.
+the distinct passages of that run (copies of one passage are one); the rows themselves stream.
 
 Defined cases: a null text has no words; rows with a null doc_id are passed over (nothing is removed
 from them and they are no source); rows that repeat a doc_id are one document and must have equal
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of, words_of
+from .common import table, text_of, words_of
 
-WINDOW, GRAM = 13, 8
+WINDOW, GRAM = 13, 5
 CHUNK = 1 << 20  # bytes of text hashed at once; a longer text is a chunk of its own
-BLOCK = 4096  # rows for one automaton
+BLOCK = 8192  # rows for one automaton
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -111,25 +113,22 @@ def _anchored(parts: list[bytes], counts: list[int]):
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, ids, parts, counts in _chunks(batch):
-            _, anchor, h, owner, _, _, _, first = _anchored(parts, counts)
+            _, anchor, h, owner, _, _, _, _ = _anchored(parts, counts)
             new = np.r_[True, anchor[1:] != anchor[:-1]]
-            anchor, h, owner = anchor[new], h[new], owner[new]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(np.array(ids, np.int64)[owner]), pa.array((anchor - first[owner]).astype(np.int32))],
-                names=["h", "doc_id", "pos"],
-            )
+            h, doc = h[new], np.array(ids, np.int64)[owner[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc)], names=["h", "doc_id"])
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, pos) in order of h and doc_id: those whose h has two documents at least."""
+    """Rows (h, doc_id) in that order: those whose h has two documents at least."""
     held: list[np.ndarray] | None = None
     going_on = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, pos = (c.to_numpy() for c in batch.columns)
+        h, doc = (c.to_numpy() for c in batch.columns)
         if held is not None:
-            h, doc, pos = (np.concatenate(x) for x in zip(held, (h, doc, pos)))
+            h, doc = (np.concatenate(x) for x in zip(held, (h, doc)))
             held = None
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         ends = np.r_[starts[1:], len(h)]
@@ -138,18 +137,19 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             recurs[0] = True
         going_on = h[-1] if recurs[-1] else None
         if not recurs[-1]:
-            held = [x[starts[-1] :] for x in (h, doc, pos)]
+            held = [x[starts[-1] :] for x in (h, doc)]
         keep = np.repeat(recurs, ends - starts)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["doc_id", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep])], names=["h", "doc_id"])
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc_id, text, anchors): for each recurring anchor the words of the windows it stands for."""
     for batch in batches:
+        wanted_of = batch.column(2)
         for rows, ids, parts, counts in _chunks(batch):
             window, anchor, h, owner, joined, starts, ends, first = _anchored(parts, counts)
-            wanted = [np.asarray(batch.column(2)[r].values) + first[i] for i, r in enumerate(rows)]
-            keep = np.isin(anchor, np.concatenate(wanted))
+            # An anchor that recurs for another text of the chunk only brings candidates for nothing.
+            keep = np.isin(h, np.concatenate([np.asarray(wanted_of[r].values) for r in rows]))
             window, anchor, h, owner = window[keep], anchor[keep], h[keep], owner[keep]
             if not len(window):
                 continue
@@ -163,51 +163,89 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def locate(rows: list[tuple[int, int, str]], first: dict[str, int]) -> list[tuple[int, int, int]]:
-    """rows: (doc, first word, passage) with the documents of each phrase in ascending order; first:
-    phrase -> its first document, kept up to date. Returns ranges (doc, first window, windows)."""
+class Run:
+    """The rows of one anchor: passages, where each stands, and what is known from earlier rows."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, list[tuple[int, int]]] = {}  # of the present block, documents ascending
+        self.first: dict[str, int] = {}  # passage -> its first document
+        self.windows: dict[str, tuple[int, bool]] = {}  # window -> first document, has it another
+
+    def confirmed(self) -> Iterator[tuple[str, int, int]]:
+        """(phrase, windows in it, first document) of what more than one document holds."""
+        fresh = [p for p in self.places if p not in self.first]
+        whole = not self.windows and len(self.first) + len(fresh) == 1
+        known = [] if whole or self.windows else list(self.first)
+        for p in fresh:
+            self.first[p] = self.places[p][0][0]
+        if whole:
+            (passage, source), = self.first.items()
+            if self.places[passage][-1][0] > source:
+                yield passage, passage.count(" ") - WINDOW + 2, source
+            return
+        for passage in dict.fromkeys([*known, *self.places]):
+            source = self.first[passage]
+            again = passage in self.places and self.places[passage][-1][0] > source
+            words = passage.split(" ")
+            for j in range(len(words) - WINDOW + 1):
+                phrase = " ".join(words[j : j + WINDOW])
+                if phrase in self.windows:
+                    before, more = self.windows[phrase]
+                    self.windows[phrase] = (min(before, source), more or again or before != source)
+                else:
+                    self.windows[phrase] = (source, again)
+        for passage in self.places:
+            words = passage.split(" ")
+            for j in range(len(words) - WINDOW + 1):
+                phrase = " ".join(words[j : j + WINDOW])
+                source, more = self.windows[phrase]
+                if more:
+                    yield phrase, 1, source
+
+
+def locate(runs: list[Run]) -> list[tuple[int, int, int]]:
+    """Ranges (doc, first window, windows) to remove."""
     import ahocorasick
 
-    confirmed: dict[str, int] = {}
-    for doc, _, passage in rows:
-        words = passage.split(" ")
-        for j in range(len(words) - WINDOW + 1):
-            phrase = " ".join(words[j : j + WINDOW])
-            source = first.setdefault(phrase, doc)
-            if source < doc:
-                confirmed[phrase] = source
-    if not confirmed:
-        return []
     automaton = ahocorasick.Automaton()
-    for phrase, source in confirmed.items():
-        automaton.add_word(f" {phrase} ", (len(phrase) + 1, source))
+    for run in runs:
+        for phrase, n, source in run.confirmed():
+            automaton.add_word(f" {phrase} ", (len(phrase) + 1, n, source))
+    if not len(automaton):
+        return []
     automaton.make_automaton()
     out = []
-    for doc, start, passage in rows:
-        text, begin, size = f" {passage} ", -1, 0
-        for end, (length, source) in automaton.iter(text):
-            if source < doc:
-                word = text.count(" ", 0, end - length)
-                if size and word == begin + size:
-                    size += 1
-                    continue
+    for run in runs:
+        for passage, places in run.places.items():
+            text = f" {passage} "
+            hits = [(text.count(" ", 0, end - length), n, source) for end, (length, n, source) in automaton.iter(text)]
+            if len(hits) == 1:
+                word, n, source = hits[0]
+                out += [(doc, start + word, n) for doc, start in places if doc > source]
+                continue
+            for doc, start in places if hits else ():
+                begin, size = -1, 0
+                for word, n, source in hits:
+                    if source >= doc:
+                        continue
+                    if size and word == begin + size:
+                        size += n
+                        continue
+                    if size:
+                        out.append((doc, start + begin, size))
+                    begin, size = word, n
                 if size:
                     out.append((doc, start + begin, size))
-                begin, size = word, 1
-        if size:
-            out.append((doc, start + begin, size))
     return out
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, doc_id, start, passage) in order of h, doc_id and start."""
-    block: list[tuple[int, int, str]] = []
-    first: dict[str, int] = {}
-    run = None
+    runs: list[Run] = []
+    key, held = None, 0
 
     def flush():
-        found = locate(block, first)
-        block.clear()
+        found = locate(runs)
         cols = list(zip(*found)) or [(), (), ()]
         return pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())],
@@ -216,80 +254,79 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for h, doc, start, passage in zip(*(c.to_pylist() for c in batch.columns)):
-            if h != run:
-                if len(block) >= BLOCK:
+            if h != key or not runs:
+                if held >= BLOCK:
                     yield flush()
-                if not block:
-                    first = {}
-                run = h
-            elif len(block) >= 4 * BLOCK:
-                yield flush()  # a run of one anchor goes on: its phrases stay known
-            block.append((doc, start, passage))
-    if block:
+                    runs, held = [], 0
+                runs.append(Run())
+                key = h
+            elif held >= 4 * BLOCK:  # a run of one anchor goes on: its passages stay known
+                yield flush()
+                runs, held = runs[-1:], 0
+                runs[0].places = {}
+            places = runs[-1].places
+            if passage in places:
+                places[passage].append((doc, start))
+            else:
+                places[passage] = [(doc, start)]
+            held += 1
+    if runs:
         yield flush()
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, text, ranges): the words that stay."""
     for batch in batches:
         kept_texts, totals, removed = [], [], []
         for text, ranges in zip(batch.column(1), batch.column(2)):
             words = (text.as_py() or "").encode().split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            for r in ranges.as_py():
-                gone[r["start"]] += 1
-                gone[r["start"] + r["n"] + WINDOW - 1] -= 1
-            gone = gone.cumsum()[:-1] > 0
-            kept_texts.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode())
+            n_gone = 0
             totals.append(len(words))
-            removed.append(int(gone.sum()))
+            if ranges.is_valid:
+                gone = np.zeros(len(words) + 1, np.int64)
+                flat = ranges.values
+                at = flat.field("start").to_numpy()
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + flat.field("n").to_numpy() + WINDOW - 1, -1)
+                gone = gone.cumsum()[:-1] > 0
+                n_gone = int(gone.sum())
+                words = [w for w, g in zip(words, gone.tolist()) if not g]
+            kept_texts.append(b" ".join(words).decode())
+            removed.append(n_gone)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(kept_texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
             names=["doc_id", "kept", "n_words", "n_removed"],
         )
 
 
-def shortened(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, kept (the words that stay, joined by one space), n_words, n_removed of the documents
-    that lose words."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    anchors = docs.mapInArrow(_anchor_rows, "h long, doc_id long, pos int")
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, kept (the words that stay, joined by one space), n_words, n_removed of every row."""
+    every = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # The same filter stands before both joins, so that they share one exchange of the texts.
+    docs = every.filter(F.col("doc_id").isNotNull())
     places = (
-        anchors.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_recurring, "doc_id long, pos int")
-        .groupBy("doc_id").agg(F.collect_set("pos").alias("anchors"))
+        docs.mapInArrow(_anchor_rows, "h long, doc_id long")
+        .repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_recurring, "h long, doc_id long")
+        .groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
     )
-    affected = cut(docs.join(places, "doc_id").dropDuplicates(["doc_id"]), "recurring-documents")
     ranges = (
-        affected.mapInArrow(_passages, "h long, doc_id long, start int, passage string")
+        docs.join(places, "doc_id").select("doc_id", "text", "anchors")
+        .mapInArrow(_passages, "h long, doc_id long, start int, passage string")
         .repartition("h").sortWithinPartitions("h", "doc_id", "start")
         .mapInArrow(_occurrences, "doc_id long, start int, n int")
         .groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     )
-    return affected.select("doc_id", "text").join(ranges, "doc_id").mapInArrow(
+    cut_down = docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(
         _cut_out, "doc_id long, kept string, n_words long, n_removed long"
     )
-
-
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``text`` reduced to the words that stay, joined by one space, plus n_words and
-    n_removed."""
-    found = shortened(df, key, text).select(F.col("doc_id").alias(key), F.col("kept").alias("_pd_kept"), "n_removed")
-    words = words_of(text_of(text))
-    return (
-        df.withColumn("n_words", F.size(words).cast("long"))
-        .join(found, key, "left")
-        .withColumn(text, F.coalesce("_pd_kept", F.array_join(words, " ")))
-        .withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
-        .drop("_pd_kept")
+    words = words_of(text_of())
+    nameless = every.filter(F.col("doc_id").isNull()).select(
+        "doc_id", F.array_join(words, " ").alias("kept"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")
     )
+    return cut_down.unionByName(nameless)
 
 
 def op8_phrase_automata(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut_down = shortened(docs).select("doc_id", F.sha2("kept", 256).alias("cut_sha256"), "n_removed")
-    words = words_of(text_of())
-    # Digests before the join: no text of an unaffected document is shuffled.
-    whole = docs.select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("whole_sha256"))
-    return whole.join(cut_down, "doc_id", "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"),
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
