@@ -164,4 +164,4 @@ def carriers_sql(names: list[str]) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ", ".join(f"{n} AS ({CARRIERS[n][0]})" for n in order) + " " if order else ""
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CARRIERS[n][0]})" for n in order) + " " if order else ""
