@@ -6,13 +6,16 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
-    cdf = NormalDist().cdf
-    return z.map(lambda x: None if x is None or math.isnan(x) else cdf(x))
+def normal_cdf(z: Column | str) -> Column:
+    def of(x: pd.Series) -> pd.Series:
+        cdf = NormalDist().cdf
+        return x.map(lambda v: None if v is None or math.isnan(v) else cdf(v))
+
+    return pandas_udf(of, "double")(z)
 
 
 def t_two_sided(t: float, df: int) -> float:

@@ -173,10 +173,10 @@ def turnover_shrink(spark, d):
     return rounded8(PO.turnover_shrink(pairs, ["date"], 0.05).select("date", "ticker", "weight")).filter("weight <> 0")
 
 
-@query("""SELECT date, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (weight > 0) AS BIGINT) AS n_long, CAST(count(*) FILTER (weight < 0) AS BIGINT) AS n_short, round(coalesce(sum(weight) FILTER (weight > 0), 0), 6) AS long, round(coalesce(sum(weight) FILTER (weight < 0), 0), 6) AS short,
-    round(sum(weight), 6) AS net, round(sum(abs(weight)), 6) AS gross, round(avg(abs(weight)), 6) AS mean_abs FROM weights GROUP BY ROLLUP (date)""", "weights")
+@query("""SELECT date, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (weight > 0) AS BIGINT) AS n_long, CAST(count(*) FILTER (weight < 0) AS BIGINT) AS n_short, round(coalesce(sum(weight) FILTER (weight > 0), 0), 8) AS long, round(coalesce(sum(weight) FILTER (weight < 0), 0), 8) AS short,
+    round(sum(weight), 8) AS net, round(sum(abs(weight)), 8) AS gross, round(avg(abs(weight)), 8) AS mean_abs FROM weights GROUP BY ROLLUP (date)""", "weights")
 def portfolio_stats(spark, d):
-    return rounded(PO.portfolio_stats(weights(spark, d)))
+    return rounded8(PO.portfolio_stats(weights(spark, d)))
 
 
 @query(f""", k AS (SELECT event_id, date, raw_score * event_confidence * 0.25 AS weight FROM scored WHERE abs(raw_score) >= 0.3) SELECT event_id, date, round(weight, 8) AS weight FROM ({_scaled('k', 'date', '1', 'event_id, date')})""", "scored")
@@ -280,9 +280,9 @@ def legs(spark, d):
     return B.trade_legs(asof, 100000.0)
 
 
-@query(f", {_LEG} SELECT date, ticker, CAST(shares AS BIGINT) AS shares, round(shares * close, 4) AS value FROM legs WHERE shares <> 0", "weights prices")
+@query(f", {_LEG} SELECT date, ticker, CAST(shares AS BIGINT) AS shares, round(shares * close, 6) AS value FROM legs WHERE shares <> 0", "weights prices")
 def trade_legs(spark, d):
-    return rounded(legs(spark, d).select("date", "ticker", "shares", "value"), 4)
+    return rounded(legs(spark, d).select("date", "ticker", "shares", "value"), 6)
 
 
 @query(f""", {_POS}, pv AS (SELECT *, CASE WHEN date_diff('day', DATE '2020-01-01', entry) % 2 = 0 THEN -1000 ELSE 1000 END AS value FROM pos WHERE exit IS NOT NULL)
