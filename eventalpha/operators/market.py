@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
+
+def by_ticker():
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def wide_to_long(wide: DataFrame, keys: list[str], tickers: list[str]) -> DataFrame:
@@ -16,13 +18,13 @@ def wide_to_long(wide: DataFrame, keys: list[str], tickers: list[str]) -> DataFr
 
 def simple_returns(prices: DataFrame) -> DataFrame:
     """``prices`` plus ret, log_ret (against the ticker's row before)."""
-    before = F.lag("close").over(BY_TICKER)
+    before = F.lag("close").over(by_ticker())
     return prices.withColumn("ret", F.col("close") / before - 1).withColumn("log_ret", F.ln(F.col("close") / before))
 
 
 def forward_return(prices: DataFrame, horizon: int, name: str = "forward_ret") -> DataFrame:
     """``prices`` plus the return over the next ``horizon`` rows of the ticker."""
-    return prices.withColumn(name, F.lead("close", horizon).over(BY_TICKER) / F.col("close") - 1)
+    return prices.withColumn(name, F.lead("close", horizon).over(by_ticker()) / F.col("close") - 1)
 
 
 def price_asof(requests: DataFrame, prices: DataFrame, value: str = "close") -> DataFrame:
@@ -40,7 +42,7 @@ def price_asof(requests: DataFrame, prices: DataFrame, value: str = "close") ->
 
 def realized_vol(prices: DataFrame, lookback: int = 20, least: int = 5, default: float = 0.02) -> DataFrame:
     """``prices`` plus vol: deviation of the log returns among the last ``lookback`` rows before."""
-    w = BY_TICKER.rowsBetween(-(lookback - 1), -1)
+    w = by_ticker().rowsBetween(-(lookback - 1), -1)
     r = simple_returns(prices)
     vol = F.stddev_samp("log_ret").over(w)
     enough = (F.count("log_ret").over(w) >= least) & (vol > 0)
@@ -55,7 +57,7 @@ def slippage(costs: DataFrame, base: float = 0.0005, impact: float = 0.1, cap: f
 
 def with_adv(prices: DataFrame, window: int = 20) -> DataFrame:
     """``prices`` plus adv_value: mean of close x volume over the last ``window`` rows."""
-    return prices.withColumn("adv_value", F.avg(F.col("close") * F.col("volume")).over(BY_TICKER.rowsBetween(-(window - 1), 0)))
+    return prices.withColumn("adv_value", F.avg(F.col("close") * F.col("volume")).over(by_ticker().rowsBetween(-(window - 1), 0)))
 
 
 def return_correlations(returns: DataFrame, least: int = 20) -> DataFrame:

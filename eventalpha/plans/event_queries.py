@@ -13,8 +13,6 @@ from eventalpha.operators import quality as Q
 from eventalpha.operators import words as W
 from eventalpha.plans.base import events, filings, posts, posts_text, prices, query, scored, sectors, signals, table, ticker, universe, weights
 
-I = F.col("post_id")
-
 
 # --- fusion ---
 
@@ -23,8 +21,8 @@ I = F.col("post_id")
     0 AS esg_relevance, 'general' AS esg_category, CASE WHEN post_id % 5 = 0 THEN 0.5 ELSE quality END AS quality_score FROM posts""", "posts")
 def posts_conform(spark, d):
     raw = posts(spark, d).select(
-        F.col("ts").alias("timestamp"), F.col("source").alias("text"), F.when(I % 3 == 0, "n/a").otherwise(F.col("followers").cast("string")).alias("user_followers"), "likes", "ticker",
-        F.when(I % 4 == 0, "").otherwise(F.col("sentiment").cast("string")).alias("sentiment"), F.when(I % 5 != 0, F.col("quality")).alias("quality_score"), F.lit(1).alias("surplus"))
+        F.col("ts").alias("timestamp"), F.col("source").alias("text"), F.when(F.col("post_id") % 3 == 0, "n/a").otherwise(F.col("followers").cast("string")).alias("user_followers"), "likes", "ticker",
+        F.when(F.col("post_id") % 4 == 0, "").otherwise(F.col("sentiment").cast("string")).alias("sentiment"), F.when(F.col("post_id") % 5 != 0, F.col("quality")).alias("quality_score"), F.lit(1).alias("surplus"))
     return P.conform(raw)
 
 
@@ -33,8 +31,8 @@ _THREE = """u AS (SELECT post_id, ticker, ts, sentiment, CASE post_id % 3 WHEN 0
 
 
 def three(spark, d):
-    p = posts(spark, d).select("post_id", "ticker", "ts", "sentiment", "quality", F.concat(F.upper("source"), F.lit(" "), (I % 97).cast("string")).alias("text"))
-    return P.union({k: p.filter(I % 3 == i) for i, k in enumerate("abc")})
+    p = posts(spark, d).select("post_id", "ticker", "ts", "sentiment", "quality", F.concat(F.upper("source"), F.lit(" "), (F.col("post_id") % 97).cast("string")).alias("text"))
+    return P.union({k: p.filter(F.col("post_id") % 3 == i) for i, k in enumerate("abc")})
 
 
 @query(f", {_THREE} SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(post_id) AS BIGINT) AS ids FROM u GROUP BY source", "posts")
@@ -44,12 +42,12 @@ def posts_union(spark, d):
 
 @query(f", {_THREE} SELECT post_id, source, text FROM u QUALIFY row_number() OVER (PARTITION BY trim(lower(left(text, 100))) ORDER BY source, ts, post_id) = 1", "posts")
 def posts_dedup(spark, d):
-    return P.dedup_text(three(spark, d), [F.col("source"), F.col("ts"), I]).select("post_id", "source", "text")
+    return P.dedup_text(three(spark, d), [F.col("source"), F.col("ts"), F.col("post_id")]).select("post_id", "source", "text")
 
 
 @query("SELECT ticker, post_id, quality FROM posts QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY quality DESC, post_id) <= 20", "posts")
 def posts_topn(spark, d):
-    return P.top_n(posts(spark, d), ["ticker"], [F.desc("quality"), I], 20).select("ticker", "post_id", "quality")
+    return P.top_n(posts(spark, d), ["ticker"], [F.desc("quality"), F.col("post_id")], 20).select("ticker", "post_id", "quality")
 
 
 @query("SELECT ticker, CAST(ts AS DATE) AS day, CAST(count(DISTINCT source) AS BIGINT) AS n_sources FROM posts GROUP BY ALL HAVING count(DISTINCT source) >= 3", "posts")
@@ -65,14 +63,14 @@ def source_agreement(spark, d):
 
 @query("SELECT min(post_id) AS post_id, concat('https://x/', CAST(post_id % 700 AS VARCHAR)) AS url FROM posts GROUP BY url", "posts")
 def posts_dedup_id(spark, d):
-    p = posts(spark, d).withColumn("url", F.concat(F.lit("https://x/"), (I % 700).cast("string")))
-    return P.first_of(p, [F.col("url")], [I]).select("post_id", "url")
+    p = posts(spark, d).withColumn("url", F.concat(F.lit("https://x/"), (F.col("post_id") % 700).cast("string")))
+    return P.first_of(p, [F.col("url")], [F.col("post_id")]).select("post_id", "url")
 
 
 @query("""SELECT post_id, CASE WHEN post_id % 4 = 0 THEN CASE WHEN post_id % 8 = 0 THEN 0 ELSE quality END ELSE sentiment END AS sentiment FROM posts""", "posts")
 def fill_sentiment(spark, d):
-    given = F.when(I % 4 == 0, "none").otherwise(F.col("sentiment").cast("string"))
-    return posts(spark, d).select("post_id", FE.fill_sentiment(given, F.when(I % 8 != 0, F.col("quality"))).alias("sentiment"))
+    given = F.when(F.col("post_id") % 4 == 0, "none").otherwise(F.col("sentiment").cast("string"))
+    return posts(spark, d).select("post_id", FE.fill_sentiment(given, F.when(F.col("post_id") % 8 != 0, F.col("quality"))).alias("sentiment"))
 
 
 # --- quality ---
@@ -117,7 +115,7 @@ def signal_enforce(spark, d):
       count(*) / 25 < 0.2 AS halt FROM (SELECT ticker, count(*) AS n, max(date_trunc('second', ts)) AS last FROM posts WHERE source = 'purchase' OR post_id % 100 = 0 GROUP BY ticker)""", "posts")
 def coverage(spark, d):
     expected = spark.range(25).select(ticker(F.col("id")).alias("ticker"))
-    p = posts(spark, d).filter((F.col("source") == "purchase") | (I % 100 == 0)).withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    p = posts(spark, d).filter((F.col("source") == "purchase") | (F.col("post_id") % 100 == 0)).withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
     return Q.coverage(expected, p, "2024-02-01 00:00:00").withColumn("stale_hours", F.round("stale_hours", 4))
 
 
@@ -239,7 +237,7 @@ def sector_lookup(spark, d):
 @query("""SELECT post_id, coalesce(CASE WHEN post_id % 150 < 100 THEN post_id % 150 * 10 END, 0) AS followers FROM posts WHERE source <> 'view'""", "posts")
 def post_authors(spark, d):
     authors = spark.range(100).select(F.col("id").alias("author_id"), (F.col("id") * 10).alias("followers"))
-    p = posts(spark, d).drop("followers").withColumn("author_id", I % 150)
+    p = posts(spark, d).drop("followers").withColumn("author_id", F.col("post_id") % 150)
     return J.posts_with_authors(p, authors, F.col("source") != "view").select("post_id", "followers")
 
 
