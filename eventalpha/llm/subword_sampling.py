@@ -40,10 +40,11 @@ from .common import table
 
 SPACE_MARK, STAND_IN = "▁", "\ud800"  # the second cannot occur in a text
 _UNITS = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
-CHUNK = 1 << 20  # characters segmented at once; a longer text is a chunk of its own
+CHUNK = 1 << 21  # characters segmented at once; a longer text is a chunk of its own
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_ONES = np.uint64(0x0101010101010101)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,6 +53,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mix_int(x: int) -> int:
+    mask = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+    return x ^ x >> 31
+
+
+def _uniform_int(x: int) -> float:
+    return ((x >> 12) + 0.5) / (1 << 52)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1), from 52 bits."""
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
@@ -81,6 +93,7 @@ class Model:
         self.weight[plain] = -np.log(1 - scores[plain]) * theta if ranked else scores[plain] * theta
         self.byte_weight = float(self.weight[plain].min() - 1)
         self.longest = max(len(pieces[i]) for i in plain)
+        self.length = np.array([len(x) for x in pieces], np.int64)
         spelled = [b"" for _ in range(n)]
         for i in range(n):
             if sp.is_byte(i):
@@ -112,18 +125,25 @@ class Model:
                 else:
                     more[k] = i
             self.tables.append((np.uint64(factor), key, val))
+            if not t:  # most strings are no pieces: one look at this map of slots tells
+                self.known = np.zeros(1 << 20, bool)
+                self.known[[(k * factor & (1 << 64) - 1) >> 44 for k in keys]] = True
             left = more
             if not left:
                 return
         raise ValueError("the pieces do not fit the tables")
 
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the strings are pieces, and their ids."""
+        at = np.flatnonzero(self.known[(keys * self.tables[0][0]) >> np.uint64(44)])
+        keys = keys[at]
         out = np.full(len(keys), -1, np.int32)
         for factor, key, val in self.tables:
             slot = (keys * factor) >> np.uint64(64 - self.bits)
             hit = key[slot] == keys
             out[hit] = val[slot[hit]]
-        return out
+        hit = out >= 0
+        return at[hit], out[hit]
 
     def units(self, text: str) -> list[str]:
         """The text's independent stretches, a space mark before its start."""
@@ -143,7 +163,10 @@ class Model:
 
 
 class Lattices:
-    """Forward sums of distinct units, and paths drawn backwards through them."""
+    """Forward sums of distinct units, and paths drawn backwards through them.
+
+    Nodes are numbered by place (0 before the first character), then by unit, longest units first, so
+    that the nodes of one place, and those any number of characters before them, are slices."""
 
     def __init__(self, model: Model, units: list[str]):
         self.model, m = model, model.longest
@@ -153,145 +176,162 @@ class Lattices:
         self.rank = np.empty(len(units), np.int64)
         self.rank[order] = np.arange(len(units))
         joined = np.frombuffer(("\0" + "\0".join(ordered)).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(joined)
-        self.base = np.r_[0, np.cumsum(self.size + 1)[:-1]]
-        self.chars = np.where(joined == 0xD800, 0x2581, joined)
-        self.place = np.arange(n) - np.repeat(self.base, self.size + 1)
+        base = np.r_[0, np.cumsum(self.size + 1)[:-1]]
+        places = int(self.size[0]) + 1 if len(units) else 0
+        live = np.searchsorted(-self.size, -np.arange(places), side="right")
+        self.off = np.r_[0, np.cumsum(live)]
+        n = int(self.off[-1])
+        self.chars = np.zeros(n, np.int64)
         self.ids = np.full((n, m), -1, np.int32)
-        hashed = np.zeros(n, np.uint64)
-        code = joined.astype(np.uint64) + np.uint64(1)
-        for length in range(1, m + 1):
-            hashed = np.r_[np.zeros(1, np.uint64), hashed[:-1]] * _GOLD + code
-            here = np.flatnonzero(self.place >= length)
-            if not len(here):
-                break
-            self.ids[here, length - 1] = model.lookup(hashed[here] * np.uint64(32) + np.uint64(length))
-        self.bytes = 1 + (self.chars >= 0x80) + (self.chars >= 0x800) + (self.chars >= 0x10000)
-        stretch = np.exp(model.scale * np.arange(1, m + 1))
-        scaled = np.r_[np.exp(model.weight), 0.0][self.ids] * stretch
-        self.spelled = (self.place > 0) & (self.ids[:, 0] < 0)  # characters without a piece
-        scaled[self.spelled, 0] = np.exp(self.bytes[self.spelled] * model.byte_weight) * stretch[0]
-        sums, self.total = np.ones(n), np.zeros(n)
-        self.cumulative = np.full((n, m), 2.0, np.float32)
-        offset = np.zeros(len(units))
-        for p in range(1, int(self.size[0]) + 1 if len(units) else 0):
-            live = int(np.searchsorted(-self.size, -p, side="right"))
-            at, w = self.base[:live] + p, min(p, m)
-            parts = sums[at[:, None] - np.arange(1, w + 1)] * scaled[at, :w]
-            whole = parts.sum(axis=1)
-            sums[at] = whole
-            self.total[at] = np.log(whole) + offset[:live] - model.scale * p
-            np.cumsum(parts, axis=1, out=parts)
-            self.cumulative[at, :w] = parts / whole[:, None]
+        self.total = np.zeros(n)
+        self.cumulative = np.full((n, -(-m // 8) * 8), 2.0, np.float32)  # rows of whole 8-byte words as flags
+        chance, stretch = np.exp(model.weight), np.exp(model.scale * np.arange(1, m + 1))
+        sums, offset, hashes = [np.ones(len(units))], np.zeros(len(units)), [np.zeros(len(units), np.uint64)]
+        self.has_spelled = False
+        for p in range(1, places):
+            k, w, at = int(live[p]), min(p, m), int(self.off[p])
+            char = joined[base[:k] + p]
+            code = char.astype(np.uint64) + np.uint64(1)
+            # Of the strings of 1, 2, ... characters that end here: hashes, and which are pieces.
+            hashes = [np.zeros(k, np.uint64)] + [h[:k] * _GOLD + code for h in hashes[:m]]
+            keys = np.concatenate([h * np.uint64(32) + np.uint64(i + 1) for i, h in enumerate(hashes[1 : w + 1])])
+            hit, piece = model.lookup(keys)
+            length, row = hit // k, hit % k
+            self.ids[at + row, length] = piece
+            scaled = np.zeros((w, k))
+            scaled[length, row] = chance[piece] * stretch[length]
+            spelled = np.flatnonzero(self.ids[at : at + k, 0] < 0)
+            char = np.where(char == 0xD800, 0x2581, char)
+            if len(spelled):  # characters without a piece
+                self.has_spelled = True
+                scaled[0, spelled] = np.exp(_width(char[spelled]) * model.byte_weight) * stretch[0]
+            self.chars[at : at + k] = char
+            for i in range(w):
+                scaled[i] *= sums[-1 - i][:k]
+            np.cumsum(scaled, axis=0, out=scaled)
+            whole = scaled[-1].copy()
+            self.total[at : at + k] = np.log(whole) + offset[:k] - model.scale * p
+            self.cumulative[at : at + k, :w] = (scaled / whole).T
+            sums.append(whole)
+            del sums[:-m]
             if p % 32 == 0:  # the last sums are all that later ones use; bring them back to 1
-                for back in range(w):
-                    sums[at - back] /= whole
-                offset[:live] += np.log(whole)
-
-    def step(self, node: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Log of the chance to come to ``node`` by an edge of ``length`` characters."""
-        piece = self.ids[node, length - 1]
-        weight = self.model.weight[piece]
-        if (piece < 0).any():
-            weight = np.where(piece < 0, self.bytes[node] * self.model.byte_weight, weight)
-        return self.total[node - length] + weight - self.total[node]
-
-    def edges(self, node: int) -> dict[int, float]:
-        """Length and chance of the edges into one node."""
-        total, end = self.total, self.total.item(node)
-        if self.spelled[node]:
-            own = {1: math.exp(total.item(node - 1) + self.bytes.item(node) * self.model.byte_weight - end)}
-        else:
-            own = {}
-        weight = self.model.weight
-        for length, piece in enumerate(self.ids[node].tolist(), 1):
-            if piece >= 0:
-                own[length] = math.exp(total.item(node - length) + weight.item(piece) - end)
+                sums = [x[:k] / whole for x in sums]
+                offset[:k] += np.log(whole)
+
+    def edges(self, rank: int, place: int) -> dict[int, tuple[float, int]]:
+        """Length -> chance and piece of the edges into one node."""
+        total, node, weight = self.total, int(self.off[place]) + rank, self.model.weight
+        end, row = total.item(node), self.ids[node]
+        back = lambda length: total.item(int(self.off[place - length]) + rank)
+        own = {}
+        if row[0] < 0:
+            code = self.chars.item(node)
+            own[1] = (math.exp(back(1) + float(_width(np.array(code))) * self.model.byte_weight - end), -1 - code)
+        for i in np.flatnonzero(row >= 0).tolist():
+            own[i + 1] = (math.exp(back(i + 1) + weight.item(row.item(i)) - end), row.item(i))
         return own
 
     def draw(self, units: np.ndarray, keys: np.ndarray):
-        """A path for each unit: nodes and lengths of its edges in order, how many, log-probability."""
-        at = self.rank[units]
-        node, live = self.base[at] + self.size[at], np.arange(len(units))
-        logp, count, steps = np.zeros(len(units)), np.zeros(len(units), np.int64), []
-        turn = 0
+        """A path for each unit: its pieces in order (-1 - code for a character that is spelled in
+        bytes), where each unit's pieces begin, and each unit's log-probability."""
+        rank = self.rank[units]
+        place, live, k, r = self.size[rank], np.arange(len(units)), keys, rank
+        end = self.off[place] + rank
+        count, steps = np.zeros(len(units), np.int64), []
         while len(live):
-            chance = (_uniform(_mix(keys[live] + np.uint64((turn + 1) * int(_GOLD) & (1 << 64) - 1))) * (1 - 2.0**-20)).astype(np.float32)
-            length = (self.cumulative[node] <= chance[:, None]).sum(axis=1) + 1
-            logp[live] += self.step(node, length)
+            # 24 bits of the mixed key times an odd number that differs from step to step
+            bits = (k * np.uint64((2 * len(steps) + 1) * int(_GOLD) & (1 << 64) - 1)) >> np.uint64(40)
+            chance = bits.astype(np.float32) * np.float32(2.0**-24 * (1 - 2.0**-20))
+            node = self.off[place] + r
+            flags = (self.cumulative[node] <= chance[:, None]).view(np.uint64)
+            before = ((flags * _ONES) >> np.uint64(56)).astype(np.int64).sum(axis=1)  # bytes added up
+            piece = self.ids[node, before]
+            if self.has_spelled:
+                piece = np.where(piece < 0, -1 - self.chars[node], piece)
             count[live] += 1
-            steps.append((live, node, length))
-            node = node - length
-            more = self.place[node] > 0
-            node, live = node[more], live[more]
-            turn += 1
+            steps.append((live, piece))
+            place = place - before - 1
+            more = np.flatnonzero(place)
+            place, live, k, r = place[more], live[more], k[more], r[more]
         first = np.r_[0, np.cumsum(count)]
-        nodes, lengths = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
-        for turn, (live, node, length) in enumerate(steps):
-            to = first[live] + count[live] - 1 - turn
-            nodes[to], lengths[to] = node, length
-        return nodes, lengths, first, np.minimum(logp, 0.0)
+        pieces = np.empty(first[-1], np.int64)
+        for turn, (live, piece) in enumerate(steps):
+            pieces[first[live] + count[live] - 1 - turn] = piece
+        # The steps' log-chances telescope to the pieces' weights less the unit's log-mass.
+        weight = np.add.reduceat(self.weigh(pieces), first[:-1]) if len(pieces) else np.zeros(0)
+        return pieces, first, np.minimum(weight - self.total[end], 0.0)
+
+    def weigh(self, pieces: np.ndarray) -> np.ndarray:
+        out = self.model.weight[pieces]
+        odd = np.flatnonzero(pieces < 0)
+        if len(odd):
+            out[odd] = _width(-1 - pieces[odd]) * self.model.byte_weight
+        return out
 
     def draw_other(self, unit: int, taken: list[tuple[int, ...]], key: int):
         """A path of the unit that is none of ``taken`` (edge lengths from the end), from the
         distribution without them; None if there is no other."""
-        at = self.rank[unit]
-        node, path, logp, turn = int(self.base[at] + self.size[at]), [], 0.0, 0
-        known: dict[int, dict[int, float]] = {}
+        rank = int(self.rank[unit])
+        place, path, logp, turn = int(self.size[rank]), [], 0.0, 0
+        known: dict[int, dict[int, tuple[float, int]]] = {}
 
-        def edges(x: int) -> dict[int, float]:
+        def edges(x: int) -> dict[int, tuple[float, int]]:
             if x not in known:
-                known[x] = self.edges(x)
+                known[x] = self.edges(rank, x)
             return known[x]
 
         def chance_of(x: int, lengths: tuple[int, ...]) -> float:
             out = 1.0
             for length in lengths:
-                out *= edges(x)[length]
+                out *= edges(x)[length][0]
                 x -= length
             return out
 
-        while self.place[node] > 0:
-            free = dict(edges(node))
+        while place:
+            free = {length: c for length, (c, _) in edges(place).items()}
             for t in taken:
-                free[t[turn]] -= chance_of(node, t[turn:])
+                free[t[turn]] -= chance_of(place, t[turn:])
             free = {length: c for length, c in free.items() if c > 1e-13}
             if not free:
                 return None
-            mixed = _mix(np.array([(key + (turn + 1) * int(_GOLD)) & (1 << 64) - 1], np.uint64))
-            left = float(_uniform(mixed)[0]) * sum(free.values())
+            left = _uniform_int(_mix_int(key + (turn + 1) * int(_GOLD) & (1 << 64) - 1)) * sum(free.values())
             for length, c in free.items():  # noqa: B007
                 left -= c
                 if left < 0:
                     break
-            logp += math.log(edges(node)[length])
-            path.append((node, length))
+            chance, piece = edges(place)[length]
+            logp += math.log(chance)
+            path.append(piece)
             taken = [t for t in taken if t[turn] == length]
-            node -= length
+            place -= length
             turn += 1
-        nodes, lengths = zip(*path[::-1])
-        return np.array(nodes), np.array(lengths), min(logp, 0.0)
+        return np.array(path[::-1], np.int64), min(logp, 0.0)
 
-    def spell(self, nodes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def spell(self, pieces: np.ndarray) -> np.ndarray:
         """The piece ids of a path."""
-        ids = self.ids[nodes, lengths - 1].astype(np.int64)
-        odd = np.flatnonzero(ids < 0)
-        if not len(odd):
-            return ids.astype(np.int32)
-        single = odd[self.bytes[nodes[odd]] == 1]
-        ids[single] = self.model.byte_id[self.chars[nodes[single]]]
-        odd = odd[self.bytes[nodes[odd]] > 1]
+        odd = np.flatnonzero(pieces < 0)
         if not len(odd):
-            return ids.astype(np.int32)
-        count = np.ones(len(ids), np.int64)
-        count[odd] = self.bytes[nodes[odd]]
-        first = np.r_[0, np.cumsum(count)]
-        out = np.repeat(ids, count)
-        for i in odd.tolist():
-            out[first[i] : first[i + 1]] = self.model.byte_id[list(chr(self.chars[nodes[i]]).encode())]
+            return pieces.astype(np.int32)
+        code = -1 - pieces[odd]
+        if (code < 0x80).all():
+            out = pieces.astype(np.int32)
+            out[odd] = self.model.byte_id[code]
+            return out
+        count = np.ones(len(pieces), np.int64)
+        count[odd] = _width(code)
+        first = np.cumsum(count) - count
+        out = np.repeat(pieces, count)
+        for i, c in zip(first[odd].tolist(), code.tolist()):
+            spelled = chr(c).encode()
+            out[i : i + len(spelled)] = self.model.byte_id[list(spelled)]
         return out.astype(np.int32)
 
 
+def _width(code: np.ndarray) -> np.ndarray:
+    """Bytes of characters in UTF-8."""
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+
+
 def _log_rest(logp: np.ndarray) -> np.ndarray:
     """log(1 - exp(logp))."""
     gone = -np.expm1(logp)
@@ -310,25 +350,26 @@ class _Text:
     def __init__(self, units: np.ndarray, key: int):
         self.units, self.key = units, key
         self.keys = _mix(np.uint64(key) + np.arange(1, len(units) + 1, dtype=np.uint64) * _GOLD)
-        self.paths: list[tuple] = []  # nodes, lengths, first edge of each unit, logp of each unit
+        self.paths: list[tuple] = []  # pieces, first piece of each unit, logp of each unit
         self.scores: list[tuple[float, float]] = []  # log-probability, perturbed
         self.spaces: list[list] = []  # path, first unit, perturbed maxima, taken at the first unit
 
     def sampled(self, sample: int) -> np.ndarray:
-        return self.keys ^ _mix(np.array([(sample + 1) * int(_GOLD) & (1 << 64) - 1], np.uint64))
+        return self.keys ^ np.uint64(_mix_int((sample + 1) * int(_GOLD) & (1 << 64) - 1))
 
     def begin(self, path: tuple) -> None:
-        best = float(-np.log(-np.log(_uniform(_mix(np.array([self.key], np.uint64) + np.uint64(17)))[0])))
+        best = -math.log(-math.log(_uniform_int(_mix_int(self.key + 17 & (1 << 64) - 1))))
         self.paths.append(path)
-        self.scores.append((float(path[3].sum()), best))
+        self.scores.append((float(path[2].sum()), best))
         self.split(0, 0, best, [])
 
-    def seg(self, path: tuple, j: int) -> tuple[int, ...]:
-        return tuple(path[1][path[2][j] : path[2][j + 1]][::-1].tolist())
+    def seg(self, path: tuple, j: int, model: Model) -> tuple[int, ...]:
+        """Lengths of the unit's pieces, from its end."""
+        return tuple(1 if p < 0 else int(model.length[p]) for p in path[0][path[1][j] : path[1][j + 1]][::-1].tolist())
 
     def split(self, index: int, start: int, bound: float, taken: list) -> None:
         path = self.paths[index]
-        logp = path[3]
+        logp = path[2]
         before = (np.cumsum(logp) - logp)[start:]
         rest = _log_rest(logp[start:])
         if taken and len(rest):
@@ -352,23 +393,20 @@ class _Text:
             j = int(np.argmax(maxima))
             maxima[j] = -np.inf
             unit, path = start + j, self.paths[index]
-            gone = [(self.seg(path, unit), float(np.exp(path[3][unit])))] + (taken if j == 0 else [])
+            gone = [(self.seg(path, unit, lattices.model), float(np.exp(path[2][unit])))] + (taken if j == 0 else [])
             sample = len(self.paths)
             other = lattices.draw_other(int(self.units[unit]), [t for t, _ in gone], int(self.sampled(sample)[unit]))
             if other is not None:
                 return index, unit, value, gone, other
 
     def add(self, found: tuple, tail: tuple) -> None:
-        index, unit, value, gone, (nodes, lengths, logp) = found
-        old = self.paths[index]
-        cut = int(old[2][unit])
-        t_nodes, t_lengths, t_first, t_logp = tail
-        join = np.concatenate
+        index, unit, value, gone, (pieces, logp) = found
+        old, (t_pieces, t_first, t_logp) = self.paths[index], tail
+        cut, join = int(old[1][unit]), np.concatenate
         self.paths.append((
-            join((old[0][:cut], nodes, t_nodes)), join((old[1][:cut], lengths, t_lengths)),
-            join((old[2][: unit + 1], cut + len(nodes) + t_first)), join((old[3][:unit], (logp,), t_logp)),
+            join((old[0][:cut], pieces, t_pieces)), join((old[1][: unit + 1], cut + len(pieces) + t_first)), join((old[2][:unit], (logp,), t_logp)),
         ))
-        self.scores.append((float(self.paths[-1][3].sum()), value))
+        self.scores.append((float(self.paths[-1][2].sum()), value))
         self.split(len(self.paths) - 1, unit, value, gone)
 
 
@@ -386,12 +424,12 @@ def segment(model: Model, keys: list[int], texts: list[str], k: int):
         """Fresh paths for the units from ``start`` of each text, in one go."""
         units = np.concatenate([s.units[start:] for s, start, _ in wanted])
         keys = np.concatenate([s.sampled(sample)[start:] for s, start, sample in wanted])
-        nodes, lengths, first, logp = lattices.draw(units, keys)
+        pieces, first, logp = lattices.draw(units, keys)
         out, at = [], 0
         for s, start, _ in wanted:
             n = len(s.units) - start
             a, b = first[at], first[at + n]
-            out.append((nodes[a:b], lengths[a:b], first[at : at + n + 1] - a, logp[at : at + n]))
+            out.append((pieces[a:b], first[at : at + n + 1] - a, logp[at : at + n]))
             at += n
         return out
 
@@ -410,13 +448,13 @@ def segment(model: Model, keys: list[int], texts: list[str], k: int):
     for s in states:
         limit = s.best()[0]
         rows = []
-        for (nodes, lengths, _, _), (logp, perturbed) in zip(s.paths, s.scores):
+        for (pieces, _, _), (logp, perturbed) in zip(s.paths, s.scores):
             if limit == -np.inf:
                 inclusion = 0.0
             else:
                 x = logp - limit
                 inclusion = x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
-            rows.append((lattices.spell(nodes, lengths), logp, perturbed, inclusion))
+            rows.append((lattices.spell(pieces), logp, perturbed, inclusion))
         out.append(rows)
     return out
 
