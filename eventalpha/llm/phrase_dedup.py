@@ -330,3 +330,16 @@ def op8_phrase_automata(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+OP8_SQL = """
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM split)),
+own AS (SELECT g, min(doc_id) AS source FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM win JOIN own USING (g), (SELECT unnest(range(0, 13)) AS k) WHERE source < doc_id),
+flat AS (SELECT s.doc_id, s.i, s.word, g.i IS NOT NULL AS cut FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM split) s
+  LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i),
+kept AS (SELECT doc_id, count(*) FILTER (cut) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT cut) AS text FROM flat GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from .chat_format import op7_budgeted_windows
 from .decontamination import op5_bm25_wand
 from .line_dedup import OP10_SQL, op10_site_line_dedup
-from .phrase_dedup import op8_phrase_automata
+from .phrase_dedup import OP8_SQL, op8_phrase_automata
 from .quality_model import op1_rule_ensemble
 from .quality_rules import OP4_SQL, op4_host_rules
-from .secrets import op2_secret_randomness
+from .secrets import OP2_SQL, op2_secret_randomness
 from .sharding import op9_hypergeometric_shards
 from .simhash import op3_simhash_gray
 from .subword_sampling import op6_gumbel_lattice
@@ -18,4 +18,4 @@ QUERIES = {
     for f in (op1_rule_ensemble, op2_secret_randomness, op3_simhash_gray, op4_host_rules, op5_bm25_wand, op6_gumbel_lattice, op7_budgeted_windows, op8_phrase_automata, op9_hypergeometric_shards, op10_site_line_dedup)
 }
 
-ORACLE_SQL = {"op4_host_rules": OP4_SQL, "op10_site_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_secret_randomness": OP2_SQL, "op4_host_rules": OP4_SQL, "op8_phrase_automata": OP8_SQL, "op10_site_line_dedup": OP10_SQL}

@@ -218,3 +218,51 @@ def op2_secret_randomness(spark, sf_dir: str) -> DataFrame:
         F.sha2(written("base_spans"), 256).alias("base_sha256"),
         written("spans").alias("spans"),
     )
+
+
+def _matches_sql(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
+    p = pattern.replace("'", "''")
+    size = "list_transform({}, lambda x: length(x))"
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, tok, start, start + length(tok) AS stop FROM (
+      SELECT doc_id, m[i] AS tok, CAST(list_sum({size.format('g[1:i]')}) + coalesce(list_sum({size.format('m[1:i - 1]')}), 0) AS BIGINT) AS start
+      FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM docs WHERE regexp_matches(t, '{p}'))))
+      WHERE {keep}"""
+
+
+def _by_encoding(i: int) -> str:
+    return " ".join(f"WHEN regexp_matches(core, '{v[0]}') THEN '{(k, v[1])[i]}'" for k, v in ENCODINGS.items())
+
+
+OP2_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_matches_sql('assign', 0, ASSIGN, "length(regexp_extract(tok, '" + ASSIGN.replace("'", "''") + "', 2)) >= 8")}
+  UNION ALL {_matches_sql('access', 1, ACCESS)} UNION ALL {_matches_sql('hex', 2, HEX)}),
+runs AS ({_matches_sql('random', 3, RUN)}),
+free AS (SELECT r.*, regexp_replace(tok, '=+$', '') AS core FROM runs r
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
+named AS (SELECT *, CASE {_by_encoding(0)} END AS name, CASE {_by_encoding(1)} END AS alphabet, length(core) AS n
+  FROM free WHERE regexp_matches(core, '[0-9]') AND regexp_matches(core, '[A-Za-z]')),
+valued AS (SELECT *, CAST(length(alphabet) AS DOUBLE) AS k, list_transform(regexp_extract_all(core, '.'), lambda c: CAST(strpos(alphabet, c) - 1 AS DOUBLE)) AS v,
+  list_sum(list_transform(list_distinct(regexp_extract_all(core, '.')), lambda c: pow(n - length(replace(core, c, '')), 2))) AS squares FROM named WHERE name IS NOT NULL),
+summed AS (SELECT *, CAST(len(list_filter(v, lambda x: x >= k / 2)) AS DOUBLE) AS high, list_sum(v) / n AS mean,
+  1 + len(list_filter(range(2, n + 1), lambda i: (v[i] >= k / 2) <> (v[i - 1] >= k / 2))) AS changes FROM valued),
+parts AS (SELECT *, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS chi, 2 * high * (n - high) / n + 1 AS expected,
+  list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) AS over_mean,
+  list_sum(list_transform(range(2, n + 1), lambda i: (v[i - 1] - mean) * (v[i] - mean))) AS along FROM summed),
+scored AS (SELECT *, least(200, chi * chi + pow(CASE WHEN (expected - 1) * (expected - 2) > 0 THEN (changes - expected) / sqrt((expected - 1) * (expected - 2) / (n - 1)) ELSE 9 END, 2)
+  + pow(CASE WHEN over_mean > 0 THEN (along / over_mean + 1 / n) * sqrt(n) ELSE 9 END, 2)) AS x FROM parts),
+tailed AS (SELECT *, 1 / (1 + CAST(0.3275911 AS DOUBLE) * sqrt(x / 2)) AS q FROM scored),
+tested AS (SELECT doc_id, kind, rank, start, stop, concat(name, ':', CAST(CAST(floor(log2(n)) AS BIGINT) AS VARCHAR)) AS stratum,
+  least(greatest(floor(-log10(greatest(least(1, q * (0.254829592 + q * (-0.284496736 + q * (1.421413741 + q * (-1.453152027 + q * 1.061405429)))) * exp(-x / 2) + sqrt(2 * x / pi()) * exp(-x / 2)), 1e-20)) * {BINS_PER_DECADE}), 0), {MAX_BIN}) AS bin FROM tailed),
+counted AS (SELECT stratum, bin, sum(count(*)) OVER (PARTITION BY stratum ORDER BY bin DESC) AS r, sum(count(*)) OVER (PARTITION BY stratum) AS m FROM tested GROUP BY stratum, bin),
+cleared AS (SELECT stratum, min(bin) AS bin FROM counted WHERE pow(10, -bin / {BINS_PER_DECADE}) * m <= 0.01 * r GROUP BY stratum),
+spans AS (SELECT doc_id, kind, rank, start, stop FROM base
+  UNION ALL SELECT t.doc_id, t.kind, t.rank, t.start, t.stop FROM tested t LEFT JOIN cleared c ON t.stratum = c.stratum WHERE t.bin < coalesce(c.bin, {MAX_BIN + 1})),
+joined AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+  string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) AS spans,
+  string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) FILTER (rank < 3) AS own FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""

@@ -104,6 +104,13 @@ def test_secrets(spark, corpus):
     assert not got[6].spans and not got[7].spans  # patterned, so cleared
     assert got[0].start == "clash"
     assert SS.scan(empty(spark)).count() == 0
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    written = {r.doc_id: r.s for r in SS.scan(df).select("doc_id", SS.written("spans").alias("s")).collect()}
+    assert {r[0]: r[5] for r in con.execute(SS.OP2_SQL).fetchall()} == written
 
 
 def test_tail_of_three(spark):
