@@ -223,9 +223,9 @@ def universe_semi(spark, d):
     return J.restrict(filings(spark, d), universe(spark, d).filter("cap > 5000"), ["ticker"]).select("filing_id", "ticker")
 
 
-@query("SELECT event_id, ticker FROM evts WHERE NOT EXISTS (SELECT 1 FROM posts p WHERE p.ticker = evts.ticker AND CAST(ts AS DATE) = event_date)", "evts posts")
+@query("SELECT event_id, ticker FROM evts WHERE NOT EXISTS (SELECT 1 FROM posts p WHERE p.post_id % 20 = 0 AND p.ticker = evts.ticker AND CAST(ts AS DATE) = event_date)", "evts posts")
 def missing_posts(spark, d):
-    days = posts(spark, d).select("ticker", F.to_date("ts").alias("event_date"))
+    days = posts(spark, d).filter("post_id % 20 = 0").select("ticker", F.to_date("ts").alias("event_date"))
     return J.missing(events(spark, d), days, ["ticker", "event_date"]).select("event_id", "ticker")
 
 
@@ -263,12 +263,12 @@ _BEFORE = """bef AS (SELECT e.event_id, p.*, CAST(ts AS DATE) AS day, row_number
 
 
 @query(f""", {_BEFORE.format('posts_text')} SELECT e.event_id, CAST(coalesce(n, 0) AS BIGINT) AS n_posts, CAST(coalesce(np, 0) AS BIGINT) AS n_positive, CAST(coalesce(nn, 0) AS BIGINT) AS n_negative, CAST(coalesce(sp, 0) AS BIGINT) AS n_strong_positive, CAST(coalesce(sn, 0) AS BIGINT) AS n_strong_negative,
-      CAST(coalesce(nw, 0) AS BIGINT) AS n_words, round(coalesce(m, 0), 6) AS mean, round(coalesce(sd, 0), 6) AS std, coalesce(mx, 0) AS max, coalesce(mi, 0) AS min, CAST(coalesce(nd, 0) AS BIGINT) AS n_days, round(coalesce(np / greatest(nn, 1), 0), 6) AS ratio, round(coalesce(n, 0) / 7, 6) AS daily_volume, round(coalesce(nd, 0) / 7, 6) AS coverage
+      CAST(coalesce(nw, 0) AS BIGINT) AS n_words, round(coalesce(m, 0), 8) AS mean, round(coalesce(sd, 0), 8) AS std, coalesce(mx, 0) AS max, coalesce(mi, 0) AS min, CAST(coalesce(nd, 0) AS BIGINT) AS n_days, round(coalesce(np / greatest(nn, 1), 0), 8) AS ratio, round(coalesce(n, 0) / 7, 8) AS daily_volume, round(coalesce(nd, 0) / 7, 8) AS coverage
     FROM evts e LEFT JOIN (SELECT event_id, count(*) AS n, count(*) FILTER (sentiment > 0.1) AS np, count(*) FILTER (sentiment < -0.1) AS nn, count(*) FILTER (sentiment > 0.5) AS sp, count(*) FILTER (sentiment < -0.5) AS sn,
       sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS nw, avg(sentiment) AS m, stddev_samp(sentiment) AS sd, max(sentiment) AS mx, min(sentiment) AS mi, count(DISTINCT day) AS nd FROM bef GROUP BY event_id) f USING (event_id)""", "posts_text evts")
 def temporal_features(spark, d):
     out = FE.temporal_features(events(spark, d), before(spark, d, posts_text(spark, d)))
-    return out.select(*[F.round(c, 6).alias(c) if c in ("mean", "std", "ratio", "daily_volume", "coverage") else F.col(c) for c in out.columns])
+    return out.select(*[F.round(c, 8).alias(c) if c in ("mean", "std", "ratio", "daily_volume", "coverage") else F.col(c) for c in out.columns])
 
 
 @query(f", {_BEFORE.format('posts')} SELECT event_id, round(coalesce(regr_slope(sentiment, nth), 0), 6) AS trend FROM bef GROUP BY event_id", "posts evts")
@@ -342,7 +342,7 @@ def returns(spark, d):
     return p.select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("ret", "log_ret", "forward_ret")])
 
 
-@query(f""", {_BEFORE.format('posts')} SELECT e.event_id, CAST(coalesce(n, 0) AS BIGINT) AS n_posts, round(coalesce(m, 0), 6) AS mean, round(coalesce(t, 0), 6) AS trend, CAST(filing_type = '8-K' AS INTEGER) AS is_8k, CAST(filing_type = '10-K' AS INTEGER) AS is_10k
+@query(f""", {_BEFORE.format('posts')} SELECT e.event_id, CAST(coalesce(n, 0) AS BIGINT) AS n_posts, round(coalesce(m, 0), 8) AS mean, round(coalesce(t, 0), 6) AS trend, CAST(filing_type = '8-K' AS INTEGER) AS is_8k, CAST(filing_type = '10-K' AS INTEGER) AS is_10k
     FROM evts e LEFT JOIN (SELECT event_id, count(*) AS n, avg(sentiment) AS m, regr_slope(sentiment, nth) AS t FROM bef GROUP BY event_id) f USING (event_id)""", "posts evts")
 def feature_matrix(spark, d):
     b = before(spark, d)
@@ -350,4 +350,4 @@ def feature_matrix(spark, d):
     f = b.groupBy("event_id").agg(F.count("*").alias("n_posts"), F.avg("sentiment").alias("mean"))
     out = e.join(f, "event_id", "left").join(FE.sentiment_trend(b), "event_id", "left").fillna({"n_posts": 0, "mean": 0.0, "trend": 0.0})
     hot = [(F.col("filing_type") == k).cast("int").alias(f"is_{n}") for k, n in (("8-K", "8k"), ("10-K", "10k"))]
-    return out.select("event_id", "n_posts", F.round("mean", 6).alias("mean"), F.round("trend", 6).alias("trend"), *hot)
+    return out.select("event_id", "n_posts", F.round("mean", 8).alias("mean"), F.round("trend", 6).alias("trend"), *hot)
