@@ -27,10 +27,17 @@ def extend(entries: list[Entry], more: list[Entry]) -> list[Entry]:
 def hits(text: Column, lexicon: list[Entry]) -> Column:
     """array<struct<category,polarity,term>> of the entries that the text has, in lexicon order."""
     low = F.lower(text)
-    words = F.split(low, WORD_SPLIT)
-    entries = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(p).alias("polarity"), F.lit(t).alias("term"), F.lit(" " not in t).alias("single")) for c, p, t in lexicon])
-    found = F.filter(entries, lambda e: F.when(e["single"], F.array_contains(words, e["term"])).otherwise(F.contains(low, e["term"])))
-    return F.transform(found, lambda e: F.struct(e["category"].alias("category"), e["polarity"].alias("polarity"), e["term"].alias("term")))
+    singles = list(dict.fromkeys(t for _, _, t in lexicon if " " not in t))
+    # One hash lookup for all single words; no lambda, so that nothing is computed once a term.
+    found = F.array_intersect(F.array(*[F.lit(t) for t in singles]).cast("array<string>"), F.split(low, WORD_SPLIT))
+    entries = [
+        F.when(
+            F.contains(low, F.lit(t)) if " " in t else F.array_contains(found, F.lit(t)),
+            F.struct(F.lit(c).alias("category"), F.lit(p).alias("polarity"), F.lit(t).alias("term")),
+        )
+        for c, p, t in lexicon
+    ]
+    return F.array_compact(F.array(*entries))
 
 
 def detect(df: DataFrame, lexicon: list[Entry], text: str = "text", categories: tuple[str, ...] = ("E", "S", "G")) -> DataFrame:
@@ -83,7 +90,7 @@ def relevance(df: DataFrame, groups: dict[str, tuple[float, list[str]]], text: s
     out = df
     for name, (_, terms) in groups.items():
         listed = F.array(*[F.lit(t) for t in terms])
-        out = out.withColumn(f"_r_{name}", F.filter(listed, lambda t: F.array_contains(words, t)))
+        out = out.withColumn(f"_r_{name}", F.array_intersect(listed, words))
     score = {n: F.least(F.size(f"_r_{n}") / 3, F.lit(1.0)) * w for n, (w, _) in groups.items()}
     best = F.greatest(*score.values())
     several = sum(((F.size(f"_r_{n}") > 0).cast("int") for n in groups), F.lit(0)) > 1

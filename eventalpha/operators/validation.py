@@ -20,11 +20,10 @@ def windows(spark: SparkSession, start: str, end: str, train_months: int = 12, t
 def assign(df: DataFrame, folds: DataFrame, least_train: int = 10, least_test: int = 5, date: str = "date") -> DataFrame:
     """Each row once for every fold and split that holds it; folds with too few rows go. The folds
     are a few rows whatever the data, so they ride along as an array."""
-    spans = folds.agg(F.collect_list(F.struct("fold", "train_start", "train_end", "test_start", "test_end")).alias("_f"))
-    entries = F.array(*[
-        F.struct(F.lit(r.fold).alias("fold"), F.lit(split).alias("split"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-        for r in spans.first()[0] for split, a, b in (("train", r.train_start, r.train_end), ("test", r.test_start, r.test_end))
-    ]) if folds.count() else F.array().cast("array<struct<fold:int,split:string,a:date,b:date>>")
+    spans = [(r.fold, split, a, b) for r in folds.collect() for split, a, b in (("train", r.train_start, r.train_end), ("test", r.test_start, r.test_end))]
+    entries = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(s).alias("split"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, s, a, b in spans])
+    if not spans:
+        entries = F.array().cast("array<struct<fold:int,split:string,a:date,b:date>>")
     d = F.col(date)
     rows = df.withColumn("_e", F.explode(F.filter(entries, lambda e: (d >= e["a"]) & (d < e["b"])))).select(*df.columns, "_e.fold", "_e.split")
     n = rows.groupBy("fold").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
