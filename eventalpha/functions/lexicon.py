@@ -26,18 +26,21 @@ def extend(entries: list[Entry], more: list[Entry]) -> list[Entry]:
 
 def hits(text: Column, lexicon: list[Entry]) -> Column:
     """array<struct<category,polarity,term>> of the entries that the text has, in lexicon order."""
-    low = F.lower(text)
-    singles = list(dict.fromkeys(t for _, _, t in lexicon if " " not in t))
-    # One hash lookup for all single words; no lambda, so that nothing is computed once a term.
-    found = F.array_intersect(F.array(*[F.lit(t) for t in singles]).cast("array<string>"), F.split(low, WORD_SPLIT))
-    entries = [
-        F.when(
-            F.contains(low, F.lit(t)) if " " in t else F.array_contains(found, F.lit(t)),
-            F.struct(F.lit(c).alias("category"), F.lit(p).alias("polarity"), F.lit(t).alias("term")),
-        )
-        for c, p, t in lexicon
-    ]
-    return F.array_compact(F.array(*entries))
+    by_term: dict[str, list] = {}
+    for nth, (c, p, t) in enumerate(lexicon):
+        by_term.setdefault(t, []).append(F.struct(F.lit(nth).alias("nth"), F.lit(c).alias("category"), F.lit(p).alias("polarity"), F.lit(t).alias("term")))
+    entries = F.create_map(*[x for t, es in by_term.items() for x in (F.lit(t), F.array(*es))])
+    terms = lambda phrase: F.array(*[F.lit(t) for t in by_term if (" " in t) == phrase]).cast("array<string>")
+
+    def found(low: Column) -> Column:
+        singles = F.array_intersect(terms(False), F.split(low, WORD_SPLIT))
+        phrases = F.filter(terms(True), lambda t: F.contains(low, t))
+        return F.sort_array(F.flatten(F.transform(F.concat(singles, phrases), lambda t: F.try_element_at(entries, t))))
+
+    # The lower-cased text is bound to a variable, so that it is computed once however many terms there
+    # are, also where the optimizer copies this expression into a filter.
+    rows = F.get(F.transform(F.array(F.lower(text)), found), F.lit(0))
+    return F.transform(rows, lambda e: F.struct(e["category"].alias("category"), e["polarity"].alias("polarity"), e["term"].alias("term")))
 
 
 def detect(df: DataFrame, lexicon: list[Entry], text: str = "text", categories: tuple[str, ...] = ("E", "S", "G")) -> DataFrame:

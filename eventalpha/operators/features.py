@@ -56,11 +56,16 @@ def with_defaults(events: DataFrame, features: DataFrame, key: str = "event_id")
     return events.join(features, key, "left").fillna(NO_REACTION)
 
 
+def word_count(text: str = "text") -> Column:
+    """For posts that many events share, worth computing before the join."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), ""))
+
+
 def temporal_features(events: DataFrame, joined: DataFrame, days: int = 7, key: str = "event_id", high: float = 0.1, strong: float = 0.5) -> DataFrame:
     """Counts, ratios and moments of the posts in the days before each event; events without posts
     get zeros."""
     s = F.col("sentiment")
-    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), ""))
+    words = F.col("n_words") if "n_words" in joined.columns else word_count()
     f = joined.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_posts"), F.count_if(s > high).alias("n_positive"), F.count_if(s < -high).alias("n_negative"),
         F.count_if(s > strong).alias("n_strong_positive"), F.count_if(s < -strong).alias("n_strong_negative"), F.sum(words).alias("n_words"),

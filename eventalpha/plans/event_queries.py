@@ -267,7 +267,8 @@ _BEFORE = """bef AS (SELECT e.event_id, p.*, CAST(ts AS DATE) AS day, row_number
     FROM evts e LEFT JOIN (SELECT event_id, count(*) AS n, count(*) FILTER (sentiment > 0.1) AS np, count(*) FILTER (sentiment < -0.1) AS nn, count(*) FILTER (sentiment > 0.5) AS sp, count(*) FILTER (sentiment < -0.5) AS sn,
       sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS nw, avg(sentiment) AS m, stddev_samp(sentiment) AS sd, max(sentiment) AS mx, min(sentiment) AS mi, count(DISTINCT day) AS nd FROM bef GROUP BY event_id) f USING (event_id)""", "posts_text evts")
 def temporal_features(spark, d):
-    out = FE.temporal_features(events(spark, d), before(spark, d, posts_text(spark, d)))
+    p = posts_text(spark, d).withColumn("n_words", FE.word_count()).drop("text")
+    out = FE.temporal_features(events(spark, d), before(spark, d, p))
     return out.select(*[F.round(c, 8).alias(c) if c in ("mean", "std", "ratio", "daily_volume", "coverage") else F.col(c) for c in out.columns])
 
 
