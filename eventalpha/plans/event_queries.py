@@ -124,7 +124,7 @@ def covered_tickers(spark, d):
     return Q.covered(posts(spark, d), 30)
 
 
-@query("""SELECT event_id, quality, m AS size_multiplier, round(0.2 / (0.2 + 0.8 * w), 6) AS event_severity, round(0.4 * w / (0.2 + 0.8 * w), 6) AS intensity, round(0.25 * w / (0.2 + 0.8 * w), 6) AS volume, round(0.15 * w / (0.2 + 0.8 * w), 6) AS duration
+@query("""SELECT event_id, quality, CAST(m AS DOUBLE) AS size_multiplier, round(0.2 / (0.2 + 0.8 * w), 6) AS event_severity, round(0.4 * w / (0.2 + 0.8 * w), 6) AS intensity, round(0.25 * w / (0.2 + 0.8 * w), 6) AS volume, round(0.15 * w / (0.2 + 0.8 * w), 6) AS duration
     FROM (SELECT event_id, ['FULL', 'PARTIAL', 'SPARSE', 'DROPOUT'][event_id % 4 + 1] AS quality, [1, 0.7, 0.4, 0][event_id % 4 + 1] AS m, [1, 0.8, 0.5, 0][event_id % 4 + 1] AS w FROM sigs)""", "sigs")
 def quality_weights(spark, d):
     q = F.get(F.array(*[F.lit(x) for x in ("FULL", "PARTIAL", "SPARSE", "DROPOUT")]), (F.col("event_id") % 4).cast("int"))

@@ -314,7 +314,7 @@ def book_returns(spark, d):
     return booked(spark, d).select("date", F.round("ret", 6).alias("ret"), F.round(F.ln("equity"), 4).alias("log_equity"))
 
 
-@query("""SELECT ticker, date, n < 100 OR close >= m AS bull, CASE WHEN n < 100 OR close >= m THEN 1 ELSE 0.5 END AS overlay FROM (SELECT *, count(*) OVER w AS n, avg(close) OVER w AS m FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))""", "prices")
+@query("""SELECT ticker, date, n < 100 OR close >= m AS bull, CAST(CASE WHEN n < 100 OR close >= m THEN 1 ELSE 0.5 END AS DOUBLE) AS overlay FROM (SELECT *, count(*) OVER w AS n, avg(close) OVER w AS m FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))""", "prices")
 def sma_regime(spark, d):
     return B.sma_regime(prices(spark, d)).select("ticker", "date", "bull", "overlay")
 
@@ -399,7 +399,7 @@ def scandals(spark, d):
     return rounded(R.scandals(p, R.scandal_baselines(posts(spark, d)), KEYWORDS, "2024-01-20 00:00:00"))
 
 
-@query("""SELECT ticker, max(ts + to_hours(h)) AS until, max(c) AS exposure_cut FROM (SELECT ticker, ts, CASE post_id % 4 WHEN 0 THEN 48 WHEN 1 THEN 24 WHEN 2 THEN 12 END AS h, CASE post_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0 END AS c FROM posts WHERE post_id % 50 < 4) WHERE h IS NOT NULL
+@query("""SELECT ticker, max(ts + to_hours(h)) AS until, CAST(max(c) AS DOUBLE) AS exposure_cut FROM (SELECT ticker, ts, CASE post_id % 4 WHEN 0 THEN 48 WHEN 1 THEN 24 WHEN 2 THEN 12 END AS h, CASE post_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0 END AS c FROM posts WHERE post_id % 50 < 4) WHERE h IS NOT NULL
     GROUP BY ticker HAVING max(ts + to_hours(h)) > TIMESTAMP '2024-01-30 12:00:00'""", "posts")
 def halts(spark, d):
     level = F.get(F.array(*[F.lit(x) for x in ("CRITICAL", "HIGH", "MEDIUM", "LOW")]), (F.col("post_id") % 4).cast("int"))

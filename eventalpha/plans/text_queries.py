@@ -239,7 +239,7 @@ def news_quality(spark, d):
 
 
 @query(f""", {_REL}, m AS (SELECT *, CASE post_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN -0.5 ELSE 0 END AS s FROM rel WHERE length(trim(text)) >= 10)
-    SELECT post_id, s AS sentiment, round(0.3 * relevance + 0.3 * least(likes / 20, 1) + 0.4 * abs(s), 8) AS quality FROM m""", "posts_text")
+    SELECT post_id, CAST(s AS DOUBLE) AS sentiment, round(0.3 * relevance + 0.3 * least(likes / 20, 1) + 0.4 * abs(s), 8) AS quality FROM m""", "posts_text")
 def message_quality(spark, d):
     from eventalpha.operators.posts import score_messages
 
