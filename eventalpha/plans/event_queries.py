@@ -17,8 +17,8 @@ from eventalpha.plans.base import events, filings, posts, posts_text, prices, qu
 # --- fusion ---
 
 
-@query("""SELECT ts AS timestamp, source AS text, CASE WHEN post_id % 3 = 0 THEN 1 ELSE followers END AS user_followers, 0 AS retweets, likes, ticker, CASE WHEN post_id % 4 <> 0 THEN sentiment END AS sentiment,
-    0 AS esg_relevance, 'general' AS esg_category, CASE WHEN post_id % 5 = 0 THEN 0.5 ELSE quality END AS quality_score FROM posts""", "posts")
+@query("""SELECT ts AS timestamp, source AS text, CASE WHEN post_id % 3 = 0 THEN 1 ELSE followers END AS user_followers, CAST(0 AS BIGINT) AS retweets, likes, ticker, CASE WHEN post_id % 4 <> 0 THEN sentiment END AS sentiment,
+    CAST(0 AS DOUBLE) AS esg_relevance, 'general' AS esg_category, CASE WHEN post_id % 5 = 0 THEN 0.5 ELSE quality END AS quality_score FROM posts""", "posts")
 def posts_conform(spark, d):
     raw = posts(spark, d).select(
         F.col("ts").alias("timestamp"), F.col("source").alias("text"), F.when(F.col("post_id") % 3 == 0, "n/a").otherwise(F.col("followers").cast("string")).alias("user_followers"), "likes", "ticker",
