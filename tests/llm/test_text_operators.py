@@ -474,3 +474,52 @@ def test_pipeline_stages(spark, corpus, tmp_path):
                 kept = collections.Counter(ids)
         else:
             assert {r.doc_id for r in out.collect()} == set(kept)
+
+
+def test_near_dedup_stage_verifies_links_and_reaches_jaccard(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+
+    def jaccard(x, y):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (x, y))
+        return len(x & y) / len(x | y)
+
+    def edited(text, least):
+        w = text.split()
+        for at in rng.sample(range(len(w)), len(w)):
+            tried = w[:at] + ["changed" + str(rng.random())] + w[at + 1 :]
+            if jaccard(text, " ".join(tried)) < least:
+                break
+            w = tried
+        return " ".join(w)
+
+    rows = []
+    for i in range(0, 200, 2):
+        t = prose(rng, 300)
+        c = edited(t, 0.8)
+        assert 0.8 <= jaccard(t, c) < 0.83
+        rows += [(i, t), (i + 1, c)]
+    far = prose(rng, 300)  # three quarters are shared: near by bits, no verified link
+    chained = [(400, far), (401, " ".join(far.split()[:225] + prose(rng, 75).split()))]
+    assert jaccard(*[t for _, t in chained]) < 0.8
+    df = spark.createDataFrame(rows + chained, "doc_id long, text string")
+    kept = {r.doc_id for r in pipeline.near_dedup(spark, df, str(tmp_path)).collect()}
+    assert set(range(0, 200, 2)) <= kept and {i for i, _ in chained} <= kept
+    assert sum(i not in kept for i in range(1, 200, 2)) >= 95
+
+
+def test_near_copies_are_the_components_of_verified_candidates():
+    from eventalpha.llm import near_copies as NC
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (5, 2), dtype=np.uint64)
+    fps = np.repeat(base, 30, axis=0)
+    for r in fps:
+        for b in rng.integers(0, 128, 25):
+            r[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    component = np.sort(rng.integers(0, 12, 150))
+    node = rng.permutation(150)
+    i, j = NC.all_pairs(fps[:, 0], fps[:, 1], component, node, block=16)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    want = {(a, b) for a in range(150) for b in range(150) if component[a] < component[b] and apart[a, b] <= NC.DISTANCE}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 100
