@@ -15,7 +15,7 @@ order, a pivot from the terms' bounds, a jump over blocks whose maxima do not su
 A retrieved item is verified on words: of the 5-word shingles of the item, of its question (all
 sentences but the last; the first half of a single one) and of its answer (the rest), the shares
 found around the passage. An item is leaked at ``overlap`` of all shingles and at least half of both
-parts.
+parts. Every passage that retrieves an item is verified; the row is the best verified one.
 
 The index is broadcast; its size is bounded: a benchmark of more than ``shard_words`` words is dealt
 into several indexes, each with its own pass over the documents.
@@ -215,21 +215,23 @@ def _matcher(shared, common_share: float, overlap: float):
                 last = np.zeros(int(cells.sum()), bool)
                 last[base + cells - 1] = True
                 of = np.repeat(np.arange(len(docs)), cells)
-                best: dict[tuple[int, int], tuple[float, int]] = {}
+                retrieved: dict[tuple[int, int], dict[int, float]] = {}  # (document, item) -> begin -> score
                 for c in survivors(ids, cell, last).tolist():
                     d = int(of[c])
                     begin = (c - int(base[d])) * UNIT
                     here = ids[first[d] + begin : first[d] + min(begin + 2 * UNIT, int(counts[d]))]
                     for unit, score in index.search(np.unique(here[here >= 0]).tolist()):
-                        item = index.owner[unit]
-                        if (d, item) not in best or best[d, item][0] < score:
-                            best[d, item] = (score, begin)
-                for (d, item), (score, begin) in best.items():
-                    whole, question, answer = parts[item]
-                    near = docs[d][1][max(0, begin - len(whole)) : begin + 2 * UNIT + len(whole)]
-                    all_of, q, a = share_found(whole, near), share_found(question, near), share_found(answer, near)
-                    if all_of >= overlap and min(q, a) >= 0.5:
-                        out.append((docs[d][0], index.items[item][0], score, all_of, q, a))
+                        begins = retrieved.setdefault((d, index.owner[unit]), {})
+                        begins[begin] = max(score, begins.get(begin, 0.0))
+                for (d, item), begins in retrieved.items():
+                    best = None
+                    for begin, score in begins.items():
+                        near = docs[d][1][max(0, begin - len(parts[item][0])) : begin + 2 * UNIT + len(parts[item][0])]
+                        all_of, q, a = (share_found(part, near) for part in parts[item])
+                        if all_of >= overlap and min(q, a) >= 0.5 and (best is None or (score, all_of) > best[:2]):
+                            best = (score, all_of, q, a)
+                    if best:
+                        out.append((docs[d][0], index.items[item][0], *best))
                 docs.clear()
 
             size = 0

@@ -252,6 +252,22 @@ def test_leaks(spark, corpus):
     assert D.leaked_items(empty(spark), tests).count() == 0 and D.leaked_items(df, tests.limit(0)).count() == 0
 
 
+def test_leak_after_a_decoy(spark):
+    rng = random.Random(12)
+    short, long = prose(rng, 12) + ". " + prose(rng, 9) + ".", prose(rng, 64) + ". " + "the last words here."
+    scattered = short.replace(".", "").split()
+    rng.shuffle(scattered)
+    leaked = short.replace(short.split()[3], "edited", 1)
+    rows = [
+        (1, f"{' '.join(scattered)} {prose(rng, 500)} {leaked} {prose(rng, 100)}"),
+        (2, f"the last words here {prose(rng, 500)} {long} {prose(rng, 100)}"),
+        (3, f"{' '.join(scattered)} the last words here {prose(rng, 500)}"),
+    ]
+    tests = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    got = D.leaked_items(spark.createDataFrame(rows, "doc_id long, text string"), tests, overlap=0.7).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2)]
+
+
 # --- 6 ---
 
 
