@@ -309,6 +309,70 @@ def test_sampling_without_replacement_has_the_right_law():
         assert abs(second[s] / n - want) < 4 * math.sqrt(want / n) + 1e-3
 
 
+def all_segmentations(text):
+    """ids -> log-probability, by trying every piece at every place."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    n = sp.get_piece_size()
+    odd = lambda i: sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)
+    weight = {sp.id_to_piece(i): (i, -math.log(1 - sp.get_score(i))) for i in range(n) if not odd(i)}
+    byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
+    low = min(w for _, w in weight.values()) - 1
+    text = "".join("\u2581" if c == " " else "\0" if c == "\u2581" else c for c in " " + text)
+
+    def ways(at):
+        if at == len(text):
+            return [((), 0.0)]
+        out = []
+        for end in range(at + 1, min(len(text), at + 16) + 1):
+            if text[at:end] in weight:
+                i, w = weight[text[at:end]]
+                out += [((i, *ids), w + x) for ids, x in ways(end)]
+        if text[at] not in weight:
+            spelled = [byte[b] for b in text[at].replace("\0", "\u2581").encode()]
+            out += [((*spelled, *ids), low * len(spelled) + x) for ids, x in ways(at + 1)]
+        return out
+
+    found = ways(0)
+    top = max(x for _, x in found)
+    mass = top + math.log(sum(math.exp(x - top) for _, x in found))
+    return {ids: x - mass for ids, x in found}
+
+
+ODD_TEXTS = ["the ox", "a 🫠 b", "word 뷁", "龘", "𝒳 at", "\ue000 a", "ꯃꯤ ꯃ", "뷁a뷁", "x▁ y", " \n a", "é\u0301"]
+
+
+@pytest.mark.parametrize("text", ODD_TEXTS)
+def test_segmentations_match_a_full_enumeration(text):
+    m, want = SU.Model(), all_segmentations(text)
+    want = {ids: x for ids, x in want.items() if x > -28}  # less than 1e-13 counts as none
+    rows = SU.segment(m, [SU._row_key(7, 3)], [text], min(len(want) + 1, 400))[0]
+    got = [tuple(r[0].tolist()) for r in rows]
+    assert len(set(got)) == len(got) and (set(want) <= set(got) or len(got) == 400)
+    for r in rows:
+        if tuple(r[0].tolist()) in want:
+            assert r[1] == pytest.approx(want[tuple(r[0].tolist())], abs=1e-6)
+    assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
+    limit = SU.segment(m, [SU._row_key(7, 3)], [text], 3)[0]
+    fourth = rows[3][2] if len(rows) > 3 else -math.inf
+    for a, b in zip(limit, rows):
+        assert tuple(a[0].tolist()) == tuple(b[0].tolist())
+        assert a[3] == pytest.approx(math.log(-math.expm1(-math.exp(min(a[1] - fourth, 700)))) if a[1] - fourth > -30 else a[1] - fourth, abs=1e-6)
+
+
+def test_characters_without_a_piece(spark):
+    rng = np.random.default_rng(2)
+    texts = [*ODD_TEXTS, "龘靐齉齾爩" * 80, "한국어 문장입니다 " * 30, "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 3000)), "\U0010ffff" * 50, "𒀀" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = SU.decode(SU.encode_samples(df, k=3)).collect()
+    assert {r.doc_id for r in rows} == set(range(len(texts)))
+    for r in rows:
+        assert r.exact and r.text == texts[r.doc_id]
+        assert all(math.isfinite(x) for x in (r.log_prob, r.perturbed, r.log_inclusion)) and r.log_prob <= 0
+
+
 def test_samples_do_not_depend_on_batches():
     m = SU.Model()
     texts = ["some words here", "lantern orbit canyon", "the river"]
