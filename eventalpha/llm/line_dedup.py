@@ -1,16 +1,22 @@
 """Boilerplate lines by their frequency within a site.
 
-For each host, the share of its pages that hold a line; lines on more than ``ratio`` of a host's
-pages (and on ``min_pages`` at least) are dropped from that host's pages. A page counts once for a
-line, however often it repeats it. Blank lines are neither counted nor dropped. Lines are told
-apart by a 128-bit hash.
+For each host, the share of its pages that hold a line; lines over ``ratio`` are dropped from that
+host's pages. The share is shrunk towards zero by ``prior_pages`` pages without the line, so that on
+a small host more pages must agree: rate = pages with the line / (pages + prior_pages). With 0.05 and
+40 a line goes from a host of 3 pages if all have it, of 20 if 4 have it, of 1,000 if 53 have it; it
+never goes for being on one or two pages, as a copied article would be. A page counts once for a
+line, however often it repeats it. Blank lines are neither counted nor dropped. Lines are told apart
+by a 128-bit hash.
 
 Why the result is small: a page with k distinct lines adds k to its host's line counts, so a host
-has at most (mean lines a page) / ratio lines above the ratio, whatever its size.
+has at most (mean lines a page) / ratio lines above the ratio, whatever its size. A page's lines
+meet them in one hashed intersection, so looking up costs lines of the page + lines of the list.
 
 Defined cases: a null host is a host of its own; a null text stays null and counts as a page
 without lines; a page all of whose lines go keeps an empty text; repeated rows are pages of their
-own; further columns pass through, and names that begin with ``_ld_`` are reserved."""
+own; an empty table gives an empty result; further columns pass through, columns named like the two
+counts are replaced (name the counts otherwise to keep them), and names that begin with ``_ld_`` are
+reserved. Very long texts are read whole: a row holds its lines as an array."""
 
 from __future__ import annotations
 
@@ -19,13 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
+RATIO, PRIOR_PAGES = 0.05, 40
+
 
 def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def frequent_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 10) -> DataFrame:
-    """host, lines: the hashes of the host's boilerplate lines."""
+def frequent_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, prior_pages: int = PRIOR_PAGES) -> DataFrame:
+    """_ld_host, _ld_hash: the hashes of the host's boilerplate lines."""
     pages = df.select(F.col(host).alias("_ld_host"), F.col(text).alias("_ld_text"))
     totals = pages.groupBy("_ld_host").agg(F.count(F.lit(1)).alias("_ld_pages"))
     lines = pages.select("_ld_host", F.explode(F.array_distinct(F.split("_ld_text", "\n"))).alias("_ld_line"))
@@ -34,35 +42,34 @@ def frequent_lines(df: DataFrame, host: str = "source", text: str = "text", rati
         .select("_ld_host", _hash(F.col("_ld_line")).alias("_ld_hash"))
         .groupBy("_ld_host", "_ld_hash")
         .agg(F.count(F.lit(1)).alias("_ld_on"))
-        .filter(F.col("_ld_on") >= min_pages)
     )
     return (
         counts.alias("c")
         .join(totals.alias("t"), F.col("c._ld_host").eqNullSafe(F.col("t._ld_host")))
-        .filter(F.col("_ld_on") > F.lit(ratio) * F.col("_ld_pages"))
-        .groupBy(F.col("c._ld_host").alias("_ld_host"))
-        .agg(F.collect_list("_ld_hash").alias("_ld_lines"))
+        .filter(F.col("_ld_on") > F.lit(ratio) * (F.col("_ld_pages") + prior_pages))
+        .select("c._ld_host", "_ld_hash")
     )
 
 
-def drop_frequent_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 10) -> DataFrame:
-    """``df`` with ``text`` rewritten, plus n_lines and n_dropped (long; 0 for a null text)."""
-    heavy = cut(frequent_lines(df, host, text, ratio, min_pages), "frequent-lines")
+def drop_frequent_lines(
+    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, prior_pages: int = PRIOR_PAGES,
+    n_lines: str = "n_lines", n_dropped: str = "n_dropped",
+) -> DataFrame:
+    """``df`` with ``text`` rewritten, plus the columns ``n_lines`` and ``n_dropped`` (long; 0 for a null text)."""
+    # Within one host's short list 64 bits tell lines apart.
+    heavy = frequent_lines(df, host, text, ratio, prior_pages).groupBy("_ld_host").agg(F.collect_list("_ld_hash.a").alias("_ld_lines"))
+    heavy = cut(heavy, "frequent-lines")
     # No hint: the written table's size decides whether it is broadcast; beyond the session's
     # threshold Spark sorts and merges and splits a hot host.
     joined = df.join(heavy, F.col(host).eqNullSafe(F.col("_ld_host")), "left")
     lines = F.split(text, "\n")
-    kept = F.when(
-        F.col("_ld_lines").isNotNull(),
-        F.filter(lines, lambda x: ~F.array_contains(F.col("_ld_lines"), _hash(x))),
-    ).otherwise(lines)
-    joined = joined.withColumn("_ld_kept", kept)
+    joined = joined.withColumn("_ld_here", F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), "_ld_lines"))
+    kept = F.when(F.size("_ld_here") > 0, F.filter(lines, lambda x: ~F.array_contains("_ld_here", F.xxhash64(x)))).otherwise(lines)
+    joined = joined.withColumn("_ld_kept", kept).withColumn("_ld_n", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+    dropped = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("_ld_n") - F.size("_ld_kept")).cast("long")
     return (
-        joined.withColumn("n_lines", F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_ld_kept")).cast("long"))
-        .withColumn(text, F.array_join("_ld_kept", "\n"))
-        .drop("_ld_host", "_ld_lines", "_ld_kept")
+        joined.withColumn(n_lines, F.col("_ld_n")).withColumn(n_dropped, dropped).withColumn(text, F.array_join("_ld_kept", "\n"))
+        .drop("_ld_host", "_ld_lines", "_ld_here", "_ld_kept", "_ld_n")
     )
 
 
@@ -81,7 +88,7 @@ heavy AS (
   SELECT l.source, l.line FROM (
     SELECT source, line, count(*) AS on_pages FROM lines WHERE trim(line, ' ') <> '' GROUP BY source, line) l
   JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
-  WHERE l.on_pages >= 10 AND l.on_pages > CAST(0.05 AS DOUBLE) * p.pages),
+  WHERE l.on_pages > CAST(0.05 AS DOUBLE) * (p.pages + 40)),
 by_host AS (SELECT source, list(line) AS lines FROM heavy GROUP BY source),
 cut AS (
   SELECT d.doc_id, string_split(d.text, chr(10)) AS a,
