@@ -144,10 +144,12 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def classify(df: DataFrame, model: RuleModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """``df`` plus score and predicted."""
-    scored = with_statistics(df, text).withColumn("score", model.score()).drop(*[f"_qm_{s}" for s in STATISTICS])
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def classify(
+    df: DataFrame, model: RuleModel, threshold: float = 0.7, text: str = "text", score: str = "score", predicted: str = "predicted",
+) -> DataFrame:
+    """``df`` plus the columns ``score`` and ``predicted``, which take the place of columns of these names."""
+    scored = with_statistics(df, text).withColumn(score, model.score()).drop(*[f"_qm_{s}" for s in STATISTICS])
+    return scored.withColumn(predicted, (F.col(score) >= threshold).cast("int"))
 
 
 def op1_rule_ensemble(spark, sf_dir: str) -> DataFrame:

@@ -507,11 +507,13 @@ def test_communication_matrix_margins_and_law():
 
 def test_frequent_lines(spark):
     rows = [(i, f"Home | About\nstory {i}\n{'rare' if i < 3 else 'own'}{i}\n\n", "a" if i < 40 else None) for i in range(60)]
+    rows += [(200 + i, f"Menu {n}\nMenu {n}\nbody {i}\n{'seldom' if i % n < 2 else i}", f"small{n}") for n in range(1, 10) for i in range(10 * n, 11 * n)]
     rows += [(100, None, "a"), (101, "", "a"), (102, "Home | About\nHome | About", "a"), (103, "Home | About", "b"), rows[5]]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash")).drop("n_lines").withColumn("a", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash")).withColumn("n_dropped", F.lit("clash")).withColumn("a", F.lit(1))
     pages = collections.Counter(s for _, _, s in rows)
     on = collections.Counter((s, x) for _, t, s in rows for x in set((t or "").split("\n")) if x.strip(" "))
-    heavy = {k for k, n in on.items() if n >= 10 and n > 0.05 * pages[k[0]]}
+    heavy = {k for k, n in on.items() if n > 0.05 * (pages[k[0]] + 40)}
+    assert [n for n in range(1, 10) if (f"small{n}", f"Menu {n}") in heavy] == [3, 4, 5, 6, 7, 8, 9]
     got = collections.Counter((r.doc_id, r.text, r.n_dropped) for r in LD.drop_frequent_lines(df).collect())
     want = collections.Counter()
     for i, t, s in rows:
@@ -588,18 +590,85 @@ def test_near_dedup_stage_verifies_links_and_reaches_jaccard(spark, tmp_path):
     assert sum(i not in kept for i in range(1, 200, 2)) >= 95
 
 
-def test_near_copies_are_the_components_of_verified_candidates():
+def test_offered_partners_are_the_nearest_of_other_components():
     from eventalpha.llm import near_copies as NC
 
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**63, (5, 2), dtype=np.uint64)
-    fps = np.repeat(base, 30, axis=0)
+    fps = np.repeat(rng.integers(0, 2**63, (5, 2), dtype=np.uint64), 30, axis=0)
     for r in fps:
         for b in rng.integers(0, 128, 25):
             r[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    component = np.sort(rng.integers(0, 12, 150))
-    node = rng.permutation(150)
-    i, j = NC.all_pairs(fps[:, 0], fps[:, 1], component, node, block=16)
+    rows = [np.repeat([0, 1], 75), fps[:, 0], fps[:, 1], rng.integers(0, 12, 150), rng.permutation(150), rng.integers(90, 130, 150)]
     apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
-    want = {(a, b) for a in range(150) for b in range(150) if component[a] < component[b] and apart[a, b] <= NC.DISTANCE}
-    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 100
+
+    def fits(i, j):
+        small, large = sorted((rows[5][i], rows[5][j]))
+        return apart[i, j] <= NC.DISTANCE and rows[0][i] == rows[0][j] and rows[3][i] != rows[3][j] and small >= 0.8 * large and j - i <= NC.WINDOW
+
+    every = {(i, j) for i in range(150) for j in range(i + 1, 150) if fits(i, j)}
+    assert set(zip(*(x.tolist() for x in NC.partners(rows, 0, 150)))) == every and len(every) > 100
+    assert set(zip(*(x.tolist() for x in NC.partners(rows, 100, 150)))) == {(i, j) for i, j in every if j >= 100}
+    two = set(zip(*(x.tolist() for x in NC.partners(rows, 0, 2))))
+    assert two < every
+    for i in range(150):
+        later, earlier = sorted(apart[i, j] for a, j in every if a == i), sorted(apart[j, i] for j, b in every if b == i)
+        assert sorted(apart[i, j] for a, j in two if a == i)[:2] == later[:2]
+        assert sorted(apart[j, i] for j, b in two if b == i)[:2] == earlier[:2]
+
+
+def test_near_dedup_of_a_dense_group_against_brute_force(spark, tmp_path):
+    """Copies with more and more edits, so that links end at every similarity; no link is unverified."""
+    from eventalpha.llm import near_copies as NC
+
+    rng = random.Random(31)
+    base = prose(rng, 120).split()
+    rows = [(i, prose(rng, 80)) for i in range(1000, 1300)]
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(120), i % 12):
+            w[at] = f"edit{rng.random()}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(a, b) for a in sets for b in sets if a < b < 1000 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in NC.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[i] == i or find(i) == find(got[i]) for i in got)
+    caught = sum(got[a] == got[b] for a, b in links) / len(links)
+    copies = sum(got[i] != i for i in got if find(i) != i) / sum(find(i) != i for i in got)
+    assert caught >= 0.95 and copies >= 0.95, (caught, copies)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null ids, repeated rows, clashing columns, a table without n_chars, empty tables."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(6)
+    item, a, b = prose(rng, 12) + ". " + prose(rng, 9) + ".", prose(rng, 60), prose(rng, 60)
+    texts = [(1, a), (1, a), (None, a), (None, b), (None, b), (7, b + " " + item), (None, item), (8, None), (9, ""), (3, prose(rng, 50)), (3, prose(rng, 50))]
+    rows = [(i, t, "h", "p", "q", 5, "r") for i, t in texts]
+    schema = "doc_id long, text string, source string, score string, predicted string, n_lines int, component_id string"
+    df = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+    for _, stage in pipeline.STAGES[:4]:
+        assert stage(spark, df, d).columns == df.columns
+        assert stage(spark, df.limit(0), d).count() == 0
+    assert pipeline.encode(spark, df.limit(0), d).count() == 0
+    for _, stage in pipeline.STAGES[:2]:
+        assert stage(spark, df, d).count() == len(rows)
+    near = collections.Counter((r.doc_id, r.text) for r in pipeline.near_dedup(spark, df, d).collect())
+    assert max(near.values()) == 1
+    by_text = collections.Counter(t for _, t in near.elements())
+    assert near[1, a] == 1 and by_text[a] == 1 and by_text[b] == 1 and by_text[None] + by_text[""] == 1 and by_text[item] == 1
+    assert sum(n for (i, _), n in near.items() if i == 3) == 2
+    left = [(r.doc_id, r.text) for r in pipeline.decontaminate(spark, df, d).collect()]
+    assert sorted(left, key=str) == sorted([x for x in texts if item not in (x[1] or "")], key=str)
