@@ -13,9 +13,17 @@ Entry = tuple[str, str, str]
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
+MOST_ENTRIES = 20_000  # a lexicon becomes part of the plan
+
+
 def load(entries: DataFrame | list[Entry], casefold_terms: bool = True, dedupe_terms: bool = True) -> list[Entry]:
-    """Entries of a lexicon table (a few thousand rows at most: it becomes part of the plan)."""
-    rows = [tuple(r) for r in entries.select("category", "polarity", "term").collect()] if isinstance(entries, DataFrame) else list(entries)
+    """Entries of a lexicon table; ValueError beyond MOST_ENTRIES rows."""
+    if isinstance(entries, DataFrame):
+        rows = [tuple(r) for r in entries.select("category", "polarity", "term").limit(MOST_ENTRIES + 1).collect()]
+    else:
+        rows = list(entries)
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a lexicon of over {MOST_ENTRIES} entries: join it as a table of words instead")
     rows = [(c, p, t.lower() if casefold_terms else t) for c, p, t in rows if t]
     return list(dict.fromkeys(rows)) if dedupe_terms else rows
 
@@ -141,32 +149,41 @@ def rule_sentiment(
     """struct<score,n,shifters,negated,polarization,confidence> by one pass over the words.
 
     Shifters multiply until the next weighted word; a negator turns the following ``window`` plain
-    words (factor -0.8) unless a terminator comes first; shifters do not use up the window."""
-    words = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", ""))
-    words = F.filter(words, lambda w: w.isNotNull())
-    number = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(float(v)))])
-    weight_of, shift_of = number(weights), number(shifters)
+    words (factor -0.8) unless a terminator comes first; shifters do not use up the window.
+
+    The terms that a text has come from one hashed intersection, so the tables are searched once for
+    each of them, not for each word; the fold visits only words that are terms or hold a terminator, and
+    reckons the words between from their places."""
+    marks = r"(?<!\S)[.,!?;:]+|[.,!?;:]+(?!\S)"
+    words = F.split(F.regexp_replace(F.lower(text), marks, ""), r"\s+")
+    kind_of = {t: 0 for t in weights} | {t: 1 for t in shifters} | {t: 2 for t in negators}
+    value_of = {t: float(v) for t, v in (weights | shifters).items()}
+    # kind: 0 weighted, 1 shifter, 2 negator; a word that only ends a window is 3
+    terms = F.array(*[F.lit(t) for t in kind_of]).cast("array<string>")
+    table = F.create_map(*[x for t, k in kind_of.items() for x in (F.lit(t), F.struct(F.lit(k).alias("kind"), F.lit(value_of.get(t, 0.0)).alias("value")))])
     zero = F.lit(0.0)
     start = F.struct(
-        F.lit(0).alias("left"), F.lit(1.0).alias("mod"), zero.alias("s"), zero.alias("ss"), F.lit(0).alias("n"), F.lit(0).alias("shifters"), F.lit(False).alias("negated"),
+        F.lit(0).alias("until"), F.lit(0).alias("others"), F.lit(1.0).alias("mod"), zero.alias("s"), zero.alias("ss"), F.lit(0).alias("n"),
+        F.lit(0).alias("shifters"), F.lit(False).alias("negated"),
     )
 
-    def step(a: Column, w: Column) -> Column:
-        is_negator = w.isin(*negators)
-        shift = F.try_element_at(shift_of, w)
-        is_shifter = ~is_negator & shift.isNotNull()
-        plain = ~is_negator & shift.isNull()
-        value = F.try_element_at(weight_of, w)
-        has = plain & value.isNotNull()
-        score = value * a["mod"] * F.when(a["left"] > 0, F.lit(-0.8)).otherwise(F.lit(1.0))
-        ends = F.lit(False)
+    def ends(w: Column) -> Column:
+        out = F.lit(False)
         for t in terminators:
-            ends = ends | F.contains(w, F.lit(t))
+            out = out | F.contains(w, F.lit(t))
+        return out
+
+    def step(a: Column, x: Column) -> Column:
+        kind, value = x["kind"], x["value"]
+        plain = x["place"] - a["others"]  # plain words before this one
+        negator, shifter, has = kind == 2, kind == 1, kind == 0
+        score = value * a["mod"] * F.when(plain < a["until"], F.lit(-0.8)).otherwise(F.lit(1.0))
         return F.struct(
-            F.when(is_negator, F.lit(window)).when(is_shifter, a["left"]).when(ends, F.lit(0)).otherwise(F.greatest(a["left"] - 1, F.lit(0))).alias("left"),
-            F.when(is_shifter, a["mod"] * shift).when(has, F.lit(1.0)).otherwise(a["mod"]).alias("mod"),
+            F.when(negator, plain + window).when(x["ends"] & ~shifter, F.lit(0)).otherwise(a["until"]).alias("until"),
+            (a["others"] + (negator | shifter).cast("int")).alias("others"),
+            F.when(shifter, a["mod"] * value).when(has, F.lit(1.0)).otherwise(a["mod"]).alias("mod"),
             (a["s"] + F.when(has, score).otherwise(zero)).alias("s"), (a["ss"] + F.when(has, score * score).otherwise(zero)).alias("ss"),
-            (a["n"] + has.cast("int")).alias("n"), (a["shifters"] + is_shifter.cast("int")).alias("shifters"), (a["negated"] | is_negator).alias("negated"),
+            (a["n"] + has.cast("int")).alias("n"), (a["shifters"] + shifter.cast("int")).alias("shifters"), (a["negated"] | negator).alias("negated"),
         )
 
     def done(a: Column) -> Column:
@@ -177,7 +194,21 @@ def rule_sentiment(
             a["negated"].alias("negated"), spread.alias("polarization"), F.least(a["n"] / 10, F.lit(1.0)).alias("confidence"),
         )
 
-    return F.aggregate(words, start, step, done)
+    def folded(words: Column, here: Column, entries: Column) -> Column:
+        def entry(w: Column, i: Column) -> Column:
+            at = F.array_position(here, w).cast("int")
+            e = F.get(entries, at - 1)
+            return F.struct(i.alias("place"), F.when(at > 0, e["kind"]).otherwise(F.lit(3)).alias("kind"), F.when(at > 0, e["value"]).otherwise(zero).alias("value"), ends(w).alias("ends"))
+
+        found = F.filter(F.transform(words, entry), lambda x: (x["kind"] < 3) | x["ends"])
+        return F.aggregate(found, start, step, done)
+
+    def bound(value: Column, f) -> Column:
+        """f of a variable that holds the value, so that it is computed once."""
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    looked_up = lambda here: F.transform(here, lambda t: F.try_element_at(table, t))
+    return F.when(text.isNotNull(), bound(words, lambda w: bound(F.array_intersect(w, terms), lambda here: bound(looked_up(here), lambda e: folded(w, here, e)))))
 
 
 def label_of(score: Column, dead: float = 0.1) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 URL = r"https?://\S+|www\.\S+"
 EMAIL = r"\S+@\S+\.\S+"
+# Patterns and item numbers that results depend on.
 BOILERPLATE = (
     r"UNITED STATES\s+SECURITIES AND EXCHANGE COMMISSION.*?Washington, D\.C\. 20549",
     r"FORM \d+-[A-Z]+",
@@ -38,7 +39,9 @@ def clean_text(text: Column, urls: bool = True, emails: bool = True, numbers: bo
 
 
 def clean_for_sentiment(text: Column) -> Column:
-    """URLs, addresses and signs go; letters, digits, punctuation and case stay."""
+    """URLs, addresses and signs go; letters, digits, punctuation and case stay. An address is any run
+    with an @ and a full stop behind it, a URL runs to the next white space, both with the punctuation
+    that ends them."""
     return squeeze(F.regexp_replace(clean_text(text), r"""[^\p{L}\p{N}_\s.,!?;:\-'"()]""", " "))
 
 

@@ -26,26 +26,39 @@ def virality(retweets: Column, likes: Column, followers: Column) -> Column:
     return (F.coalesce(retweets, F.lit(0)) + F.coalesce(likes, F.lit(0)) / 10) * F.log1p(F.coalesce(followers, F.lit(1)).cast("double"))
 
 
-def reaction_features(joined: DataFrame, event: str = "event_id") -> DataFrame:
-    """From posts joined to events (days: signed distance, day: calendar day): the reaction to each
-    event. Posts after day 3 count in n_posts only."""
-    pre, post = F.col("days") < 0, (F.col("days") >= 0) & (F.col("days") <= 3)
+def on_days(daily: DataFrame, events: DataFrame, before: int, after: int, key: str = "event_id", date: str = "event_date") -> DataFrame:
+    """Rows of ``daily`` (ticker, day, ...) for the days [date - before, date + after] of each event of
+    the ticker, with offset, the day's distance. An event meets one row a day, however many posts a day
+    has: the join grows with events times days, not with events times posts."""
+    spread = events.select(key, "ticker", date, F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"))
+    return spread.withColumn("day", F.date_add(date, F.col("offset"))).join(daily, ["ticker", "day"])
+
+
+def reaction_features(posts: DataFrame, events: DataFrame, before: int = 10, after: int = 3, key: str = "event_id", ts: str = "ts") -> DataFrame:
+    """The reaction to each event in the posts of its ticker from ``before`` days before its date to
+    ``after`` days after it, that last instant included. Posts are summed up by day once; of day
+    ``after`` only its first instant counts, which has sums of its own."""
     v = virality(F.col("retweets"), F.col("likes"), F.col("followers"))
     w, s = (v + 1) * (F.coalesce("quality", F.lit(0.5)) + 0.5), F.col("sentiment")
-    daily = joined.groupBy(event, "day").agg(
-        F.sum(F.when(post, s * w)).alias("sw"), F.sum(F.when(post, w)).alias("w"), F.count_if(pre).alias("n_pre"), F.count_if(post).alias("n_post"),
-        F.sum(F.when(post, s)).alias("s_post"), F.sum(F.when(pre, s)).alias("s_pre"), F.sum(F.when(post, v)).alias("v_post"), F.count(F.lit(1)).alias("n"),
+    sums = {"sw": s * w, "w": w, "s": s, "v": v, "n": F.lit(1)}
+    first = F.col(ts) == F.date_trunc("day", ts)
+    daily = posts.groupBy("ticker", F.to_date(ts).alias("day")).agg(
+        *[F.sum(x).alias(k) for k, x in sums.items()], *[F.sum(F.when(first, x)).alias(f"{k}_first") for k, x in sums.items()]
     )
-    n_pre, n_post = F.sum("n_pre"), F.sum("n_post")
-    return daily.groupBy(event).agg(
-        F.coalesce(F.try_divide(F.sum("sw"), F.sum("w")), F.lit(0.0)).alias("intensity"),
+    near = on_days(daily, events, before, after, key)
+    end, pre = F.col("offset") == after, F.col("offset") < 0
+    value = {k: F.when(end, F.col(f"{k}_first")).otherwise(F.col(k)) for k in sums}
+    n_pre, n_post = (F.coalesce(F.sum(F.when(x, value["n"])), F.lit(0)) for x in (pre, ~pre))
+    of_post = lambda k: F.sum(F.when(~pre, value[k]))
+    return near.groupBy(key).agg(
+        F.coalesce(F.try_divide(of_post("sw"), of_post("w")), F.lit(0.0)).alias("intensity"),
         F.when(n_post == 0, F.lit(1.0)).when(n_pre < 3, F.log1p(n_post.cast("double"))).otherwise(n_post / n_pre).alias("volume_ratio"),
-        F.count_if((F.col("n_post") > 0) & (F.abs(F.col("s_post") / F.col("n_post")) > 0.2)).alias("duration_days"),
-        F.when(n_post > 0, F.log1p(F.sum("v_post") / n_post)).otherwise(F.lit(0.0)).alias("amplification"),
+        F.count_if(~pre & (value["n"] > 0) & (F.abs(value["s"] / value["n"]) > 0.2)).alias("duration_days"),
+        F.when(n_post > 0, F.log1p(of_post("v") / n_post)).otherwise(F.lit(0.0)).alias("amplification"),
         F.when(n_pre == 0, F.lit(0.0)).otherwise((n_post - n_pre) / F.sqrt(n_pre)).alias("baseline_deviation"),
-        F.when(n_pre < 3, F.lit(0.0)).otherwise(F.sum("s_pre") / n_pre).alias("pre_event_sentiment"),
-        F.sum("n").alias("n_posts"), n_pre.alias("n_pre"), n_post.alias("n_post"),
-    )
+        F.when(n_pre < 3, F.lit(0.0)).otherwise(F.sum(F.when(pre, value["s"])) / n_pre).alias("pre_event_sentiment"),
+        (n_pre + n_post).alias("n_posts"), n_pre.alias("n_pre"), n_post.alias("n_post"),
+    ).filter("n_posts > 0")
 
 
 #: What an event without posts gets.
@@ -61,19 +74,26 @@ def word_count(text: str = "text") -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), ""))
 
 
-def temporal_features(events: DataFrame, joined: DataFrame, days: int = 7, key: str = "event_id", high: float = 0.1, strong: float = 0.5) -> DataFrame:
-    """Counts, ratios and moments of the posts in the days before each event; events without posts
-    get zeros."""
+def temporal_features(posts: DataFrame, events: DataFrame, days: int = 7, key: str = "event_id", high: float = 0.1, strong: float = 0.5, ts: str = "ts") -> DataFrame:
+    """Counts, ratios and moments of the posts in the ``days`` days before each event's date; events
+    without posts get zeros. Posts are summed up by day once, and an event adds up its days."""
     s = F.col("sentiment")
-    words = F.col("n_words") if "n_words" in joined.columns else word_count()
-    f = joined.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_posts"), F.count_if(s > high).alias("n_positive"), F.count_if(s < -high).alias("n_negative"),
-        F.count_if(s > strong).alias("n_strong_positive"), F.count_if(s < -strong).alias("n_strong_negative"), F.sum(words).alias("n_words"),
-        F.avg(s).alias("mean"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("std"), F.max(s).alias("max"), F.min(s).alias("min"), F.countDistinct("day").alias("n_days"),
+    words = F.col("n_words") if "n_words" in posts.columns else word_count()
+    counts = {
+        "n_posts": F.count(F.lit(1)), "n_positive": F.count_if(s > high), "n_negative": F.count_if(s < -high),
+        "n_strong_positive": F.count_if(s > strong), "n_strong_negative": F.count_if(s < -strong), "n_words": F.sum(words),
+    }
+    daily = posts.groupBy("ticker", F.to_date(ts).alias("day")).agg(
+        *[c.alias(k) for k, c in counts.items()], F.count(s).alias("_n"), F.sum(s).alias("_s"), F.var_pop(s).alias("_v"), F.max(s).alias("max"), F.min(s).alias("min"))
+    # Deviations from the mean add up over days as n * (variance + mean^2) - total * mean^2.
+    n, m = F.sum("_n"), F.sum("_s") / F.sum("_n")
+    square = F.sum(F.col("_n") * (F.col("_v") + F.pow(F.col("_s") / F.col("_n"), F.lit(2.0)))) - n * m * m
+    f = on_days(daily, events, days, -1, key).groupBy(key).agg(
+        *[F.sum(k).alias(k) for k in counts], m.alias("mean"), F.when(n > 1, F.sqrt(F.greatest(square, F.lit(0.0)) / (n - 1))).otherwise(F.lit(0.0)).alias("std"),
+        F.max("max").alias("max"), F.min("min").alias("min"), F.count(F.lit(1)).alias("n_days"),
     )
     f = f.withColumn("ratio", F.col("n_positive") / F.greatest("n_negative", F.lit(1))).withColumn("daily_volume", F.col("n_posts") / days).withColumn("coverage", F.col("n_days") / days)
-    counts = ("n_posts", "n_positive", "n_negative", "n_strong_positive", "n_strong_negative", "n_words", "n_days")
-    return events.select(key).join(f, key, "left").fillna(0, subset=list(counts)).fillna(0.0)
+    return events.select(key).join(f, key, "left").fillna(0, subset=[*counts, "n_days"]).fillna(0.0)
 
 
 def sentiment_trend(joined: DataFrame, key: str = "event_id") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from eventalpha.operators.features import on_days
 
 
 def word_correlations(docs: DataFrame, tokens: str, ret: str, least: int, by: list[str] | None = None) -> DataFrame:
@@ -37,17 +38,27 @@ def score_text(docs: DataFrame, tokens: str, scores: DataFrame, key: str, thresh
     )
 
 
-def trending(posts: DataFrame, k: int, least: int = 6, text: str = "text") -> DataFrame:
-    """The k most frequent words of at least ``least`` letters; ties by word."""
-    words = posts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return words.filter(F.length("word") >= least).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(k)
+def word_counts(texts: DataFrame, key: str, least: int = 6, text: str = "text") -> DataFrame:
+    """key, word, n of the words of at least ``least`` letters; worth computing once for a text that
+    many posts share."""
+    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return words.filter(F.length("word") >= least).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trending(words: DataFrame, k: int) -> DataFrame:
+    """The k most frequent words of rows (word, n); ties by word."""
+    return words.groupBy("word").agg(F.sum("n").cast("long").alias("n")).orderBy(F.desc("n"), "word").limit(k)
+
+
+def listed(tokens: Column, words: list[str]) -> Column:
+    """How many of the words are among the tokens."""
+    return F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words])))
 
 
-def best_and_worst_counts(joined: DataFrame, tokens: str, best: list[str], worst: list[str], key: str) -> DataFrame:
-    """Distinct listed words in positive and in negative posts, summed by event."""
-    have = lambda listed: F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in listed])))
+def best_and_worst_counts(posts: DataFrame, events: DataFrame, days: int, key: str = "event_id", ts: str = "ts") -> DataFrame:
+    """Sums of ``best`` and ``worst`` (see listed) over the positive and the negative posts of the days
+    before each event; by day once, then over each event's days."""
     up, down = F.col("sentiment") > 0, F.col("sentiment") < 0
-    return joined.groupBy(key).agg(*[
-        F.sum(F.when(side, have(listed)).otherwise(0)).cast("long").alias(f"{name}_{kind}")
-        for kind, side in (("positive", up), ("negative", down)) for name, listed in (("best", best), ("worst", worst))
-    ])
+    sums = [F.sum(F.when(side, F.col(name)).otherwise(0)).alias(f"{name}_{kind}") for kind, side in (("positive", up), ("negative", down)) for name in ("best", "worst")]
+    daily = posts.groupBy("ticker", F.to_date(ts).alias("day")).agg(*sums)
+    return on_days(daily, events, days, -1, key).groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in daily.columns[2:]])

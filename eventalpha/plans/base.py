@@ -1,7 +1,9 @@
 """Registry of queries and the carrier tables that they run on.
 
 The driver tables are not financial, so carriers derive posts, filings, prices, signals and runs from
-them by integer arithmetic, once as DataFrames and once as SQL."""
+them by integer arithmetic, once as DataFrames and once as SQL. Every carrier has all rows of its table
+and whole texts: a post for each row of ``events``, a filing and an event for each document. Several
+posts share a document as their text."""
 
 from __future__ import annotations
 
@@ -30,6 +32,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is bound by processors: a table of fewer files than cores is dealt out to all cores.
+    A large table has more files, and nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def ticker(n: Column) -> Column:
     return F.concat(F.lit("T"), F.lpad(n.cast("string"), 2, "0"))
 
@@ -44,24 +53,32 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def posts_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(300)).alias("text"))
-    n = docs.count()
-    return posts(spark, d).withColumn("doc_id", F.col("post_id") % n).join(docs, "doc_id").drop("doc_id")
+def posts_text(spark: SparkSession, d: str, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Posts with their whole texts. ``derive`` computes columns from ``text`` alone: once for a text
+    that many posts share, before the join; it may drop the text, so that the join does not move it."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    docs = derive(docs) if derive else docs
+    return posts(spark, d).withColumn("doc_id", F.col("post_id") % (last + 1)).join(docs, "doc_id", "left").drop("doc_id")
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     kind = F.when(i % 10 < 7, "8-K").when(i % 10 == 7, "10-K").otherwise("10-Q")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(
         i.alias("filing_id"), ticker(i % 25).alias("ticker"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int")).alias("date"),
         kind.alias("filing_type"), "text",
     )
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """One event for every fourth filing."""
-    return filings(spark, d).filter("filing_id % 4 = 0").select(F.col("filing_id").alias("event_id"), "ticker", F.col("date").alias("event_date"), "filing_type")
+    """One event for every filing."""
+    return filings(spark, d).select(F.col("filing_id").alias("event_id"), "ticker", F.col("date").alias("event_date"), "filing_type")
+
+
+def grade(sentiment: Column) -> Column:
+    """A severity for each post, so that about one in twenty is a scandal of some kind."""
+    return F.when(sentiment <= -0.99, "CRITICAL").when(sentiment <= -0.97, "HIGH").when(sentiment <= -0.94, "MEDIUM").otherwise("LOW")
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
@@ -128,11 +145,12 @@ CARRIERS = {
     "posts": (f"""SELECT event_id AS post_id, {_T.format('user_id % 25')} AS ticker, ts, (event_id * 37 % 201 - 100) / 100 AS sentiment,
         CAST(floor(value) AS BIGINT) AS likes, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS retweets,
         event_id * 7919 % 5000 AS followers, event_id * 13 % 100 / 100 AS quality, event_type AS source FROM events""", ""),
-    "posts_text": ("""SELECT p.*, left(d.text, 300) AS text FROM posts p JOIN documents d
-        ON p.post_id % (SELECT count(*) FROM documents) = d.doc_id""", "posts"),
+    "posts_text": ("""SELECT p.*, d.text FROM posts p LEFT JOIN documents d
+        ON p.post_id % (SELECT max(doc_id) + 1 FROM documents) = d.doc_id""", "posts"),
+    "graded": ("""SELECT *, CASE WHEN sentiment <= CAST(-0.99 AS DOUBLE) THEN 'CRITICAL' WHEN sentiment <= CAST(-0.97 AS DOUBLE) THEN 'HIGH' WHEN sentiment <= CAST(-0.94 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM posts""", "posts"),
     "filings": (f"""SELECT doc_id AS filing_id, {_T.format('doc_id % 25')} AS ticker, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date,
         CASE WHEN doc_id % 10 < 7 THEN '8-K' WHEN doc_id % 10 = 7 THEN '10-K' ELSE '10-Q' END AS filing_type, text FROM documents""", ""),
-    "evts": ("SELECT filing_id AS event_id, ticker, date AS event_date, filing_type FROM filings WHERE filing_id % 4 = 0", "filings"),
+    "evts": ("SELECT filing_id AS event_id, ticker, date AS event_date, filing_type FROM filings", "filings"),
     "prices": (f"""SELECT {_T.format('l_suppkey % 10')} AS ticker, CAST(l_shipdate AS DATE) + 10591 AS date,
         sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / (sum(CAST(l_quantity AS BIGINT)) * 100) AS close, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume FROM lineitem GROUP BY 1, 2""", ""),
     "rets": ("""SELECT ticker AS run_id, date, ret / 20 AS ret FROM (SELECT ticker, date,

@@ -112,10 +112,10 @@ def signal_enforce(spark, d):
 
 @query("""SELECT CAST(25 AS BIGINT) AS expected, CAST(count(*) AS BIGINT) AS covered, count(*) / 25 AS coverage, sum(n) / 25 AS posts_per_ticker,
       round(date_diff('second', max(last), TIMESTAMP '2024-02-01 00:00:00') / 3600, 4) AS stale_hours, CASE WHEN count(*) / 25 >= 0.8 THEN 'FULL' WHEN count(*) / 25 >= 0.5 THEN 'PARTIAL' WHEN count(*) / 25 >= 0.2 THEN 'SPARSE' ELSE 'DROPOUT' END AS quality,
-      count(*) / 25 < 0.2 AS halt FROM (SELECT ticker, count(*) AS n, max(date_trunc('second', ts)) AS last FROM posts WHERE source = 'purchase' OR post_id % 100 = 0 GROUP BY ticker)""", "posts")
+      count(*) / 25 < 0.2 AS halt FROM (SELECT ticker, count(*) AS n, max(date_trunc('second', ts)) AS last FROM posts GROUP BY ticker)""", "posts")
 def coverage(spark, d):
     expected = spark.range(25).select(ticker(F.col("id")).alias("ticker"))
-    p = posts(spark, d).filter((F.col("source") == "purchase") | (F.col("post_id") % 100 == 0)).withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    p = posts(spark, d).withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
     return Q.coverage(expected, p, "2024-02-01 00:00:00").withColumn("stale_hours", F.round("stale_hours", 4))
 
 
@@ -174,10 +174,6 @@ def before(spark, d, p=None):
     return J.interval_join(p if p is not None else posts(spark, d), events(spark, d), 7, 0, closed_end=False)
 
 
-def around(spark, d):
-    return J.interval_join(posts(spark, d), events(spark, d), 10, 3)
-
-
 @query("SELECT s.event_id, s.ticker, s.date, p.close AS close_asof FROM sigs s ASOF LEFT JOIN prices p ON s.ticker = p.ticker AND s.date >= p.date", "sigs prices")
 def price_asof(spark, d):
     return M.price_asof(signals(spark, d).select("event_id", "ticker", "date"), prices(spark, d))
@@ -223,9 +219,12 @@ def universe_semi(spark, d):
     return J.restrict(filings(spark, d), universe(spark, d).filter("cap > 5000"), ["ticker"]).select("filing_id", "ticker")
 
 
-@query("SELECT event_id, ticker FROM evts WHERE NOT EXISTS (SELECT 1 FROM posts p WHERE p.post_id % 20 = 0 AND p.ticker = evts.ticker AND CAST(ts AS DATE) = event_date)", "evts posts")
+@query("""SELECT event_id, ticker FROM evts WHERE (ticker, event_date) NOT IN (SELECT (ticker, CAST(ts AS DATE)) FROM posts GROUP BY ticker, CAST(ts AS DATE)
+    HAVING sum(CAST(round(sentiment * 100) AS BIGINT)) > 0)""", "evts posts")
 def missing_posts(spark, d):
-    days = posts(spark, d).filter("post_id % 20 = 0").select("ticker", F.to_date("ts").alias("event_date"))
+    """Events on days without posts of good mood on the whole."""
+    total = F.sum(F.round(F.col("sentiment") * 100).cast("long"))
+    days = posts(spark, d).groupBy("ticker", F.to_date("ts").alias("event_date")).agg(total.alias("mood")).filter("mood > 0")
     return J.missing(events(spark, d), days, ["ticker", "event_date"]).select("event_id", "ticker")
 
 
@@ -255,7 +254,8 @@ _AROUND = """around AS (SELECT e.event_id, p.*, (epoch_us(ts) - epoch_us(CAST(ev
       round(CASE WHEN coalesce(n_pre, 0) < 3 THEN 0 ELSE pre END, 6) AS pre_event_sentiment, CAST(coalesce(n_posts, 0) AS BIGINT) AS n_posts, CAST(coalesce(n_pre, 0) AS BIGINT) AS n_pre, CAST(coalesce(n_post, 0) AS BIGINT) AS n_post
     FROM evts e LEFT JOIN reac r USING (event_id)""", "posts evts")
 def reaction_features(spark, d):
-    f = FE.with_defaults(events(spark, d).select("event_id"), FE.reaction_features(around(spark, d)))
+    e = events(spark, d)
+    f = FE.with_defaults(e.select("event_id"), FE.reaction_features(posts(spark, d), e))
     return f.select("event_id", *[F.round(c, 6).alias(c) for c in ("intensity", "volume_ratio", "amplification", "baseline_deviation", "pre_event_sentiment")], "duration_days", "n_posts", "n_pre", "n_post")
 
 
@@ -267,12 +267,12 @@ _BEFORE = """bef AS (SELECT e.event_id, p.*, CAST(ts AS DATE) AS day, row_number
     FROM evts e LEFT JOIN (SELECT event_id, count(*) AS n, count(*) FILTER (sentiment > 0.1) AS np, count(*) FILTER (sentiment < -0.1) AS nn, count(*) FILTER (sentiment > 0.5) AS sp, count(*) FILTER (sentiment < -0.5) AS sn,
       sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS nw, avg(sentiment) AS m, stddev_samp(sentiment) AS sd, max(sentiment) AS mx, min(sentiment) AS mi, count(DISTINCT day) AS nd FROM bef GROUP BY event_id) f USING (event_id)""", "posts_text evts")
 def temporal_features(spark, d):
-    p = posts_text(spark, d).withColumn("n_words", FE.word_count()).drop("text")
-    out = FE.temporal_features(events(spark, d), before(spark, d, p))
+    p = posts_text(spark, d, lambda docs: docs.select("doc_id", FE.word_count().alias("n_words")))
+    out = FE.temporal_features(p, events(spark, d))
     return out.select(*[F.round(c, 8).alias(c) if c in ("mean", "std", "ratio", "daily_volume", "coverage") else F.col(c) for c in out.columns])
 
 
-@query(f", {_BEFORE.format('posts')} SELECT event_id, round(coalesce(regr_slope(sentiment, nth), 0), 6) AS trend FROM bef GROUP BY event_id", "posts evts")
+@query(f", {_BEFORE.format('posts')} SELECT event_id, round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(sentiment, nth) END, 6) AS trend FROM bef GROUP BY event_id", "posts evts")
 def sentiment_trend(spark, d):
     return FE.sentiment_trend(before(spark, d)).withColumn("trend", F.round("trend", 6))
 
@@ -295,8 +295,11 @@ BEST, WORST = ["the", "que", "ing", "und"], ["and", "les", "der", "del"]
     SELECT event_id, CAST(coalesce(sum(b) FILTER (sentiment > 0), 0) AS BIGINT) AS best_positive, CAST(coalesce(sum(o) FILTER (sentiment > 0), 0) AS BIGINT) AS worst_positive, CAST(coalesce(sum(b) FILTER (sentiment < 0), 0) AS BIGINT) AS best_negative,
       CAST(coalesce(sum(o) FILTER (sentiment < 0), 0) AS BIGINT) AS worst_negative FROM c GROUP BY event_id""", "posts_text evts")
 def wordcorr_counts(spark, d):
-    b = before(spark, d, posts_text(spark, d)).withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    return W.best_and_worst_counts(b, "w", BEST, WORST, "event_id")
+    def counted(docs):
+        w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+        return docs.select("doc_id", *[W.listed(w, x).alias(n) for n, x in (("best", BEST), ("worst", WORST))])
+
+    return W.best_and_worst_counts(posts_text(spark, d, counted), events(spark, d), 7)
 
 
 _DOCRET = """dr AS (SELECT filing_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3) AS w, (filing_id * 37 % 201 - 100) / 1000 AS r, filing_id % 3 AS yr FROM filings),
@@ -334,7 +337,7 @@ def score_text(spark, d):
 
 @query("""SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM posts_text) WHERE length(word) >= 6 GROUP BY word ORDER BY n DESC, word LIMIT 10""", "posts_text")
 def trending_terms(spark, d):
-    return W.trending(posts_text(spark, d), 10)
+    return W.trending(posts_text(spark, d, lambda docs: W.word_counts(docs, "doc_id")).filter("word is not null"), 10)
 
 
 @query("SELECT ticker, date, round(close / lag(close) OVER w - 1, 6) AS ret, round(ln(close / lag(close) OVER w), 6) AS log_ret, round(lead(close, 3) OVER w / close - 1, 6) AS forward_ret FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)", "prices")
@@ -344,7 +347,7 @@ def returns(spark, d):
 
 
 @query(f""", {_BEFORE.format('posts')} SELECT e.event_id, CAST(coalesce(n, 0) AS BIGINT) AS n_posts, round(coalesce(m, 0), 8) AS mean, round(coalesce(t, 0), 6) AS trend, CAST(filing_type = '8-K' AS INTEGER) AS is_8k, CAST(filing_type = '10-K' AS INTEGER) AS is_10k
-    FROM evts e LEFT JOIN (SELECT event_id, count(*) AS n, avg(sentiment) AS m, regr_slope(sentiment, nth) AS t FROM bef GROUP BY event_id) f USING (event_id)""", "posts evts")
+    FROM evts e LEFT JOIN (SELECT event_id, count(*) AS n, avg(sentiment) AS m, CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(sentiment, nth) END AS t FROM bef GROUP BY event_id) f USING (event_id)""", "posts evts")
 def feature_matrix(spark, d):
     b = before(spark, d)
     e = events(spark, d)

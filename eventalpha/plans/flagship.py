@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from eventalpha.functions import lexicon as L
 from eventalpha.operators import features as FE
-from eventalpha.operators import joins as J
 from eventalpha.operators import portfolio as PO
 from eventalpha.operators import scoring as S
 from eventalpha.plans.base import filings, posts, query
@@ -24,7 +23,7 @@ def detected_events(spark: SparkSession, d: str) -> DataFrame:
 def signal_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Events in filings, reactions in posts, signed scores, quintiles and z-scores by date, weights."""
     events = detected_events(spark, d)
-    reactions = FE.with_defaults(events, FE.reaction_features(J.interval_join(posts(spark, d), events, 10, 3)))
+    reactions = FE.with_defaults(events, FE.reaction_features(posts(spark, d), events))
     scored = reactions.withColumn("raw_score", S.raw_score()).withColumn("date", F.col("event_date"))
     ranked = S.zscores(S.quintiles(S.filter_signals(scored), ["date"]), ["date"])
     book = PO.quintile_portfolio(ranked, ["date"], best="event_confidence")

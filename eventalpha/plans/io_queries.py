@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventalpha.functions import text as X
 from eventalpha.operators import market as M
 from eventalpha.operators import words as W
-from eventalpha.plans.base import events, filings, posts, posts_text, prices, query, signals, table, ticker
+from eventalpha.plans.base import events, filings, grade, posts, posts_text, prices, query, signals, table, ticker
 from eventalpha.plans.signal_queries import rounded
 from eventalpha.plans.text_queries import sectioned
 from eventalpha.sources import tables as S
@@ -39,11 +39,12 @@ def io_json_posts(spark, d):
     return S.parse_posts(raw, "json").select("id", "ticker", "likes", "label")
 
 
-@query("""SELECT lang AS category, CASE WHEN doc_id % 2 = 0 THEN 'positive' ELSE 'negative' END AS polarity, word AS term FROM (SELECT doc_id, lang, regexp_extract(lower(text), '[a-z]{3,}') AS word FROM documents) WHERE word <> '' GROUP BY ALL""")
+@query("""SELECT lang AS category, CASE WHEN doc_id % 2 = 0 THEN 'positive' ELSE 'negative' END AS polarity, word AS term FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) GROUP BY ALL""")
 def io_lexicon(spark, d):
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
     w = table(spark, d, "documents").select(
-        F.col("lang").alias("category"), F.when(F.col("doc_id") % 2 == 0, "positive").otherwise("negative").alias("polarity"), F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0).alias("term"))
-    made = S.lexicon_to_json(w.filter("term <> ''").distinct())
+        F.col("lang").alias("category"), F.when(F.col("doc_id") % 2 == 0, "positive").otherwise("negative").alias("polarity"), F.explode(F.array_distinct(found)).alias("term"))
+    made = S.lexicon_to_json(w.distinct())
     whole = made.select(F.concat(F.lit("{"), F.to_json(F.struct("category")).substr(F.lit(13), F.length("category") + 2), F.lit(":"), "json", F.lit("}")).alias("json"))
     return S.lexicon_from_json(whole, "json")
 
@@ -65,14 +66,16 @@ def io_runlog(spark, d):
     return S.parse_log_lines(raw).withColumnRenamed("file", "run")
 
 
-@query("SELECT date, ticker, close FROM prices WHERE ticker IN ('T01', 'T02', 'T03')", "prices")
+@query("SELECT date, ticker, close FROM prices", "prices")
 def prices_long(spark, d):
-    names = ["T01", "T02", "T03"]
+    names = [f"T{i:02d}" for i in range(10)]
     wide = prices(spark, d).groupBy("date").pivot("ticker", names).agg(F.first("close"))
     return M.wide_to_long(wide, ["date"], names)
 
 
-@query(None)
+@query("""SELECT post_id, CASE WHEN n > 0 THEN 'positive' WHEN n < 0 THEN 'negative' ELSE 'neutral' END AS label, round(n / greatest(len(w), 1), 9) AS score FROM (SELECT post_id, w,
+    len(list_filter(w, lambda x: x IN ('the', 'la', 'und'))) - len(list_filter(w, lambda x: x IN ('and', 'le', 'der'))) AS n
+    FROM (SELECT post_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM posts_text))""", "posts_text")
 def udf_model(spark, d):
     def load():
         good, bad = {"the", "la", "und"}, {"and", "le", "der"}
@@ -87,7 +90,8 @@ def udf_model(spark, d):
 
         return model
 
-    return ST.score_in_batches(posts_text(spark, d).select("post_id", "text"), load).select("post_id", "label", "score")
+    scored = posts_text(spark, d, lambda docs: ST.score_in_batches(docs, load).drop("text"))
+    return scored.select("post_id", "label", F.round("score", 9).alias("score"))
 
 
 @query("""SELECT filing_id, unnest(['1.01', '2.02', '1.01']) AS item, CAST(unnest([0, 1, 2]) AS INTEGER) AS nth FROM filings""", "filings")
@@ -116,10 +120,10 @@ def stream(spark, d):
         i.alias("post_id"), ticker(F.col("user_id") % 25).alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), ((i * 37 % 201 - 100) / 100).alias("sentiment"), F.col("event_type").alias("source"))
 
 
-@query()
+@query("SELECT DISTINCT ticker, date_trunc('minute', ts) AS minute FROM posts", "posts")
 def st_dedup(spark, d):
     s = stream(spark, d).withColumn("minute", F.date_trunc("minute", "ts"))
-    return ST.run_append(ST.dedup(s, ["ticker", "minute"]), spark, "st-dedup").select("post_id", "ticker")
+    return ST.run_append(ST.dedup(s, ["ticker", "minute"]), spark, "st-dedup").select("ticker", F.col("minute").cast("timestamp_ntz").alias("minute"))
 
 
 @query("""SELECT ticker, start, CAST(count(*) AS BIGINT) AS n_posts, round(avg(sentiment), 6) AS sentiment, CASE WHEN p >= 16 THEN 'CRITICAL' WHEN p >= 10 THEN 'HIGH' WHEN p >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (
@@ -129,11 +133,13 @@ def st_scandal(spark, d):
     return rounded(ST.run_complete(ST.scandal_windows(stream(spark, d)), spark, "st-scandal"))
 
 
-@query()
+@query("""SELECT ticker, 'HALT' AS action, until FROM (SELECT *, max(until) OVER (PARTITION BY ticker ORDER BY ts, severity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+      SELECT ticker, ts, severity, date_trunc('millisecond', ts) + to_hours(CASE severity WHEN 'CRITICAL' THEN 48 WHEN 'HIGH' THEN 24 WHEN 'MEDIUM' THEN 12 END) AS until FROM graded WHERE severity <> 'LOW')) WHERE before IS NULL OR until > before
+    UNION ALL SELECT ticker, 'RELEASE', max(until) FROM (SELECT ticker, date_trunc('millisecond', ts) + to_hours(CASE severity WHEN 'CRITICAL' THEN 48 WHEN 'HIGH' THEN 24 WHEN 'MEDIUM' THEN 12 END) AS until FROM graded WHERE severity <> 'LOW')
+    GROUP BY ticker HAVING max(until) < (SELECT max(ts) FROM graded) - INTERVAL 2 HOURS""", "graded")
 def st_halts(spark, d):
-    level = F.get(F.array(*[F.lit(x) for x in ("CRITICAL", "HIGH", "MEDIUM", "LOW")]), (F.col("post_id") % 4).cast("int"))
-    s = stream(spark, d).filter("post_id % 50 < 4").select("ticker", "ts", level.alias("severity"))
-    return ST.run_append(ST.halt_states(s), spark, "st-halts")
+    s = stream(spark, d).select("ticker", "ts", grade(F.col("sentiment")).alias("severity"))
+    return ST.run_append(ST.halt_states(s), spark, "st-halts").withColumn("until", F.col("until").cast("timestamp_ntz"))
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, CAST(count(*) AS BIGINT) AS n_posts, CAST(count(DISTINCT ticker) AS INTEGER) AS covered, CASE WHEN count(DISTINCT ticker) / 25 >= 0.8 THEN 'FULL' WHEN count(DISTINCT ticker) / 25 >= 0.5 THEN 'PARTIAL' WHEN count(DISTINCT ticker) / 25 >= 0.2 THEN 'SPARSE' ELSE 'DROPOUT' END AS quality FROM posts GROUP BY 1""", "posts")
@@ -147,7 +153,7 @@ def st_sessions(spark, d):
     return rounded(ST.run_complete(ST.post_sessions(stream(spark, d)), spark, "st-sessions"))
 
 
-@query()
+@query("SELECT event_id, post_id FROM posts p JOIN evts e ON p.ticker = e.ticker AND ts >= event_date - INTERVAL 10 DAYS AND ts <= event_date + INTERVAL 3 DAYS", "posts evts")
 def st_event_join(spark, d):
     path = S.scratch(spark, "event-stream")
     events(spark, d).select("event_id", "ticker", F.col("event_date").cast("timestamp").alias("event_ts")).write.parquet(path)

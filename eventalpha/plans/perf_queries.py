@@ -285,31 +285,31 @@ def result_checks(spark, d):
 
 
 @query("""SELECT run_id, stage, CAST(nth AS INTEGER) AS nth, CAST(n AS BIGINT) AS n, round(n / lag(n) OVER (PARTITION BY run_id ORDER BY nth), 6) AS share FROM (SELECT filing_type AS run_id, 'filings' AS stage, 0 AS nth, count(*) AS n FROM filings GROUP BY 1
-    UNION ALL SELECT filing_type, 'events', 1, count(*) FROM evts GROUP BY 1 UNION ALL SELECT filing_type, 'signals', 2, count(*) FROM evts WHERE event_id % 8 = 0 GROUP BY 1)""", "filings evts")
+    UNION ALL SELECT filing_type, 'events', 1, count(*) FROM evts GROUP BY 1 UNION ALL SELECT filing_type, 'signals', 2, count(*) FROM evts WHERE event_date >= DATE '2024-01-15' GROUP BY 1)""", "filings evts")
 def funnel(spark, d):
     by = lambda df: df.withColumnRenamed("filing_type", "run_id")
     e = by(events(spark, d))
-    return rounded(V.funnel({"filings": by(filings(spark, d)), "events": e, "signals": e.filter("event_id % 8 = 0")}))
+    return rounded(V.funnel({"filings": by(filings(spark, d)), "events": e, "signals": e.filter("event_date >= date'2024-01-15'")}))
 
 
-@query()
+@query(f", {_ASSIGN} SELECT fold, split, round(avg(ret), 9) AS mean, CAST(count(*) AS BIGINT) AS n FROM asf GROUP BY ALL", "rets")
 def udf_fold(spark, d):
     import pandas as pd
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(int(pdf.fold.iloc[0]), pdf.split.iloc[0], float(pdf.ret.mean()), int(len(pdf)))], columns=["fold", "split", "mean", "n"])
 
-    return V.per_fold(assigned(spark, d).select("fold", "split", "ret"), best, "fold int, split string, mean double, n long")
+    return V.per_fold(assigned(spark, d).select("fold", "split", "ret"), best, "fold int, split string, mean double, n long").withColumn("mean", F.round("mean", 9))
 
 
 # --- universe ---
 
-_TIERED = """tu AS (SELECT ticker, CASE member_id % 4 WHEN 0 THEN 'VERY HIGH' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM universe WHERE member_id % 7 < 3)"""
+_TIERED = """tu AS (SELECT ticker, CASE WHEN cap > 9000 THEN 'VERY HIGH' WHEN cap > 8000 THEN 'HIGH' WHEN cap > 5000 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM universe)"""
 
 
 def tiered(spark, d):
-    t = F.get(F.array(*[F.lit(x) for x in U.TIERS]), (F.col("member_id") % 4).cast("int"))
-    return universe(spark, d).filter("member_id % 7 < 3").select("ticker", t.alias("tier"))
+    cap = F.col("cap")
+    return universe(spark, d).select("ticker", F.when(cap > 9000, "VERY HIGH").when(cap > 8000, "HIGH").when(cap > 5000, "MEDIUM").otherwise("LOW").alias("tier"))
 
 
 def constituents(spark):
@@ -400,10 +400,12 @@ def select_vote(spark, d):
 
 @query()
 def classify(spark, d):
-    f = features(spark, d).withColumn("label", (F.col("label") % 3).cast("int"))
+    """Accuracy of each model on held-out rows, a fifth by a hash of the id."""
+    f = features(spark, d).withColumn("label", (F.col("label") % 3).cast("int")).withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(5)))
+    train, test = f.filter("fold <> 0").drop("fold"), f.filter("fold = 0").drop("fold")
     out = None
     for kind in ("forest", "bayes", "perceptron", "svm"):
-        a = ML.accuracy(ML.predict(ML.fit(f, FEATURES, kind=kind), f, FEATURES)).withColumn("model", F.lit(kind))
+        a = ML.accuracy(ML.predict(ML.fit(train, FEATURES, kind=kind), test, FEATURES)).withColumn("model", F.lit(kind))
         out = a if out is None else out.unionByName(a)
     return out
 

@@ -10,7 +10,7 @@ from eventalpha.operators import market as M
 from eventalpha.operators import portfolio as PO
 from eventalpha.operators import risk as R
 from eventalpha.operators import scoring as S
-from eventalpha.plans.base import posts, posts_text, prices, query, returns, scored, sectors, signals, ticker, weights
+from eventalpha.plans.base import grade, posts, posts_text, prices, query, returns, scored, sectors, signals, ticker, weights
 from eventalpha.plans.event_queries import _GRID, latest_on_grid
 
 
@@ -399,11 +399,10 @@ def scandals(spark, d):
     return rounded(R.scandals(p, R.scandal_baselines(posts(spark, d)), KEYWORDS, "2024-01-20 00:00:00"))
 
 
-@query("""SELECT ticker, max(ts + to_hours(h)) AS until, CAST(max(c) AS DOUBLE) AS exposure_cut FROM (SELECT ticker, ts, CASE post_id % 4 WHEN 0 THEN 48 WHEN 1 THEN 24 WHEN 2 THEN 12 END AS h, CASE post_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0 END AS c FROM posts WHERE post_id % 50 < 4) WHERE h IS NOT NULL
-    GROUP BY ticker HAVING max(ts + to_hours(h)) > TIMESTAMP '2024-01-30 12:00:00'""", "posts")
+@query("""SELECT ticker, max(ts + to_hours(h)) AS until, CAST(max(c) AS DOUBLE) AS exposure_cut FROM (SELECT ticker, ts, CASE severity WHEN 'CRITICAL' THEN 48 WHEN 'HIGH' THEN 24 WHEN 'MEDIUM' THEN 12 END AS h, CASE severity WHEN 'CRITICAL' THEN 0.5 WHEN 'HIGH' THEN 0.25 ELSE 0 END AS c FROM graded) WHERE h IS NOT NULL
+    GROUP BY ticker HAVING max(ts + to_hours(h)) > TIMESTAMP '2024-01-30 12:00:00'""", "graded")
 def halts(spark, d):
-    level = F.get(F.array(*[F.lit(x) for x in ("CRITICAL", "HIGH", "MEDIUM", "LOW")]), (F.col("post_id") % 4).cast("int"))
-    s = posts(spark, d).filter("post_id % 50 < 4").select("ticker", "ts", level.alias("severity"))
+    s = posts(spark, d).select("ticker", "ts", grade(F.col("sentiment")).alias("severity"))
     return R.halts(s, "2024-01-30 12:00:00")
 
 

@@ -56,12 +56,14 @@ def filing_date(spark, d):
 
 
 def sectioned(spark, d):
-    t = F.col("text")
-    made = F.concat(F.lit("Item 1.01 Entry\n"), F.left(t, F.lit(200)), F.lit("\nITEM 2.02  Results \n"), F.substring(t, 200, 150), F.lit("\nItem 1.01 Again\n"), F.right(t, F.lit(50)))
+    """The whole text under three headers."""
+    t, third = F.col("text"), F.floor(F.length("text") / 3).cast("int")
+    made = F.concat(
+        F.lit("Item 1.01 Entry\n"), F.substr(t, F.lit(1), third), F.lit("\nITEM 2.02  Results \n"), F.substr(t, third + 1, third), F.lit("\nItem 1.01 Again\n"), F.substr(t, third * 2 + 1))
     return filings(spark, d).withColumn("made", made).withColumn("sections", X.item_sections(F.col("made")))
 
 
-_SECTIONS = """made AS (SELECT *, concat('Item 1.01 Entry', chr(10), left(text, 200), chr(10), 'ITEM 2.02  Results ', chr(10), substring(text, 200, 150), chr(10), 'Item 1.01 Again', chr(10), right(text, 50)) AS m FROM filings),
+_SECTIONS = """made AS (SELECT *, concat('Item 1.01 Entry', chr(10), substring(text, 1, length(text) // 3), chr(10), 'ITEM 2.02  Results ', chr(10), substring(text, length(text) // 3 + 1, length(text) // 3), chr(10), 'Item 1.01 Again', chr(10), substring(text, length(text) // 3 * 2 + 1)) AS m FROM filings),
     sec AS (SELECT filing_id, filing_type, m, unnest(range(1, 1 + len(regexp_extract_all(m, '(?i)item\\s+(\\d+\\.\\d+)\\s+([^\\n]+)\\n', 1)))) AS nth FROM made),
     parts AS (SELECT filing_id, filing_type, m, nth, regexp_extract_all(m, '(?i)item\\s+(\\d+\\.\\d+)\\s+([^\\n]+)\\n', 1)[nth] AS item,
         trim(regexp_extract_all(m, '(?i)item\\s+(\\d+\\.\\d+)\\s+([^\\n]+)\\n', 2)[nth]) AS title,
@@ -98,7 +100,7 @@ def clean_sentiment(spark, d):
     return filings(spark, d).select("filing_id", F.md5(X.clean_for_sentiment(F.concat(F.lit("see https://x.org/a?b=1 or me@mail.example.com 12 "), "text"))).alias("text_md5"))
 
 
-_STRIP = "concat('FORM 10-K', ' ', left(text, 300), ' Commission File Number: 1', chr(10), 'Table of contents Page 1 of 9 ', right(text, 100))"
+_STRIP = "concat('FORM 10-K', ' ', substring(text, 1, length(text) // 2), ' Commission File Number: 1', chr(10), 'Table of contents Page 1 of 9 ', substring(text, length(text) // 2 + 1))"
 
 
 def _strip_sql(x: str) -> str:
@@ -109,7 +111,8 @@ def _strip_sql(x: str) -> str:
 
 @query(f"SELECT filing_id, md5({_strip_sql(_STRIP)}) AS text_md5 FROM filings", "filings")
 def strip_boilerplate(spark, d):
-    t = F.concat(F.lit("FORM 10-K "), F.left("text", F.lit(300)), F.lit(" Commission File Number: 1\nTable of contents Page 1 of 9 "), F.right("text", F.lit(100)))
+    half = F.floor(F.length("text") / 2).cast("int")
+    t = F.concat(F.lit("FORM 10-K "), F.substr("text", F.lit(1), half), F.lit(" Commission File Number: 1\nTable of contents Page 1 of 9 "), F.substr("text", half + 1))
     return filings(spark, d).select("filing_id", F.md5(X.strip_boilerplate(t)).alias("text_md5"))
 
 
@@ -148,16 +151,19 @@ def tokenize(spark, d):
       lambda i: w[greatest(i - 3, 1):i + 3])), lambda x: x NOT IN ('the', 'que')), ' '), '') AS words
     FROM (SELECT post_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM posts_text)""", "posts_text")
 def context_words(spark, d):
-    tokens = posts_text(spark, d).withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    return tokens.select("post_id", F.array_join(X.context_words(F.col("w"), ("the", "que"), 3), " ").alias("words"))
+    def near(docs):
+        tokens = docs.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+        return tokens.select("doc_id", F.array_join(X.context_words(F.col("w"), ("the", "que"), 3), " ").alias("words"))
 
+    return posts_text(spark, d, near).select("post_id", "words")
 
-@query("""SELECT * FROM (SELECT post_id, nullif(trim(concat(CASE WHEN post_id % 5 = 0 THEN '' ELSE source END, ' ', CASE WHEN post_id % 3 = 0 THEN '' ELSE text END)), '') AS body FROM posts_text) WHERE body IS NOT NULL""", "posts_text")
+
+@query("""SELECT post_id, md5(body) AS body_md5 FROM (SELECT post_id, nullif(trim(concat(CASE WHEN post_id % 5 = 0 THEN '' ELSE source END, ' ', CASE WHEN post_id % 3 = 0 THEN '' ELSE text END)), '') AS body FROM posts_text) WHERE body IS NOT NULL""", "posts_text")
 def post_text(spark, d):
     p = posts_text(spark, d)
     title = F.when(F.col("post_id") % 5 == 0, F.lit(None)).otherwise(F.col("source"))
     body = F.when(F.col("post_id") % 6 == 0, "[removed]").when(F.col("post_id") % 3 == 0, " [deleted] ").otherwise(F.col("text"))
-    return p.select("post_id", X.post_text(title, body).alias("body")).filter("body is not null")
+    return p.select("post_id", X.post_text(title, body).alias("body")).filter("body is not null").select("post_id", F.md5("body").alias("body_md5"))
 
 
 def detected(spark, d):
@@ -255,7 +261,8 @@ _SIMPLE = """simple AS (SELECT post_id, ticker, p, n, CASE WHEN p > n THEN 'posi
 
 
 def simple(spark, d):
-    s = posts_text(spark, d).withColumn("s", L.simple_sentiment(F.col("text"), ("the", "la", "und"), ("and", "le", "der", "que")))
+    words = ("the", "la", "und"), ("and", "le", "der", "que")
+    s = posts_text(spark, d, lambda docs: docs.select("doc_id", L.simple_sentiment(F.col("text"), *words).alias("s")))
     return s.select("post_id", "ticker", "s.label", "s.score")
 
 
@@ -292,7 +299,7 @@ _RULES = f"""tok AS (SELECT post_id, unnest(range(1, len(w) + 1)) AS pos, unnest
 
 
 def ruled(spark, d):
-    return posts_text(spark, d).withColumn("s", L.rule_sentiment(F.col("text"), WEIGHTS, SHIFTERS, NEGATORS, TERMINATORS))
+    return posts_text(spark, d, lambda docs: docs.select("doc_id", L.rule_sentiment(F.col("text"), WEIGHTS, SHIFTERS, NEGATORS, TERMINATORS).alias("s")))
 
 
 @query(f""", {_RULES} SELECT post_id, round(CASE WHEN n > 0 THEN greatest(least(m, 1), -1) ELSE 0 END + 1e-9, 6) AS score, CAST(n AS INT) AS n, CAST(shifters AS INT) AS shifters, negated,

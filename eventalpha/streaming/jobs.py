@@ -67,30 +67,29 @@ def post_sessions(posts: DataFrame, gap: str = "2 hours", watermark: str = "2 ho
 
 def halt_states(scandals: DataFrame) -> DataFrame:
     """scandals: (ticker, ts TIMESTAMP, severity) -> a row whenever a ticker is halted, for longer, or
-    released. The state of a ticker is the end of its halt; an event-time timer clears it."""
+    released. The state of a ticker is the end of its halt in milliseconds; an event-time timer clears it."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             until, = state.get
             state.remove()
-            yield pd.DataFrame({"ticker": [key[0]], "action": ["RELEASE"], "until": [pd.Timestamp(until, unit="ms")]})
+            yield pd.DataFrame({"ticker": [key[0]], "action": ["RELEASE"], "until_ms": [until]})
             return
         until = state.get[0] if state.exists else 0
         rows = []
-        for frame in frames:
-            for ts, level in sorted(zip(frame["ts"], frame["severity"])):
-                if level in HALT_HOURS:
-                    end = int(ts.timestamp() * 1000) + HALT_HOURS[level][0] * 3_600_000
-                    if end > until:
-                        until = end
-                        rows.append(("HALT", pd.Timestamp(end, unit="ms")))
+        for ms, level in sorted(x for frame in frames for x in zip(frame["ms"], frame["severity"])):  # scandals only, so few
+            end = int(ms) + HALT_HOURS[level][0] * 3_600_000
+            if end > until:
+                until = end
+                rows.append(end)
         if until:
             state.update((until,))
             state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"ticker": [key[0]] * len(rows), "action": [r[0] for r in rows], "until": pd.Series([r[1] for r in rows], dtype="datetime64[ns]")})
+        yield pd.DataFrame({"ticker": [key[0]] * len(rows), "action": ["HALT"] * len(rows), "until_ms": pd.Series(rows, dtype="int64")})
 
-    return scandals.withWatermark("ts", "2 hours").groupBy("ticker").applyInPandasWithState(
-        update, "ticker string, action string, until timestamp", "until long", "append", "EventTimeTimeout")
+    graded = scandals.withWatermark("ts", "2 hours").filter(F.col("severity").isin(*HALT_HOURS)).withColumn("ms", F.unix_millis("ts"))
+    states = graded.groupBy("ticker").applyInPandasWithState(update, "ticker string, action string, until_ms long", "until long", "append", "EventTimeTimeout")
+    return states.select("ticker", "action", F.timestamp_millis("until_ms").alias("until"))
 
 
 def event_posts(posts: DataFrame, events: DataFrame, before: str = "10 days", after: str = "3 days") -> DataFrame:

@@ -188,7 +188,7 @@ def test_reaction_without_posts_and_counts(spark):
     e = spark.createDataFrame([(1, "A", day(10)), (2, "B", day(10))], "event_id long, ticker string, event_date date")
     ts = lambda n: dt.datetime.combine(day(n), dt.time(12))
     p = spark.createDataFrame([(i, "A", ts(n), 0.5, 1, 10, 100, 0.5) for i, n in enumerate((8, 10, 11))], "post_id long, ticker string, ts timestamp_ntz, sentiment double, retweets long, likes long, followers long, quality double")
-    f = {r.event_id: r for r in FE.with_defaults(e, FE.reaction_features(J.interval_join(p, e, 10, 3))).collect()}
+    f = {r.event_id: r for r in FE.with_defaults(e, FE.reaction_features(p, e)).collect()}
     assert (f[1].n_posts, f[1].n_pre, f[1].n_post) == (3, 1, 2) and f[1].intensity == pytest.approx(0.5)
     assert f[1].volume_ratio == pytest.approx(math.log1p(2)) and f[2].volume_ratio == 1.0 and f[2].n_posts == 0
 
