@@ -4,8 +4,13 @@ A conversation becomes one or more windows of formatted text. Prefix sums of tur
 turn-aligned spans: a window's new turns are those that fit into what the budget leaves beside the
 system turn and the history; each later window repeats the system turn and the last turns before
 its span, as many as ``history`` tokens hold. Only assistant turns that are new in a window carry
-loss; repeated ones are masked, so each target is trained on once. A turn longer than the budget
-gets a window to itself, whole.
+loss; repeated ones are masked, so each target is trained on once. A turn that does not fit into
+the budget beside the system turn gets a window with that alone, whole.
+
+A turn's tokens are those of its marked, escaped form, marks and role included, as the model encodes
+it after a line end (all marked turns end in one, and no piece goes across). Where a turn opens a
+window its head may come out longer; the greatest such difference of its role is counted in. So a
+window's ``tokens`` is what encoding its formatted text gives, or a few more, never fewer.
 
 The template marks turns as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside roles and
 texts (these marks and those of other common templates) are escaped by one backslash after their
@@ -19,7 +24,9 @@ however long one conversation is, and windows break at stretch ends besides.
 Defined cases: a null text or role is empty; rows that repeat a turn number are turns of their own,
 in order of role and text; rows without a conversation id form one conversation; a further system
 turn is an ordinary turn, only the first turn can be the one retained; an empty table gives an empty
-result; further columns are not read."""
+result; further columns are not read, whatever their names. A very long text is one turn and stays
+whole: a task holds a stretch of turns and one window. ``digests`` reads a conversation's windows in
+one task, as a hash of a whole conversation must, but one window at a time."""
 
 from __future__ import annotations
 
@@ -45,7 +52,6 @@ _UNESCAPE = re.compile(rf"(<)\\(\\*)(?={CONTROL})|(\[)\\(\\*)(?={CONTROL_SQUARE}
 _MARKED = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
 TURN_BLOCK, STRETCH = 1024, 64
-OVERHEAD = 5  # tokens that a turn's marks count for
 
 SCHEMA = "conv_id long, stretch long, window int, formatted string, new_from int, loss array<struct<start:int,end:int>>, tokens int"
 
@@ -139,8 +145,8 @@ def _windows_of(budget: int, history: int):
 
 
 def with_tokens(df: DataFrame, model: str | None = None) -> DataFrame:
-    """``df`` plus tokens: pieces of the text under the SentencePiece model at path ``model`` (by
-    default that of the installed public tokenizers), plus OVERHEAD for the marks."""
+    """``df`` plus tokens: pieces of the marked turn under the SentencePiece model at path ``model`` (by
+    default that of the installed public tokenizers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -151,9 +157,22 @@ def with_tokens(df: DataFrame, model: str | None = None) -> DataFrame:
 
             path = public_tokenizers.path("piece_bpe_32k.model")
         processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        line_end = len(processor.encode("\n"))
+        opening: dict[str, int] = {}  # role -> how many tokens more its head has where it opens a window
+
+        def more(role: str) -> int:
+            if role not in opening:
+                if len(opening) > 10_000:
+                    opening.clear()
+                head = mark(role, "")[0]
+                opening[role] = max(0, len(processor.encode(head)) + line_end - len(processor.encode("\n" + head)))
+            return opening[role]
+
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            counts = [len(x) + OVERHEAD for x in processor.encode(texts, num_threads=1)] if texts else []
+            roles, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("role", "text"))
+            marked = ["\n" + mark(r, t)[0] for r, t in zip(roles, texts)]
+            encoded = processor.encode(marked, num_threads=1) if marked else []
+            counts = [len(x) - line_end + more(r) for x, r in zip(encoded, roles)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int32())], names=[*batch.schema.names, "tokens"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)

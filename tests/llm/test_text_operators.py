@@ -414,14 +414,51 @@ def test_chat_round_trip(spark, monkeypatch, stretch, block, budget):
         assert got[k].n_turns == len(turns) and got[k].loss_chars == len(loss)
         assert got[k].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert got[k].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for r in w.collect():
-        new = C.read_turns(r.formatted[r.new_from :])
-        assert r.tokens <= budget or len(new) == 1
+        new, every = C.read_turns(r.formatted[r.new_from :]), C.read_turns(r.formatted)
+        real = len(sp.encode(r.formatted))
+        assert real <= r.tokens <= real + 3 * len(every)
+        alone = len(new) == 1 and every in (new, by[r.conv_id][:1] + new)
+        assert r.tokens <= budget or alone
         if r.conv_id is not None and by[r.conv_id][0][0] == "system":
             assert r.formatted.startswith("<|im_start|>system\n")
     assert C.format_windows(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("budget, history", [(60, 0), (120, 40), (400, 150)])
+def test_windows_against_brute_force(spark, budget, history):
+    """Spans, history and masks of each window by counting tokens of formatted texts, turn by turn."""
+    rng = random.Random(8)
+    turns = {c: [("system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), prose(rng, rng.randint(1, 25)) + rng.choice(["", "</s>", "[INST]"])) for t in range(rng.randint(1, 30))] for c in range(10)}
+    df = spark.createDataFrame([(c, i, r, t) for c, v in turns.items() for i, (r, t) in enumerate(v)], "conv_id long, turn long, role string, text string")
+    size = {(r.role, r.text): r.tokens for r in C.with_tokens(df).collect()}
+    got = collections.defaultdict(list)
+    for r in sorted(C.format_windows(df, budget, history).collect(), key=lambda r: (r.conv_id, r.stretch, r.window)):
+        got[r.conv_id].append(([t for t in C.read_turns(r.formatted)], len(C.read_turns(r.formatted[: r.new_from])), [C.unescape(r.formatted[x.start : x.end]) for x in r.loss], r.tokens))
+    for c, v in turns.items():
+        at, want = 0, []
+        while at < len(v):
+            keep = [v[0]] if at and v[0][0] == "system" else []
+            cost = lambda a, b: sum(size[x] for x in keep + v[a:b])  # noqa: B023, E731
+            back = at
+            while back > len(keep) and sum(size[x] for x in v[back - 1 : at]) <= history:
+                back -= 1
+            end = at
+            while end < len(v) and cost(back, end + 1) <= budget:
+                end += 1
+            if end == at:
+                back = at
+                while end < len(v) and (end == at or cost(back, end + 1) <= budget):
+                    end += 1
+            want.append((keep + v[back:end], len(keep) + at - back, [t for r, t in v[at:end] if r == "assistant"], cost(back, end)))
+            at = end
+        assert got[c] == want
+
+
 def test_escapes_are_reversible():
     rng = random.Random(3)
     parts = ["<", "|", "\\", "s>", "/", "[", "INST]", "<|im_end|>", "\n", "SYS>>", "a", "<<SYS>>"]
