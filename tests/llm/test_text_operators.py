@@ -225,11 +225,32 @@ def test_wand_finds_all_above_threshold():
         terms = sorted({index.vocabulary[x] for x in D.words_in(" ".join(w)) if x in index.vocabulary})
         score = collections.Counter()
         for t in terms:
-            for u, x in zip(index.units[t], index.impacts[t]):
+            for u, x in zip(*index.term(t)[:2]):
                 score[u] += x
         assert dict(index.search(terms)).keys() == {u for u, s in score.items() if s >= 0.12 - 1e-9}
 
 
+def test_pruning_keeps_every_passage_with_a_unit():
+    """One document of many cells at once: no passage that scores the threshold is pruned, some are."""
+    rng = random.Random(16)
+    made = lambda n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
+    items = [(i, made(rng.randint(20, 150))) for i in range(60)]
+    index = D.build_index(items, 0.6)
+    text = [w for i in range(6000) for w in (made(64).split() if i % 50 else rng.choice(items)[1].split())]
+    docs = [text, text[:40], text[5000:5200]]
+    ids = [np.array([index.vocabulary.get(w.encode(), -1) for w in d]) for d in docs]
+    cells = [-(-len(d) // D.UNIT) for d in docs]
+    cell = np.concatenate([sum(cells[:k]) + np.arange(len(d)) // D.UNIT for k, d in enumerate(docs)])
+    last = np.zeros(sum(cells), bool)
+    last[np.cumsum(cells) - 1] = True
+    found = set(index.survivors(np.concatenate(ids), cell, last).tolist())
+    for k, d in enumerate(ids):
+        for c in range(cells[k]):
+            here = d[c * D.UNIT : (c + 2) * D.UNIT]
+            if index.search(np.unique(here[here >= 0]).tolist()):
+                assert sum(cells[:k]) + c in found
+    assert 120 < len(found) < len(last) / 2
+
 def test_leaks(spark, corpus):
     rng = random.Random(8)
     items = [(i, ". ".join(prose(rng, n) for n in (12, 9)) + ".") for i in range(20)] + [(50, None), (51, ""), (52, prose(rng, 200)), (3, "Short item here.")]
