@@ -233,7 +233,7 @@ def test_wand_finds_all_above_threshold():
 def test_pruning_keeps_every_passage_with_a_unit():
     """One document of many cells at once: no passage that scores the threshold is pruned, some are."""
     rng = random.Random(16)
-    made = lambda n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
+    made = lambda n: " ".join(f"w{rng.randint(0, 40_000)}" for _ in range(n))
     items = [(i, made(rng.randint(20, 150))) for i in range(60)]
     index = D.build_index(items, 0.6)
     text = [w for i in range(6000) for w in (made(64).split() if i % 50 else rng.choice(items)[1].split())]
