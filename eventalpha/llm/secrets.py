@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns plus a battery of randomness tests.
 
-Base spans come from three patterns (assign, access, hex). The battery looks at every further run
-of 20 or more characters of ``[A-Za-z0-9+/_-]`` that holds a letter and a digit, infers the encoding
-(hex, HEX, base32, base62, base64, base64url: the first whose alphabet covers the run), turns the
-characters into alphabet indices and computes three z-scores under "uniform and independent":
+Base spans come from three patterns (assign, access, hex). The battery looks at what they leave: at
+every run of 20 or more characters of ``[A-Za-z0-9+/_-]`` between them. A run that mixes ``+ /`` with
+``- _`` is in no encoding as a whole and is cut into its stretches of 20 or more in one of the two. A
+run or stretch that holds a letter and a digit gets its encoding (hex, HEX, base32, base62, base64,
+base64url: the first whose alphabet covers it), its characters become alphabet indices, and there are
+three z-scores under "uniform and independent":
 
 * chi-squared of the symbol counts, standardised by its exact mean and variance for short runs;
 * Wald-Wolfowitz runs above and below the alphabet's middle;
@@ -17,8 +19,11 @@ reported as ``random``. p-values are binned, rounded up, so that the procedure n
 each stratum and bin (at most 6 x 31 x 401 numbers), not a sort of the corpus.
 
 All of it is column expressions. Offsets are code points, ends exclusive. Defined cases: a null
-text is empty; repeated rows give repeated results; spans of one kind never overlap; a random span
-that overlaps a base span is not repeated; columns whose names begin with ``_ss_`` are reserved."""
+text is empty; repeated rows give repeated results; an empty table gives an empty result; spans of one
+kind never overlap, and a random span never overlaps a base span; columns named ``spans`` or
+``base_spans`` are replaced, the text is left out, other columns pass through, and names that begin
+with ``_ss_`` are reserved. Very long texts are read whole: a row holds its text, the text between
+matches, and the spans."""
 
 from __future__ import annotations
 
@@ -34,6 +39,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+STRETCH = r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}"
+MIXED = r"[+/].*[_-]|[_-].*[+/]"
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -47,32 +54,47 @@ ENCODINGS = {
     "base64url": ("^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 }
 BINS_PER_DECADE, MAX_BIN = 20, 400
+ALPHA = 0.05  # the share of random runs among those cleared as structured
 
 _SPAN = "array<struct<start:int,end:int,token:string>>"
 
 
-def with_spans(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
-    """``df`` plus ``out``: the matches of ``pattern`` as array<struct<start,end,token>>."""
-    got, gaps = F.col("_ss_got"), F.col("_ss_gaps")
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(got) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans")),
-        lambda a, i: F.struct(
-            (a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(got, i))).alias("at"),
-            F.concat(a["spans"], F.array(F.struct(
-                (a["at"] + F.length(F.get(gaps, i))).alias("start"),
-                (a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(got, i))).alias("end"),
-                F.get(got, i).alias("token"),
-            ))).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return (
-        df.withColumn("_ss_got", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        .withColumn("_ss_gaps", F.when(F.size("_ss_got") > 0, F.split(text, pattern, -1)))
-        .withColumn(out, F.when(F.size("_ss_got") > 0, walked).otherwise(F.array().cast(_SPAN)))
-        .drop("_ss_got", "_ss_gaps")
-    )
+def _bound(value: Column, f) -> Column:
+    """f of a variable that holds the value, so that it is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def matches(text: Column, pattern: str, offset: Column | int = 0) -> Column:
+    """The matches of ``pattern`` as array<struct<start,end,token>>, counted from ``offset``."""
+    pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("got"), F.split(text, pattern, -1).alias("gaps"))
+
+    def walked(x: Column) -> Column:
+        got, gaps = x["got"], x["gaps"]
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(got) - 1),
+            F.struct((F.lit(offset) if isinstance(offset, int) else offset).alias("at"), F.array().cast(_SPAN).alias("spans")),
+            lambda a, i: F.struct(
+                (a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(got, i))).alias("at"),
+                F.concat(a["spans"], F.array(F.struct(
+                    (a["at"] + F.length(F.get(gaps, i))).alias("start"),
+                    (a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(got, i))).alias("end"),
+                    F.get(got, i).alias("token"),
+                ))).alias("spans"),
+            ),
+            lambda a: a["spans"],
+        )
+
+    return F.when(text.rlike(pattern), _bound(pair, walked)).otherwise(F.array().cast(_SPAN))
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans."""
+    return F.aggregate(spans, text, lambda t, s: F.overlay(t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+
+
+def in_one_encoding(runs: Column) -> Column:
+    """The runs, those that mix the encodings' signs in stretches that do not."""
+    return F.flatten(F.transform(runs, lambda c: F.when(c["token"].rlike(MIXED), matches(c["token"], STRETCH, c["start"])).otherwise(F.array(c))))
 
 
 def _total(values: Column) -> Column:
@@ -171,22 +193,21 @@ def cleared_bins(tested: DataFrame, column: str, alpha: float) -> dict[str, int]
     return {r[0]: r[1] for r in rejected.groupBy("stratum").agg(F.min("bin")).collect()}
 
 
-def scan(df: DataFrame, text: str = "text", alpha: float = 0.01) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """The columns of ``df`` but ``text``, plus ``spans``: array<struct<start,rank,end>> in order of
     start and kind (rank: the place in KINDS)."""
-    t = "_ss_text"
-    found = df.withColumn(t, text_of(text)).drop(text)
-    for pattern, out in ((ASSIGN, "_ss_assign"), (ACCESS, "_ss_access"), (HEX, "_ss_hex"), (RUN, "_ss_run")):
-        found = with_spans(found, t, pattern, out)
-    long_enough = F.filter("_ss_assign", lambda c: F.length(F.regexp_extract(c["token"], ASSIGN, 2)) >= 8)
-    found = found.withColumn("_ss_assign", long_enough).drop(t)
+    t = F.col("_ss_text")
+    found = df.withColumn("_ss_text", text_of(text)).drop(text)
+
     def ranked(spans: Column | str, rank: int) -> Column:
         return F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.lit(rank).alias("rank"), c["end"].alias("end")))
 
-    base = F.concat(*[ranked(f"_ss_{k}", r) for r, k in enumerate(KINDS[:3])])
-    found = found.withColumn("_ss_base", F.sort_array(base)).drop("_ss_assign", "_ss_access", "_ss_hex")
-    free = F.filter("_ss_run", lambda c: ~F.exists("_ss_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = cut(with_battery(found.withColumn("_ss_run", free), "_ss_run", "_ss_tested").drop("_ss_run"), "secret-spans")
+    long_enough = F.filter(matches(t, ASSIGN), lambda c: F.length(F.regexp_extract(c["token"], ASSIGN, 2)) >= 8)
+    base = F.concat(*[ranked(spans, r) for r, spans in enumerate((long_enough, matches(t, ACCESS), matches(t, HEX)))])
+    found = found.withColumn("_ss_base", F.sort_array(base))
+    left = F.when(F.size("_ss_base") > 0, without_spans(t, F.col("_ss_base"))).otherwise(t)
+    found = found.withColumn("_ss_text", left).withColumn("_ss_run", in_one_encoding(matches(t, RUN))).drop("_ss_text")
+    found = cut(with_battery(found, "_ss_run", "_ss_tested").drop("_ss_run"), "secret-spans")
     cleared = cleared_bins(found, "_ss_tested", alpha)
     limit = F.lit(MAX_BIN + 1)
     if cleared:
@@ -220,13 +241,13 @@ def op2_secret_randomness(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def _matches_sql(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
+def _matches_sql(kind: str, rank: int, pattern: str, keep: str = "true", source: str = "docs", offset: str = "0") -> str:
     p = pattern.replace("'", "''")
     size = "list_transform({}, lambda x: length(x))"
     return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, tok, start, start + length(tok) AS stop FROM (
-      SELECT doc_id, m[i] AS tok, CAST(list_sum({size.format('g[1:i]')}) + coalesce(list_sum({size.format('m[1:i - 1]')}), 0) AS BIGINT) AS start
-      FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
-        SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM docs WHERE regexp_matches(t, '{p}'))))
+      SELECT doc_id, m[i] AS tok, CAST(off + list_sum({size.format('g[1:i]')}) + coalesce(list_sum({size.format('m[1:i - 1]')}), 0) AS BIGINT) AS start
+      FROM (SELECT doc_id, off, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT doc_id, {offset} AS off, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM {source} WHERE regexp_matches(t, '{p}'))))
       WHERE {keep}"""
 
 
@@ -238,9 +259,14 @@ OP2_SQL = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_matches_sql('assign', 0, ASSIGN, "length(regexp_extract(tok, '" + ASSIGN.replace("'", "''") + "', 2)) >= 8")}
   UNION ALL {_matches_sql('access', 1, ACCESS)} UNION ALL {_matches_sql('hex', 2, HEX)}),
-runs AS ({_matches_sql('random', 3, RUN)}),
-free AS (SELECT r.*, regexp_replace(tok, '=+$', '') AS core FROM runs r
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
+known AS (SELECT doc_id, start, stop, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM base),
+gaps AS (SELECT doc_id, coalesce(before, 0) AS a, start AS b FROM known UNION ALL SELECT doc_id, max(stop), NULL FROM base GROUP BY doc_id),
+rest AS (SELECT doc_id, 0 AS off, t FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM base)
+  UNION ALL SELECT d.doc_id, a, CASE WHEN b IS NULL THEN substring(t, CAST(a AS BIGINT) + 1) ELSE substring(t, CAST(a AS BIGINT) + 1, CAST(greatest(b - a, 0) AS BIGINT)) END FROM docs d JOIN gaps g ON d.doc_id = g.doc_id),
+runs AS ({_matches_sql('random', 3, RUN, source='rest', offset='off')}),
+mixed AS (SELECT doc_id, start, tok AS t FROM runs WHERE regexp_matches(tok, '{MIXED}')),
+pieces AS (SELECT * FROM runs WHERE NOT regexp_matches(tok, '{MIXED}') UNION ALL {_matches_sql('random', 3, STRETCH, source='mixed', offset='start')}),
+free AS (SELECT *, regexp_replace(tok, '=+$', '') AS core FROM pieces),
 named AS (SELECT *, CASE {_by_encoding(0)} END AS name, CASE {_by_encoding(1)} END AS alphabet, length(core) AS n
   FROM free WHERE regexp_matches(core, '[0-9]') AND regexp_matches(core, '[A-Za-z]')),
 valued AS (SELECT *, CAST(length(alphabet) AS DOUBLE) AS k, list_transform(regexp_extract_all(core, '.'), lambda c: CAST(strpos(alphabet, c) - 1 AS DOUBLE)) AS v,
@@ -256,7 +282,7 @@ tailed AS (SELECT *, 1 / (1 + CAST(0.3275911 AS DOUBLE) * sqrt(x / 2)) AS q FROM
 tested AS (SELECT doc_id, kind, rank, start, stop, concat(name, ':', CAST(CAST(floor(log2(n)) AS BIGINT) AS VARCHAR)) AS stratum,
   least(greatest(floor(-log10(greatest(least(1, q * (0.254829592 + q * (-0.284496736 + q * (1.421413741 + q * (-1.453152027 + q * 1.061405429)))) * exp(-x / 2) + sqrt(2 * x / pi()) * exp(-x / 2)), 1e-20)) * {BINS_PER_DECADE}), 0), {MAX_BIN}) AS bin FROM tailed),
 counted AS (SELECT stratum, bin, sum(count(*)) OVER (PARTITION BY stratum ORDER BY bin DESC) AS r, sum(count(*)) OVER (PARTITION BY stratum) AS m FROM tested GROUP BY stratum, bin),
-cleared AS (SELECT stratum, min(bin) AS bin FROM counted WHERE pow(10, -bin / {BINS_PER_DECADE}) * m <= 0.01 * r GROUP BY stratum),
+cleared AS (SELECT stratum, min(bin) AS bin FROM counted WHERE pow(10, -bin / {BINS_PER_DECADE}) * m <= {ALPHA} * r GROUP BY stratum),
 spans AS (SELECT doc_id, kind, rank, start, stop FROM base
   UNION ALL SELECT t.doc_id, t.kind, t.rank, t.start, t.stop FROM tested t LEFT JOIN cleared c ON t.stratum = c.stratum WHERE t.bin < coalesce(c.bin, {MAX_BIN + 1})),
 joined AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
