@@ -4,12 +4,16 @@ Every document gets counts (words, symbols, repeated lines, words in repeated 5-
 from them two hard rules and three soft ones. Soft failures are added up by host; the raw failure
 rates of the hosts give an empirical Beta prior by the method of moments, and each host's rate is
 shrunk towards it, so that a host with few pages is judged like the average host and one with many
-by its own pages. The verdict joins back: on a host whose shrunk rate exceeds ``max_rate`` one soft
-failure is enough to drop a document, elsewhere it takes two.
+by its own pages. The verdict joins back: on a host whose shrunk rate is over ``times`` the prior's
+mean one soft failure is enough to drop a document, elsewhere it takes two. So what counts as a bad
+host follows from the table, and where hosts differ only by chance none is bad.
 
 Defined cases: a null text counts as an empty one; a null host is a host of its own; repeated rows
 count as often as they occur; an empty table gives an empty result. A line that repeats counts each
-time after its first. Windows are compared by a 64-bit hash within one document."""
+time after its first. Windows are compared by a 64-bit hash within one document. Columns not carried
+are not read, so their names may be those of the counts; a carried column must not have such a name
+(ValueError). Very long texts are read whole: a row holds its words and, if a window repeats, their
+hashes with places as arrays, some 10 times its text."""
 
 from __future__ import annotations
 
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, table, text_of, words_of
 
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def with_repeated_words(df: DataFrame, words: str, out: str, width: int = WINDOW) -> DataFrame:
@@ -82,19 +87,23 @@ def soft_failures() -> Column:
     return sum((r.cast("int") for r in rules), F.lit(0))
 
 
-def beta_prior(hosts: DataFrame, fallback: float = 10.0) -> tuple[float, float]:
-    """(a, b) from the hosts' raw rates by the method of moments; where the rates do not vary (or
-    vary more than a Beta can), ``fallback`` pseudo-documents at the mean rate."""
+def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+    """(a, b) from the hosts' raw rates by the method of moments. What rates would vary by chance alone,
+    m (1 - m) / documents, is taken off their variance; where nothing is left, hosts are alike and the
+    prior is as firm as it gets (1e6 documents)."""
     rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    m, v, chance = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n_docs"))).first()
     if m is None:
-        return fallback / 2, fallback / 2
-    size = m * (1 - m) / v - 1 if v and 0 < m < 1 else fallback
-    size = min(max(size, 1.0), 1e6)
+        return 0.5, 0.5
+    v -= m * (1 - m) * chance
+    size = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
     return m * size, (1 - m) * size
 
 
-def host_verdicts(counted: DataFrame, host: str = "source", max_rate: float = 0.35) -> DataFrame:
+TIMES = 2.0
+
+
+def host_verdicts(counted: DataFrame, host: str = "source", times: float = TIMES) -> DataFrame:
     """host, n_docs, n_failed, rate (shrunk), host_failed. ``counted`` has base_failed and n_soft."""
     failed = F.col("base_failed") | (F.col("n_soft") > 0)
     hosts = cut(
@@ -105,17 +114,19 @@ def host_verdicts(counted: DataFrame, host: str = "source", max_rate: float = 0.
     )
     a, b = beta_prior(hosts)
     rate = (F.col("n_failed") + a) / (F.col("n_docs") + a + b)
-    return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") > max_rate)
+    return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") > times * a / (a + b))
 
 
-def apply_rules(df: DataFrame, host: str = "source", text: str = "text", max_rate: float = 0.35, carry: list[str] | None = None) -> DataFrame:
+def apply_rules(df: DataFrame, host: str = "source", text: str = "text", times: float = TIMES, carry: list[str] | None = None) -> DataFrame:
     """One row for each row of ``df``: the columns ``carry`` and host, the counts, base_failed,
     n_soft, host_rate, kept."""
     carry = [c for c in (carry or []) if c != host]
+    if taken := {*carry, host} & {*COUNTS, "base_failed", "n_soft", "host_rate", "kept"}:
+        raise ValueError(f"columns named like results: {sorted(taken)}")
     counted = document_counts(df.select(*carry, host, text), text).drop(text)
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     counted = cut(counted.withColumn("base_failed", base).withColumn("n_soft", soft_failures()), "document-counts")
-    verdicts = host_verdicts(counted, host, max_rate).select("_qr_host", "rate", "host_failed")
+    verdicts = host_verdicts(counted, host, times).select("_qr_host", "rate", "host_failed")
     need = F.when(F.col("host_failed"), F.lit(1)).otherwise(F.lit(2))
     return (
         counted.join(verdicts, F.col(host).eqNullSafe(F.col("_qr_host")))
@@ -159,11 +170,11 @@ ruled AS (
   FROM counted),
 hosts AS (
   SELECT source, count(*) AS n_docs, count(*) FILTER (base_failed OR n_soft > 0) AS n_failed FROM ruled GROUP BY source),
-moments AS (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v FROM hosts),
-prior AS (
-  SELECT m, least(greatest(CASE WHEN v > 0 AND m > 0 AND m < 1 THEN m * (1 - m) / v - 1 ELSE 10 END, 1), 1e6) AS s FROM moments),
+moments AS (SELECT m, v - m * (1 - m) * chance AS v FROM (
+  SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(1 / n_docs) AS chance FROM hosts)),
+prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1e6 END AS s FROM moments),
 verdict AS (
-  SELECT source, (n_failed + m * s) / (n_docs + s) > 0.35 AS host_failed FROM hosts, prior)
+  SELECT source, (n_failed + m * s) / (n_docs + s) > 2 * m AS host_failed FROM hosts, prior)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND n_soft < CASE WHEN host_failed THEN 1 ELSE 2 END) AS kept
 FROM ruled r JOIN verdict v ON r.source IS NOT DISTINCT FROM v.source
