@@ -699,6 +699,7 @@ def test_offered_partners_are_the_nearest_of_other_components():
         for b in rng.integers(0, 128, 25):
             r[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     rows = [np.repeat([0, 1], 75), fps[:, 0], fps[:, 1], rng.integers(0, 12, 150), rng.permutation(150), rng.integers(90, 130, 150)]
+    rows.append(np.bincount(rows[3])[rows[3]])
     apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
 
     def fits(i, j):
@@ -711,9 +712,10 @@ def test_offered_partners_are_the_nearest_of_other_components():
     two = set(zip(*(x.tolist() for x in NC.partners(rows, 0, 2))))
     assert two < every
     for i in range(150):
-        later, earlier = sorted(apart[i, j] for a, j in every if a == i), sorted(apart[j, i] for j, b in every if b == i)
-        assert sorted(apart[i, j] for a, j in two if a == i)[:2] == later[:2]
-        assert sorted(apart[j, i] for j, b in two if b == i)[:2] == earlier[:2]
+        n = rows[6]
+        later, earlier = sorted(apart[i, j] for a, j in every if a == i and n[i] <= n[j]), sorted(apart[j, i] for j, b in every if b == i and n[i] <= n[j])
+        assert sorted(apart[i, j] for a, j in two if a == i and n[i] <= n[j])[:2] == later[:2]
+        assert sorted(apart[j, i] for j, b in two if b == i and n[i] <= n[j])[:2] == earlier[:2]
 
 
 def test_near_dedup_of_a_dense_group_against_brute_force(spark, tmp_path):
