@@ -5,7 +5,8 @@ with a smaller id. No pass compares documents with each other:
 
 1. Anchors. Of the ``GRAM``-word sequences in a window the one with the least hash is its anchor;
    equal windows have equal anchors, and neighbours mostly share one, so a text of n words sends
-   about n / 5 short rows (hash, document) instead of n.
+   about n / 5 short rows (hash, document) instead of n, and a stretch that repeats a few words over
+   and over sends one.
 2. Sorted by hash, a run with one document is dropped; the rest are recurring anchors.
 3. Documents with recurring anchors (by a join on doc_id) send, for each, the passage (the words of
    the windows that it stands for) to the anchor's shard.
@@ -17,13 +18,19 @@ with a smaller id. No pass compares documents with each other:
 5. The places go back to their documents by doc_id (the same exchange of texts as in step 3), and
    the covered words are cut out.
 
+Not every document goes through every automaton: that work would grow with documents times phrases.
+Every stretch of every document that holds a recurring anchor goes through the automaton of that
+anchor's shard, and no other stretch can hold one of its phrases.
+
 Memory: a task holds a block of rows and its automaton, or for one endless run of a single anchor
 the distinct passages of that run (copies of one passage are one); the rows themselves stream.
 
 Defined cases: a null text has no words; rows with a null doc_id are passed over (nothing is removed
-from them and they are no source); rows that repeat a doc_id are one document and must have equal
-texts; a phrase that repeats only within one document stays; an empty table gives an empty result;
-further columns are not read."""
+from them and they are no source); rows that repeat a doc_id are one document; where their texts
+differ, the text of the least hash is the document's, and rows with other texts are passed over like
+those without an id; a phrase that repeats only within one document stays; an empty table gives an
+empty result; further columns are not read, whatever their names. A very long text is hashed ``PIECE``
+words at a time; its words are held as a list (some 10 times its bytes)."""
 
 from __future__ import annotations
 
@@ -34,10 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of, words_of
+from .common import cut, table, text_of, words_of
 
 WINDOW, GRAM = 13, 5
-CHUNK = 1 << 20  # bytes of text hashed at once; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text hashed at once
+PIECE = 1 << 16  # words of one text that are hashed together; pieces overlap by a window less a word
 BLOCK = 8192  # rows for one automaton
 
 _BASE = 0x9E3779B97F4A7C15
@@ -64,32 +72,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[bytes], list[int]]]:
-    """(row in the batch, id, words joined by one space, number of words) of rows with a window."""
-    rows, ids, parts, counts, size = [], [], [], [], 0
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[bytes], list[int], list[int]]]:
+    """(row in the batch, id, words joined by one space, number of words, place of the first of them)
+    of the pieces of rows with a window. Every window lies in one piece."""
+    rows, ids, parts, counts, offsets, size = [], [], [], [], [], 0
     keys = batch.column(0).to_pylist()
     for at, text in enumerate(batch.column(1)):
         text = text.as_py()
         if text is None or keys[at] is None:
             continue
         words = text.encode().split()
-        if len(words) < WINDOW:
-            continue
-        rows.append(at)
-        ids.append(keys[at])
-        parts.append(b" ".join(words))
-        counts.append(len(words))
-        size += len(parts[-1])
-        if size >= CHUNK:
-            yield rows, ids, parts, counts
-            rows, ids, parts, counts, size = [], [], [], [], 0
+        for begin in range(0, len(words) - WINDOW + 1, PIECE):
+            piece = words[begin : begin + PIECE + WINDOW - 1]
+            rows.append(at)
+            ids.append(keys[at])
+            parts.append(b" ".join(piece))
+            counts.append(len(piece))
+            offsets.append(begin)
+            size += len(parts[-1])
+            if size >= CHUNK:
+                yield rows, ids, parts, counts, offsets
+                rows, ids, parts, counts, offsets, size = [], [], [], [], [], 0
     if rows:
-        yield rows, ids, parts, counts
+        yield rows, ids, parts, counts, offsets
 
 
 def _anchored(parts: list[bytes], counts: list[int]):
-    """For all windows of the texts: first word, anchor word, anchor hash, text; all word starts
-    and ends (bytes in the joined texts) and each text's first word."""
+    """For all windows of the texts: first word, anchor hash, text; all word starts and ends (bytes in
+    the joined texts) and each text's first word."""
     joined = b" ".join(parts) + b" "
     raw = np.frombuffer(joined, np.uint8)
     ends = np.flatnonzero(raw == 32)
@@ -100,21 +110,19 @@ def _anchored(parts: list[bytes], counts: list[int]):
     hashes = _mixed((sums[ends[GRAM - 1 :]] - sums[starts[: len(starts) - GRAM + 1]]) * down[starts[: len(starts) - GRAM + 1]])
     owner = np.repeat(np.arange(len(counts)), counts)
     n = len(owner) - WINDOW + 1
-    best, at = hashes[:n].copy(), np.zeros(n, np.int64)
+    best = hashes[:n].copy()
     for j in range(1, WINDOW - GRAM + 1):
-        less = hashes[j : j + n] < best
-        best[less] = hashes[j : j + n][less]
-        at[less] = j
+        np.minimum(best, hashes[j : j + n], out=best)
     window = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])
     first = np.r_[0, np.cumsum(counts)[:-1]]
-    return window, window + at[window], best[window].view(np.int64), owner[window], joined, starts, ends, first
+    return window, best[window].view(np.int64), owner[window], joined, starts, ends, first
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, ids, parts, counts in _chunks(batch):
-            _, anchor, h, owner, _, _, _, _ = _anchored(parts, counts)
-            new = np.r_[True, anchor[1:] != anchor[:-1]]
+        for _, ids, parts, counts, _ in _chunks(batch):
+            _, h, owner, _, _, _, _ = _anchored(parts, counts)
+            new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
             h, doc = h[new], np.array(ids, np.int64)[owner[new]]
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc)], names=["h", "doc_id"])
 
@@ -146,19 +154,20 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc_id, text, anchors): for each recurring anchor the words of the windows it stands for."""
     for batch in batches:
         wanted_of = batch.column(2)
-        for rows, ids, parts, counts in _chunks(batch):
-            window, anchor, h, owner, joined, starts, ends, first = _anchored(parts, counts)
+        for rows, ids, parts, counts, offsets in _chunks(batch):
+            window, h, owner, joined, starts, ends, first = _anchored(parts, counts)
             # An anchor that recurs for another text of the chunk only brings candidates for nothing.
             keep = np.isin(h, np.concatenate([np.asarray(wanted_of[r].values) for r in rows]))
-            window, anchor, h, owner = window[keep], anchor[keep], h[keep], owner[keep]
+            window, h, owner = window[keep], h[keep], owner[keep]
             if not len(window):
                 continue
-            at = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            n = np.diff(np.r_[at, len(anchor)])
+            # Windows in a row with one anchor hash: mostly around one word, many in a stretch that repeats itself.
+            at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (window[1:] != window[:-1] + 1) | (owner[1:] != owner[:-1])])
+            n = np.diff(np.r_[at, len(h)])
             w, o = window[at], owner[at]
             texts = [joined[a:b].decode() for a, b in zip(starts[w].tolist(), ends[w + n + WINDOW - 2].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at]), pa.array(np.array(ids, np.int64)[o]), pa.array((w - first[o]).astype(np.int32)), pa.array(texts, pa.string())],
+                [pa.array(h[at]), pa.array(np.array(ids, np.int64)[o]), pa.array((w - first[o] + np.array(offsets)[o]).astype(np.int32)), pa.array(texts, pa.string())],
                 names=["h", "doc_id", "start", "passage"],
             )
 
@@ -218,7 +227,12 @@ def locate(runs: list[Run]) -> list[tuple[int, int, int]]:
     for run in runs:
         for passage, places in run.places.items():
             text = f" {passage} "
-            hits = [(text.count(" ", 0, end - length), n, source) for end, (length, n, source) in automaton.iter(text)]
+            hits, place, word = [], 0, 0
+            for end, (length, n, source) in automaton.iter(text):
+                start = end - length
+                word = word + text.count(" ", place, start) if start >= place else text.count(" ", 0, start)
+                place = start
+                hits.append((word, n, source))
             if len(hits) == 1:
                 word, n, source = hits[0]
                 out += [(doc, start + word, n) for doc, start in places if doc > source]
@@ -302,8 +316,17 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kept (the words that stay, joined by one space), n_words, n_removed of every row."""
     every = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    digest = F.xxhash64(text_of())
+    texts = every.filter("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("least"), F.max(digest).alias("most"))
+    clashing = cut(texts.filter("least <> most").select("doc_id", "least"), "clashing-ids")
+    is_document = F.col("doc_id").isNotNull()
+    if clashing.count():
+        every = every.join(clashing, "doc_id", "left")
+        is_document = is_document & (F.col("least").isNull() | (F.col("least") == digest))
+        every = every.select("doc_id", "text", is_document.alias("is_document"))
+        is_document = F.col("is_document")
     # The same filter stands before both joins, so that they share one exchange of the texts.
-    docs = every.filter(F.col("doc_id").isNotNull())
+    docs = every.filter(is_document)
     places = (
         docs.mapInArrow(_anchor_rows, "h long, doc_id long")
         .repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_recurring, "h long, doc_id long")
@@ -320,10 +343,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         _cut_out, "doc_id long, kept string, n_words long, n_removed long"
     )
     words = words_of(text_of())
-    nameless = every.filter(F.col("doc_id").isNull()).select(
+    passed_over = every.filter(~is_document).select(
         "doc_id", F.array_join(words, " ").alias("kept"), F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")
     )
-    return cut_down.unionByName(nameless)
+    return cut_down.unionByName(passed_over)
 
 
 def op8_phrase_automata(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -558,6 +559,46 @@ def test_repeats_are_cut(spark, docs, corpus, monkeypatch, block):
     assert PD.remove_repeats(empty(spark)).count() == 0
 
 
+def removed_by_brute_force(rows):
+    first = {}
+    for i, t in sorted(rows):
+        w = words(t)
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    out = {}
+    for i, t in rows:
+        w = words(t)
+        gone = {j + k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(13)}
+        out[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 40])
+def test_repeats_in_long_and_in_periodic_texts(spark, monkeypatch, piece):
+    monkeypatch.setattr(PD, "PIECE", piece)
+    rng = random.Random(17)
+    long = prose(rng, 3000)
+    w = long.split()
+    rows = [(5, long), (9, " ".join(w[100:900]) + " x " + " ".join(w[905:1200])), (2, " ".join(w[1190:1500])), (7, "on off " * 400 + prose(rng, 20)), (8, "on off " * 30)]
+    rows += [(6, prose(rng, 15) + " on off" * 50 + " end"), (10, "a " * 500), (11, "b " + "a " * 20), (12, long)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in PD.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed_by_brute_force(rows)
+    anchors = [b.num_rows for b in PD._anchor_rows(iter([pa.record_batch({"doc_id": [7], "text": ["on off " * 4000]})]))]
+    assert sum(anchors) <= 1 + 8000 // piece
+
+
+def test_repeats_where_an_id_has_two_texts(spark):
+    rng = random.Random(18)
+    a, b, c = prose(rng, 30), prose(rng, 90), prose(rng, 20)
+    rows = [(1, a), (1, b), (2, a + " " + b), (3, c), (3, c), (4, c), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("least", F.lit(1))
+    first = df.filter("doc_id = 1").orderBy(F.xxhash64("text")).first().text
+    want = removed_by_brute_force([(1, first), (2, a + " " + b), (3, c), (4, c)])
+    got = collections.Counter((r.doc_id, r.kept, r.n_removed) for r in PD.remove_repeats(df).collect())
+    other = b if first == a else a
+    assert got == collections.Counter([(1, first, 0), (1, other, 0), (2, want[2][2], want[2][1]), (3, c, 0), (3, c, 0), (4, "", 20), (None, c, 0)])
+
+
 def test_one_endless_run_of_an_anchor():
     rng = random.Random(1)
     core = prose(rng, 13).split()
