@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventalpha.operators.ranks import tile, with_rank
+
 
 def return_label(ret: Column, low: float = -0.01, high: float = 0.01) -> Column:
     """0 down, 1 flat, 2 up."""
@@ -30,11 +32,11 @@ def select_by_correlation(df: DataFrame, features: list[str], target: str, k: in
     """The k features of the largest |correlation| with the target; Spearman by average ranks."""
     rows = long_form(df, features, target, key)
     if method == "spearman":
-        def average_rank(c: str) -> Column:
-            n = F.count(F.lit(1)).over(Window.partitionBy("feature", c))
-            return F.rank().over(Window.partitionBy("feature").orderBy(c)) + (n - 1) / 2
-
-        rows = rows.withColumn("rx", average_rank("x")).withColumn("ry", average_rank("y")).select("feature", F.col("rx").alias("x"), F.col("ry").alias("y"))
+        # Equal values share their mean row number; every feature has as many rows as the table.
+        n = df.count()
+        rx = with_rank(rows.select("feature", "x", key), ["feature", "x", key]).groupBy("feature", "x").agg(F.avg(F.col("_rank") % n).alias("rx"))
+        ry = with_rank(rows.filter(F.col("feature") == features[0]).select("y", key), ["y", key]).groupBy("y").agg(F.avg("_rank").alias("ry"))
+        rows = rows.join(rx, ["feature", "x"]).join(ry, "y").select("feature", F.col("rx").alias("x"), F.col("ry").alias("y"))
     score = F.coalesce(F.nanvl(F.abs(F.corr("x", "y")), F.lit(0.0)), F.lit(0.0))
     return _top(rows.groupBy("feature").agg(score.alias("score")), k)
 
@@ -63,7 +65,8 @@ def drop_collinear(df: DataFrame, features: list[str], target: str, limit: float
 def select_by_mutual_information(df: DataFrame, features: list[str], target: str, k: int, bins: int = 5, key: str = "vec_id") -> DataFrame:
     """Mutual information of equal-count bins with the label."""
     rows = long_form(df, features, target, key)
-    binned = rows.withColumn("bx", F.ntile(bins).over(Window.partitionBy("feature").orderBy("x", key)))
+    n = df.count()  # rows of each feature
+    binned = with_rank(rows, ["feature", "x", key]).withColumn("bx", tile(F.col("_rank") % n, n, bins))
     joint = binned.groupBy("feature", "bx", "y").agg(F.count(F.lit(1)).alias("n"))
     f = Window.partitionBy("feature")
     total, nx, ny = F.sum("n").over(f), F.sum("n").over(Window.partitionBy("feature", "bx")), F.sum("n").over(Window.partitionBy("feature", "y"))
@@ -125,10 +128,10 @@ def accuracy(predictions: DataFrame, label: str = "label") -> Column | DataFrame
 
 
 def time_series_cv(df: DataFrame, features: list[str], order: list[str], splits: int, label: str = "label", kind: str = "forest") -> DataFrame:
-    """fold, accuracy: each block predicted from all before. ``order`` needs a global order of the
-    labelled rows, which are few against the data they come from."""
-    w = Window.partitionBy(F.lit(1)).orderBy(*order)
-    blocks = df.withColumn("_b", F.ntile(splits + 1).over(w))
+    """fold, accuracy: each block predicted from all before, one fit a fold. ``order`` must tell all rows
+    apart; the rows are numbered by range."""
+    ranked = with_rank(df, order)
+    blocks = ranked.withColumn("_b", tile(F.col("_rank"), ranked.count(), splits + 1)).drop("_rank")
     out = None
     for i in range(1, splits + 1):
         model = fit(blocks.filter(F.col("_b") <= i), features, label, kind)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventalpha.operators.ranks import percentiles
+
 
 def validate_dates(df: DataFrame, date: str, start: str, end: str, alert: float = 0.10) -> DataFrame:
     """One row: total, valid, out of range, unreadable, whether too many are lost."""
@@ -122,7 +124,8 @@ def signal_quality(signals: DataFrame, low: int = 10) -> DataFrame:
 
 def signal_stats(signals: DataFrame, score: str = "raw_score") -> DataFrame:
     c = F.col(score)
-    return signals.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.lit(0.5)).alias("median"))
+    _, middle = percentiles(signals, score, [0.5])
+    return signals.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).withColumn("median", F.lit(middle[0] if middle else None).cast("double"))
 
 
 def check_results(metrics: DataFrame, rules: list[tuple[str, str, float, float]]) -> DataFrame:

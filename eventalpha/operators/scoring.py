@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventalpha.operators.ranks import percentiles
+
 WEIGHTS = {"event_severity": 0.20, "intensity": 0.40, "volume": 0.25, "duration": 0.15}
 
 
@@ -76,7 +78,7 @@ def zscores(df: DataFrame, by: list[str], score: str = "raw_score") -> DataFrame
 
 def global_quintile(df: DataFrame, score: str = "raw_score") -> DataFrame:
     """By the 20, 40, 60 and 80 % points of all rows; 3 for under five rows."""
-    n, edges = df.agg(F.count(score), F.percentile(score, F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)]))).first()
+    n, edges = percentiles(df, score, [0.2, 0.4, 0.6, 0.8])
     s = F.col(score)
     if n < 5:
         return df.withColumn("quintile", F.lit(3))

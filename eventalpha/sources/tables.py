@@ -82,10 +82,14 @@ def save(df: DataFrame, path: str, format: str = "parquet", by: list[str] | None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); in a
-    temporary folder of this machine only where that is unset, as in local tests."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``). Where it is
+    unset, in a temporary folder of this machine if Spark runs on this machine alone, else ValueError."""
     import tempfile
     import uuid
 
-    there = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -177,6 +177,28 @@ def test_rule_sentiment_against_a_loop(spark):
         assert r.s.score == pytest.approx(max(-1, min(1, sum(want) / len(want))) if want else 0.0)
 
 
+def test_ranks_tiles_and_percentiles(spark):
+    from eventalpha.operators import ranks as RA
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([rng.random(), 0.5, float(i % 7)])) for i in range(1003)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(5)
+    got = {r.id: r._rank for r in RA.with_rank(df, ["v", "id"]).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    from pyspark.sql.window import Window
+
+    for n, tiles in ((1003, 5), (7, 5), (3, 5), (10, 5)):
+        r = spark.range(n).withColumn("a", RA.tile(F.col("id"), n, tiles)).withColumn("b", F.ntile(tiles).over(Window.orderBy("id")))
+        assert not r.filter("a <> b").count()
+    shares = [0.0, 0.2, 0.5, 0.77, 1.0]
+    with_nulls = df.withColumn("v", F.when(F.col("id") % 10 > 0, F.col("v")))
+    for frame in (df, with_nulls, df.limit(1), df.limit(4)):
+        want = frame.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
+        n, found = RA.percentiles(frame, "v", shares)
+        assert n == frame.filter("v is not null").count() and found == pytest.approx(want or [])
+    assert RA.percentiles(df.limit(0), "v", shares) == (0, [])
+
+
 def test_truncation_and_sections(spark):
     row = spark.createDataFrame([("ab cd. efgh ijkl",)], "t string").select(
         X.truncate_sentence(F.col("t"), 6), X.truncate_word(F.col("t"), 12), X.item_sections(F.lit("Item 1.01 A\nx\nITEM 1.01  B\n y \n"))).first()
