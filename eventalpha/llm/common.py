@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,17 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 _fallback: dict[str, str] = {}
+_written: dict[int, tuple] = {}  # of each table that ``cut`` returned: its path, and what takes the entry away with it
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); only where it is
-    unset, as in local tests, a temporary folder of this machine."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a
+    temporary folder of this machine if Spark runs on this machine alone, else ValueError."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -34,7 +38,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path, weakref.ref(out, lambda _, key=id(out): _written.pop(key, None))
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing will read again."""
+    for df in tables:
+        if id(df) in _written:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(id(df))[0])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(name: str = "text") -> Column:

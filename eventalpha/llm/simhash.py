@@ -21,8 +21,9 @@ written to the shared folder. Nothing but row counts comes to the driver.
 
 Defined cases: a null or wordless text has fingerprint 0 and links like any other; fewer words than
 a shingle hash as one sequence; rows with a null doc_id get no component (null) and link nothing;
-rows that repeat a doc_id are one document; an empty table gives an empty result; extra columns are
-not read."""
+rows that repeat a doc_id are one document (each row keeps its own fingerprint, and all link for the
+document); an empty table gives an empty result; extra columns are not read, whatever their names. Very
+long texts are read whole: a task holds one text's words and 8 bytes a shingle."""
 
 from __future__ import annotations
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, forget, table
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -299,12 +300,13 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "v").filter(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("l").alias("m")).distinct()
         # small star: every neighbour below v, and v itself, gets v's least neighbour
         small = large.join(large.groupBy("v").agg(F.min("m").alias("l")), "v")
-        stars = cut(
+        before, stars = stars, cut(
             small.select(F.col("m").alias("v"), F.col("l").alias("m")).filter("v <> m")
             .union(small.select("v", F.col("l").alias("m"))).distinct(),
             "star-edges",
         )
         now = state_of(stars)
+        forget(before)
         if now == state:
             return stars.select(F.col("v").alias("node"), F.col("m").alias("component"))
         state = now
