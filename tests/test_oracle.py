@@ -50,6 +50,6 @@ def test_matches_sql(spark, duck, name):
     assert got == in_order([[r[i] for i in at] for r in result.fetchall()])
 
 
-@pytest.mark.parametrize("name", ["signal_pipeline", "psr_probability", "dsr", "factor_hac", "factor_regression_full", "select_rf", "classify", "ts_cv"])
+@pytest.mark.parametrize("name", ["psr_probability", "dsr", "factor_hac", "factor_regression_full", "select_rf", "classify", "ts_cv"])
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
