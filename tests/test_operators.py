@@ -250,6 +250,63 @@ def test_word_scores_count_a_word_once_per_document(spark):
     assert got["a"] == (2, pytest.approx((2 - 3) / sd)) and got["c"] == (1, pytest.approx(2 / sd))
 
 
+def test_probabilistic_and_deflated_sharpe(spark):
+    """Against the published formulas on numpy arrays."""
+    from statistics import NormalDist
+
+    import numpy as np
+
+    from eventalpha.operators import perf as PE
+
+    rng = np.random.default_rng(3)
+    runs = {"a": rng.normal(0.001, 0.01, 300), "b": np.r_[rng.normal(0.0, 0.02, 90), -0.2, 0.1], "short": rng.normal(0.01, 0.01, 20)}
+    df = spark.createDataFrame([(k, day(i), float(x)) for k, v in runs.items() for i, x in enumerate(v)], "run_id string, date date, ret double")
+    phi = NormalDist()
+    got_p, got_d = ({r.run_id: r for r in f.collect()} for f in (PE.psr(df), PE.dsr(df, 10)))
+    for k, x in runs.items():
+        n, e = len(x), x - 0.02 / 252
+        sr = e.mean() / e.std(ddof=1)
+        z = (x - x.mean()) / x.std()
+        skew = (z**3).mean() * math.sqrt(n * (n - 1)) / (n - 2)
+        kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((z**4).mean() - 3) + 6) + 3
+        spread = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
+        top = (1 - 0.5772156649) * phi.inv_cdf(1 - 1 / 10) + 0.5772156649 * phi.inv_cdf(1 - 1 / (10 * math.e))
+        best = math.sqrt(max(spread, 1e-6) / (n - 1)) * top
+        for got, bench in ((got_p[k].psr, 0.0), (got_d[k].dsr, best)):
+            want = 0.5 if n < 30 else phi.cdf((sr - bench) * math.sqrt(n - 1) / math.sqrt(spread))
+            assert got == pytest.approx(want, abs=2e-6)
+    assert got_d["a"].dsr < got_p["a"].psr
+
+
+def test_factor_regression_with_newey_west_errors(spark):
+    import numpy as np
+
+    from eventalpha.operators import perf as PE
+
+    rng = np.random.default_rng(5)
+    n = 250
+    f = rng.normal(0, 0.01, (n, 2))
+    noise = rng.normal(0, 0.005, n)
+    y = 0.0004 + f @ np.array([0.8, -0.3]) + noise + 0.6 * np.r_[0, noise[:-1]]
+    df = spark.createDataFrame([("r", day(i), float(y[i]), float(f[i, 0]), float(f[i, 1])) for i in range(n)], "run_id string, date date, ret double, mkt double, smb double")
+    x = np.c_[np.ones(n), f]
+    inv = np.linalg.inv(x.T @ x)
+    coef = inv @ x.T @ y
+    e = y - x @ coef
+    s, lags = (x * e[:, None]).T @ (x * e[:, None]), int(4 * (n / 100) ** (2 / 9))
+    for lag in range(1, lags + 1):
+        g = (x[lag:] * e[lag:, None]).T @ (x[:-lag] * e[:-lag, None])
+        s += (1 - lag / (lags + 1)) * (g + g.T)
+    se = np.sqrt(np.diag(inv @ s @ inv))
+    got = {r.term: r for r in PE.factor_hac(df, ["mkt", "smb"]).collect()}
+    for i, term in enumerate(("alpha", "mkt", "smb")):
+        assert (got[term].coef, got[term].se, got[term].t) == (pytest.approx(coef[i]), pytest.approx(se[i], rel=1e-6), pytest.approx(coef[i] / se[i], rel=1e-6))
+        assert got[term].p == pytest.approx(t_two_sided(coef[i] / se[i], n - 3))
+    whole = PE.factor_regression(df, ["mkt", "smb"]).first()
+    assert list(whole.betas) == pytest.approx(coef[1:].tolist()) and whole.alpha == pytest.approx(coef[0])
+    assert whole.r2 == pytest.approx(1 - (e @ e) / ((y - y.mean()) @ (y - y.mean())))
+
+
 def test_t_probability():
     assert t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     assert t_two_sided(0.0, 5) == pytest.approx(1.0)
