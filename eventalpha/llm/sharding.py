@@ -6,10 +6,12 @@ the block counts and to shard sizes that differ by one at most). Each block then
 a keyed hash and hands out its cells of the matrix in that order; each shard orders what it got by
 a second hash. Only block counts (one number a block) meet on the driver.
 
-Defined cases: null keys hash like any value; repeated rows take slots of their own, and rows equal
-in all order columns are interchangeable; an empty table gives an empty result; fewer rows than
-shards leave some shards empty; further columns are carried along, and names that begin with
-``_hg_`` are reserved."""
+Defined cases: null keys hash like any value; repeated rows take slots of their own; rows equal in all
+order columns are interchangeable, and lie in one block whatever its bound, as nothing tells them
+apart; an empty table gives an empty result; fewer rows than shards leave some shards empty; columns
+named ``shard`` or ``slot`` are replaced, others are carried along, and names that begin with ``_hg_``
+are reserved. Very long texts are moved as they are if they are carried; a digest of them will do as
+an order column."""
 
 from __future__ import annotations
 

@@ -68,6 +68,59 @@ def test_quality_model_without_labels(spark, docs):
     assert QM.classify(docs, QM.fit(docs, one)).filter("score < 0.9").count() == 0
 
 
+def test_statistics_against_brute_force(spark, docs, corpus):
+    extra = [(5000, "A B!! c#$ 12 9x\nA B!! c#$ 12 9x\n\n  \nÄé ß", "h"), (5001, "x " * 50_000, "h")]
+    df = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, source string"))
+    by = dict((i, t) for i, t, _ in corpus + extra)
+    for r in QM.with_statistics(df).collect():
+        t = by[r.doc_id] or ""
+        w, lines = words(t), [x for x in t.split("\n") if words(x)]
+        share = lambda a, b: a / b if b else 0.0
+        want = (
+            len(w), share(sum(map(len, w)), len(w)), share(len(set(w)), len(w)), share(sum(c in "#*$%&|<>" for c in t), len(t)), share(sum(c.isupper() for c in t), len(t)),
+            share(sum(c in "0123456789" for c in t), len(t)), share(sum(c in ".,;:!?" for c in t), len(w)), share(len(lines) - len(set(lines)), len(lines)), share(len(w), len(lines)),
+        )
+        assert [r[f"_qm_{s}"] for s in QM.STATISTICS] == pytest.approx(want), r.doc_id
+
+
+def test_tree_paths_are_the_nodes_on_the_way_to_a_leaf(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, len(QM.STATISTICS)))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > -0.4)).astype(float)
+    df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x, y)], ["label", "features"])
+    forest = RandomForestClassifier(numTrees=3, maxDepth=4, seed=1).fit(df)
+
+    def depth(node, row):
+        n = 0
+        while node.getClass().getSimpleName().endswith("InternalNode"):
+            node = node.leftChild() if row[node.split().featureIndex()] <= node.split().threshold() else node.rightChild()
+            n += 1
+        return n
+
+    for tree in forest.trees:
+        paths = QM.tree_paths(tree)
+        assert len(paths) == tree.numNodes - 1
+        for row in x[:60].tolist():
+            value = dict(zip(QM.STATISTICS, row))
+            held = sum(all((value[n] <= v) if most else (value[n] > v) for n, most, v in p) for p in paths)
+            assert held == depth(tree._java_obj.rootNode(), row)
+
+
+def test_results_take_the_place_of_columns_with_their_names(spark):
+    rows = [(i, prose(random.Random(i), 12), "h", "mine", "mine") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, score string, shard string")
+    model = QM.RuleModel(0.5, (((("words", True, 3.0),), 2.0),))
+    out = QM.classify(df.withColumn("predicted", F.lit("mine")), model)
+    assert out.columns.count("score") == 1 and {(r.predicted, r.shard) for r in out.collect()} == {(0, "mine")}
+    kept = QM.classify(df, model, score="p", predicted="q").first()
+    assert kept.score == "mine" and 0 < kept.p < 1 and kept.q == 0
+    sharded = SH.exact_shards(df.withColumn("slot", F.lit("mine")), ["doc_id"], 3, min_blocks=2)
+    assert sharded.columns.count("shard") == 1 and {r.score for r in sharded.collect()} == {"mine"} and {r.slot for r in sharded.collect()} == {0, 1, 2, 3}
+
+
 def test_quality_rules_compile_to_the_paths(spark):
     model = QM.RuleModel(-1.0, (((("words", True, 3.0),), 2.0), ((("words", False, 3.0), ("mean_word", True, 4.5)), 1.0)))
     df = spark.createDataFrame([("a b",), ("a b c d",), ("abcdefgh " * 5,)], "text string")
