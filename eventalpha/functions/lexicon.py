@@ -97,21 +97,21 @@ def relevance(df: DataFrame, groups: dict[str, tuple[float, list[str]]], text: s
     """``df`` plus relevance and relevance_category. Each category scores min(hits / 3, 1) times its
     weight; several categories lift the best by 1.2, a ticker within 50 characters of a hit by 1.3."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = F.split(low, WORD_SPLIT)
-    out = df
-    for name, (_, terms) in groups.items():
-        listed = F.array(*[F.lit(t) for t in terms])
-        out = out.withColumn(f"_r_{name}", F.array_intersect(listed, words))
-    score = {n: F.least(F.size(f"_r_{n}") / 3, F.lit(1.0)) * w for n, (w, _) in groups.items()}
+    listed = {n: F.array(*[F.lit(t) for t in terms]) for n, (_, terms) in groups.items()}
+    # The words are bound to a variable, so that a text is split once for all groups.
+    found = F.get(F.transform(F.array(F.split(low, WORD_SPLIT)), lambda w: F.struct(*[F.array_intersect(x, w).alias(n) for n, x in listed.items()])), F.lit(0))
+    out = df.withColumn("_r", found)
+    hit = {n: F.col("_r").getField(n) for n in groups}
+    score = {n: F.least(F.size(hit[n]) / 3, F.lit(1.0)) * w for n, (w, _) in groups.items()}
     best = F.greatest(*score.values())
-    several = sum(((F.size(f"_r_{n}") > 0).cast("int") for n in groups), F.lit(0)) > 1
+    several = sum(((F.size(hit[n]) > 0).cast("int") for n in groups), F.lit(0)) > 1
     value = F.when(several, F.least(best * 1.2, F.lit(1.0))).otherwise(best)
     if ticker:
         at = F.instr(F.upper(F.coalesce(F.col(text), F.lit(""))), F.upper(F.col(ticker)))
-        near = F.exists(F.concat(*[F.col(f"_r_{n}") for n in groups]), lambda t: F.abs(at - F.instr(low, t)) < 50)
+        near = F.exists(F.concat(*hit.values()), lambda t: F.abs(at - F.instr(low, t)) < 50)
         value = F.when((at > 0) & near, F.least(value * 1.3, F.lit(1.0))).otherwise(value)
     name = F.coalesce(*[F.when((s == best) & (s > 0), F.lit(n)) for n, s in score.items()], F.lit("general"))
-    return out.withColumn("relevance", value).withColumn("relevance_category", name).drop(*[f"_r_{n}" for n in groups])
+    return out.withColumn("relevance", value).withColumn("relevance_category", name).drop("_r")
 
 
 def engagement(score: Column, comments: Column, karma: Column) -> Column:

@@ -44,7 +44,7 @@ def ticker(n: Column) -> Column:
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
-    e, i = table(spark, d, "events"), F.col("event_id")
+    e, i = spread(table(spark, d, "events")), F.col("event_id")
     return e.select(
         i.alias("post_id"), ticker(F.col("user_id") % 25).alias("ticker"), "ts",
         ((i * 37 % 201 - 100) / 100).alias("sentiment"), F.floor("value").cast("long").alias("likes"),

@@ -277,9 +277,9 @@ def sentiment_trend(spark, d):
     return FE.sentiment_trend(before(spark, d)).withColumn("trend", F.round("trend", 6))
 
 
-@query(f""", {_BEFORE.format('posts')} SELECT event_id, round(coalesce(avg(d2), 0), 6) AS acceleration FROM (SELECT event_id, sentiment - 2 * lag(sentiment) OVER w + lag(sentiment, 2) OVER w AS d2 FROM bef WINDOW w AS (PARTITION BY event_id ORDER BY nth)) GROUP BY event_id""", "posts evts")
+@query(f""", {_BEFORE.format('posts')} SELECT event_id, round(coalesce(avg(d2), 0) + 1e-9, 6) AS acceleration FROM (SELECT event_id, sentiment - 2 * lag(sentiment) OVER w + lag(sentiment, 2) OVER w AS d2 FROM bef WINDOW w AS (PARTITION BY event_id ORDER BY nth)) GROUP BY event_id""", "posts evts")
 def sentiment_accel(spark, d):
-    return FE.sentiment_acceleration(before(spark, d)).withColumn("acceleration", F.round("acceleration", 6))
+    return FE.sentiment_acceleration(before(spark, d)).withColumn("acceleration", F.round(F.col("acceleration") + 1e-9, 6))
 
 
 @query(f""", {_BEFORE.format('posts')} SELECT event_id, round(CASE WHEN count(*) < 2 THEN 1 ELSE (sum(n * n) / (sum(n) * sum(n)) - 1 / count(*)) / (1 - 1 / count(*)) END, 6) AS concentration FROM (SELECT event_id, day, count(*) AS n FROM bef GROUP BY ALL) GROUP BY event_id""", "posts evts")
