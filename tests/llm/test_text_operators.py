@@ -807,9 +807,8 @@ def test_offered_partners_are_the_nearest_of_other_components():
     assert two < every
     for i in range(150):
         n = rows[6]
-        later, earlier = sorted(apart[i, j] for a, j in every if a == i and n[i] <= n[j]), sorted(apart[j, i] for j, b in every if b == i and n[i] <= n[j])
-        assert sorted(apart[i, j] for a, j in two if a == i and n[i] <= n[j])[:2] == later[:2]
-        assert sorted(apart[j, i] for j, b in two if b == i and n[i] <= n[j])[:2] == earlier[:2]
+        near, taken = (sorted(apart[a, b] for a, b in pairs if (a == i and n[i] <= n[b]) or (b == i and n[i] <= n[a])) for pairs in (every, two))
+        assert taken[:2] == near[:2]
 
 
 def test_near_dedup_of_a_dense_group_against_brute_force(spark, tmp_path):
