@@ -56,6 +56,24 @@ def drawdown_scale(dd: DataFrame, threshold: float = 0.1) -> DataFrame:
     return dd.withColumn("scale", F.when(F.col("drawdown") < -threshold, F.greatest(1 - over / threshold, F.lit(0.5))).otherwise(F.lit(1.0)))
 
 
+# Days that losses of at most this depth took to recover.
+RECOVERY_DAYS = {-0.05: 15, -0.10: 45, -0.15: 90, -0.20: 180, -0.30: 365}
+
+
+def recovery_days(drawdown: Column, legacy: bool = False) -> Column:
+    """Days to recover from a drawdown (<= 0), 730 beyond the deepest level, 0 for none. ``legacy`` looks the
+    levels up from the deepest, so that every loss within it counts as that one."""
+    out = F.lit(730)
+    for level in sorted(RECOVERY_DAYS, reverse=legacy):
+        out = F.when(drawdown >= level, F.lit(RECOVERY_DAYS[level])).otherwise(out)
+    return F.when(drawdown >= 0, F.lit(0)).otherwise(out)
+
+
+def optimal_leverage(sharpe: Column, most: float = 2.0, least: float = 0.5) -> Column:
+    """Half the Sharpe ratio (volatility near 10 %), within bounds."""
+    return F.greatest(F.least(sharpe / 2, F.lit(most)), F.lit(least))
+
+
 DEFAULT_THRESHOLDS, EXPOSURES = (-0.10, -0.15, -0.20, -0.25), (0.95, 0.85, 0.70, 0.50)
 
 

@@ -344,6 +344,19 @@ def calm(spark, d):
     return returns(spark, d).withColumn("ret", F.col("ret") / 40)
 
 
+@query(f""", {_DD} SELECT run_id, date, CASE WHEN drawdown >= 0 THEN 0 WHEN drawdown >= CAST(-0.05 AS DOUBLE) THEN 15 WHEN drawdown >= CAST(-0.1 AS DOUBLE) THEN 45 WHEN drawdown >= CAST(-0.15 AS DOUBLE) THEN 90
+    WHEN drawdown >= CAST(-0.2 AS DOUBLE) THEN 180 WHEN drawdown >= CAST(-0.3 AS DOUBLE) THEN 365 ELSE 730 END AS days, CASE WHEN drawdown >= 0 THEN 0 WHEN drawdown >= CAST(-0.3 AS DOUBLE) THEN 365 ELSE 730 END AS days_legacy FROM dd""", "rets")
+def recovery_days(spark, d):
+    dd = R.drawdowns(calm(spark, d))
+    return dd.select("run_id", "date", R.recovery_days(F.col("drawdown")).alias("days"), R.recovery_days(F.col("drawdown"), legacy=True).alias("days_legacy"))
+
+
+@query(f""", {_DD} SELECT run_id, round(greatest(least(avg(ret) / stddev_samp(ret) * sqrt(252) / 2, 2), 0.5), 6) AS leverage FROM dd GROUP BY run_id""", "rets")
+def optimal_leverage(spark, d):
+    sharpe = F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(252.0))
+    return calm(spark, d).groupBy("run_id").agg(F.round(R.optimal_leverage(sharpe), 6).alias("leverage"))
+
+
 @query(f", {_DD} SELECT run_id, date, round(CASE WHEN drawdown < -0.1 THEN greatest(1 - (abs(drawdown) - 0.1) / 0.1, 0.5) ELSE 1 END, 5) AS scale FROM dd", "rets")
 def drawdown_scale(spark, d):
     return rounded(R.drawdown_scale(R.drawdowns(calm(spark, d))).select("run_id", "date", "scale"), 5)
