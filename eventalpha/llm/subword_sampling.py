@@ -33,6 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,7 @@ class Lattices:
         n = int(self.off[-1])
         self.chars = np.zeros(n, np.int64)
         self.ids = np.full((n, m), -1, np.int32)
+        self.flat_ids = self.ids.reshape(-1)
         self.total = np.zeros(n)
         self.cumulative = np.full((n, -(-m // 8) * 8), 2.0, np.float32)  # rows of whole 8-byte words as flags
         chance, stretch = np.exp(model.weight), np.exp(model.scale * np.arange(1, m + 1))
@@ -257,7 +259,7 @@ class Lattices:
             node = self.off[place] + r
             flags = (self.cumulative[node] <= chance[:, None]).view(np.uint64)
             before = ((flags * _ONES) >> np.uint64(56)).astype(np.int64).sum(axis=1)  # bytes added up
-            piece = self.ids[node, before]
+            piece = self.flat_ids[node * self.model.longest + before]
             if self.has_spelled:
                 piece = np.where(piece < 0, -1 - self.chars[node], piece)
             count[live] += 1
@@ -422,14 +424,24 @@ class _Text:
         self.split(len(self.paths) - 1, unit, value, gone)
 
 
+def numbered(split: list[list[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct units, and each text's units as places among them. There is a unit without characters
+    too, so that no array is empty."""
+    flat = list(chain.from_iterable(split))
+    try:
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    except (UnicodeError, pa.ArrowInvalid):  # STAND_IN is no character
+        index: dict[str, int] = {}
+        codes = np.fromiter((index.setdefault(u, len(index)) for u in flat), np.int64, len(flat))
+        distinct = list(index)
+    return [*distinct, ""], np.split(codes, np.cumsum([len(s) for s in split])[:-1]) if split else []
+
+
 def segment(model: Model, keys: list[int], texts: list[str], k: int):
     """For each text a list of (ids, log-probability, perturbed, log-inclusion)."""
-    split = [model.units(t) for t in texts]
-    distinct = {""}.union(*split)  # with a unit without characters, so that no array is empty
-    index = dict(zip(distinct, range(len(distinct))))
-    number = [np.fromiter(map(index.__getitem__, s), np.int64, len(s)) for s in split]
-    del split, distinct
-    lattices = Lattices(model, list(index))
+    distinct, number = numbered([model.units(t) for t in texts])
+    lattices = Lattices(model, distinct)
     states = [_Text(u, key) for u, key in zip(number, keys)]
 
     def draw_many(wanted: list[tuple[_Text, int, int]]) -> list[tuple]:
