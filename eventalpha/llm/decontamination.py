@@ -20,7 +20,8 @@ parts. Every passage that retrieves an item is verified; the row is the best ver
 The index is broadcast; its size is bounded: a benchmark of more than ``shard_words`` words is dealt
 into several indexes, each with its own pass over the documents.
 
-Defined cases: null and empty texts and items match nothing; repeated items are items of their own;
+Defined cases: null and empty texts match nothing; an item of fewer than ``least`` words (by default a
+shingle: five) is no evidence of a leak, as any text may hold it by chance, and matches nothing; repeated items are items of their own;
 repeated documents give repeated rows; words are lower-cased runs of anything but ASCII white space
 and punctuation; ties do not arise, since all units above the threshold are returned; a null doc_id
 or item_id is carried along; an empty table of either kind gives an empty result; further columns are
@@ -165,7 +166,8 @@ class Index:
             n = self.block_at[term + 1] - first
             offset = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             rows = stop - start
-            sums = np.bincount(np.repeat(where, n) * n_blocks + self.blocks[offset], self.block_most[offset], rows * n_blocks).reshape(rows, n_blocks)
+            # A float also where nothing is counted: bincount then returns integers.
+            sums = np.bincount(np.repeat(where, n) * n_blocks + self.blocks[offset], self.block_most[offset], rows * n_blocks).astype(np.float64).reshape(rows, n_blocks)
             both = sums[: min(some, rows)].copy()
             after = sums[1 : len(both) + 1]
             both[: len(after)] += np.where(last[start : start + len(after), None], 0.0, after)
@@ -274,6 +276,7 @@ def leaked_items(
     threshold: float = 0.6,
     overlap: float = 0.8,
     shard_words: int = 2_000_000,
+    least: int = SHINGLE,
 ) -> DataFrame:
     """One row for each document (doc_id, text) and leaked item (item_id, text) of the benchmark."""
     spark = docs.sparkSession
@@ -284,7 +287,7 @@ def leaked_items(
     out = spark.createDataFrame([], SCHEMA)
     for shard in range(shards):
         part = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text")
-        items = [(r[0], r[1]) for r in part.collect() if words_in(r[1])]  # at most about shard_words words
+        items = [(r[0], r[1]) for r in part.collect() if len(words_in(r[1])) >= least]  # at most about shard_words words
         if items:
             found = docs.mapInArrow(_matcher(spark.sparkContext.broadcast(build_index(items, threshold)), overlap), SCHEMA)
             out = found if shard == 0 else out.unionByName(found)
