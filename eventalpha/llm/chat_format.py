@@ -207,7 +207,11 @@ def placed(df: DataFrame, budget: int, history: int) -> DataFrame:
     # A turn serves as history up to ``history`` tokens after its end.
     last = F.floor((F.col("end") + history) / size)
     summed = summed.withColumn("own", own)
-    spread = summed.withColumn("stretch", F.explode(F.sequence("own", F.greatest("own", last)))).withColumn("new", F.col("stretch") == F.col("own"))
+    # Where a long turn goes on no other turn starts, so no stretch there has a use for it: only the
+    # one in which it starts and those from its end on.
+    behind = F.sequence(F.greatest(F.col("own") + 1, F.floor(F.col("end") / size)), last)
+    uses = F.when(last > F.col("own"), F.concat(F.array("own"), behind)).otherwise(F.array("own"))
+    spread = summed.withColumn("stretch", F.explode(uses)).withColumn("new", F.col("stretch") == F.col("own"))
     system = summed.filter((F.col("place") == 0) & (F.col("role") == "system"))
     stretches = summed.select("conv_id", F.col("own").alias("stretch")).distinct()
     again = (
