@@ -57,9 +57,12 @@ def quorum(df: DataFrame, group: list[str], least: int) -> DataFrame:
 
 
 def source_agreement(df: DataFrame, group: list[str], dead: float = 0.01) -> DataFrame:
-    """Share of the sources whose mean sentiment points the majority's way; 0 for one source."""
-    means = df.groupBy(*group, "source").agg(F.avg("sentiment").alias("m"))
-    up, down = F.count_if(F.col("m") > dead), F.count_if(F.col("m") < -dead)
+    """Share of the sources whose mean sentiment points the majority's way; 0 for one source. Sentiments
+    are summed in whole millionths, so a mean on the edge falls the same way in whatever order rows come."""
+    unit = 1_000_000
+    means = df.groupBy(*group, "source").agg(F.sum(F.round(F.col("sentiment") * unit).cast("long")).alias("s"), F.count("sentiment").alias("c"))
+    edge = F.col("c") * round(dead * unit)
+    up, down = F.count_if(F.col("s") > edge), F.count_if(F.col("s") < -edge)
     n = F.count(F.lit(1))
     most = F.greatest(up, down, n - up - down)
     return means.groupBy(*group).agg(n.alias("n_sources"), F.when(n < 2, F.lit(0.0)).otherwise(F.round(most / n, 3)).alias("source_agreement"))

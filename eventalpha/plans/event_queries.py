@@ -55,8 +55,8 @@ def source_quorum(spark, d):
     return P.quorum(posts(spark, d).withColumn("day", F.to_date("ts")), ["ticker", "day"], 3)
 
 
-@query("""SELECT ticker, day, CAST(count(*) AS BIGINT) AS n_sources, CASE WHEN count(*) < 2 THEN 0 ELSE round(greatest(count(*) FILTER (m > 0.01), count(*) FILTER (m < -0.01), count(*) FILTER (m BETWEEN -0.01 AND 0.01)) / count(*), 3) END AS source_agreement
-    FROM (SELECT ticker, CAST(ts AS DATE) AS day, source, avg(sentiment) AS m FROM posts GROUP BY ALL) GROUP BY ALL""", "posts")
+@query("""SELECT ticker, day, CAST(count(*) AS BIGINT) AS n_sources, CASE WHEN count(*) < 2 THEN 0 ELSE round(greatest(count(*) FILTER (m > 0), count(*) FILTER (m < 0), count(*) FILTER (m = 0)) / count(*), 3) END AS source_agreement
+    FROM (SELECT ticker, CAST(ts AS DATE) AS day, source, CASE WHEN abs(sum(CAST(round(sentiment * 100) AS BIGINT))) > count(*) THEN sign(sum(CAST(round(sentiment * 100) AS BIGINT))) ELSE 0 END AS m FROM posts GROUP BY ALL) GROUP BY ALL""", "posts")
 def source_agreement(spark, d):
     return P.source_agreement(posts(spark, d).withColumn("day", F.to_date("ts")), ["ticker", "day"])
 

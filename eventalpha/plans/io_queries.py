@@ -73,7 +73,7 @@ def prices_long(spark, d):
     return M.wide_to_long(wide, ["date"], names)
 
 
-@query("""SELECT post_id, CASE WHEN n > 0 THEN 'positive' WHEN n < 0 THEN 'negative' ELSE 'neutral' END AS label, round(n / greatest(len(w), 1), 9) AS score FROM (SELECT post_id, w,
+@query("""SELECT post_id, CASE WHEN n > 0 THEN 'positive' WHEN n < 0 THEN 'negative' ELSE 'neutral' END AS label, round(n / greatest(len(w), 1), 9) AS score, 'model' AS mode FROM (SELECT post_id, w,
     len(list_filter(w, lambda x: x IN ('the', 'la', 'und'))) - len(list_filter(w, lambda x: x IN ('and', 'le', 'der'))) AS n
     FROM (SELECT post_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM posts_text))""", "posts_text")
 def udf_model(spark, d):
@@ -90,8 +90,8 @@ def udf_model(spark, d):
 
         return model
 
-    scored = posts_text(spark, d, lambda docs: ST.score_in_batches(docs, load).drop("text"))
-    return scored.select("post_id", "label", F.round("score", 9).alias("score"))
+    scored = posts_text(spark, d, lambda docs: ST.score_in_batches(docs, load, fallback=load).drop("text"))
+    return scored.select("post_id", "label", F.round("score", 9).alias("score"), "mode")
 
 
 @query("""SELECT filing_id, unnest(['1.01', '2.02', '1.01']) AS item, CAST(unnest([0, 1, 2]) AS INTEGER) AS nth FROM filings""", "filings")
@@ -112,17 +112,20 @@ def udtf_sections(spark, d):
 # --- streams ---
 
 
-def stream(spark, d):
+def replayed(spark, d) -> ST.Replay:
+    return ST.Replay(spark, f"{d}/events.parquet", table(spark, d, "events").schema, last={"user_id": -1})
+
+
+def stream(source: ST.Replay):
     """The events table as a stream of posts."""
-    schema = table(spark, d, "events").schema
     i = F.col("event_id")
-    return ST.replay(spark, f"{d}/events.parquet", schema).select(
+    return source.stream.select(
         i.alias("post_id"), ticker(F.col("user_id") % 25).alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), ((i * 37 % 201 - 100) / 100).alias("sentiment"), F.col("event_type").alias("source"))
 
 
 @query("SELECT DISTINCT ticker, date_trunc('minute', ts) AS minute FROM posts", "posts")
 def st_dedup(spark, d):
-    s = stream(spark, d).withColumn("minute", F.date_trunc("minute", "ts"))
+    s = stream(replayed(spark, d)).withColumn("minute", F.date_trunc("minute", "ts"))
     return ST.run_append(ST.dedup(s, ["ticker", "minute"]), spark, "st-dedup").select("ticker", F.col("minute").cast("timestamp_ntz").alias("minute"))
 
 
@@ -130,7 +133,8 @@ def st_dedup(spark, d):
       SELECT ticker, start, sentiment, CASE WHEN n > 100 THEN 8 WHEN n > 50 THEN 5 WHEN n > 25 THEN 2 ELSE 0 END + CASE WHEN m < -0.8 THEN 8 WHEN m < -0.5 THEN 5 WHEN m < -0.3 THEN 2 ELSE 0 END AS p FROM (
         SELECT ticker, start, sentiment, count(*) OVER w AS n, avg(sentiment) OVER w AS m FROM (SELECT ticker, sentiment, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(6 * k AS INTEGER)) AS start FROM posts, range(4) t(k)) WINDOW w AS (PARTITION BY ticker, start))) GROUP BY ticker, start, p""", "posts")
 def st_scandal(spark, d):
-    return rounded(ST.run_complete(ST.scandal_windows(stream(spark, d)), spark, "st-scandal"))
+    posts = replayed(spark, d)
+    return rounded(ST.run_closed(ST.scandal_windows(stream(posts)), spark, "st-scandal", [posts]))
 
 
 @query("""SELECT ticker, 'HALT' AS action, until FROM (SELECT *, max(until) OVER (PARTITION BY ticker ORDER BY ts, severity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
@@ -138,24 +142,27 @@ def st_scandal(spark, d):
     UNION ALL SELECT ticker, 'RELEASE', max(until) FROM (SELECT ticker, date_trunc('millisecond', ts) + to_hours(CASE severity WHEN 'CRITICAL' THEN 48 WHEN 'HIGH' THEN 24 WHEN 'MEDIUM' THEN 12 END) AS until FROM graded WHERE severity <> 'LOW')
     GROUP BY ticker HAVING max(until) < (SELECT max(ts) FROM graded) - INTERVAL 2 HOURS""", "graded")
 def st_halts(spark, d):
-    s = stream(spark, d).select("ticker", "ts", grade(F.col("sentiment")).alias("severity"))
-    return ST.run_append(ST.halt_states(s), spark, "st-halts").withColumn("until", F.col("until").cast("timestamp_ntz"))
+    s = stream(replayed(spark, d)).select("ticker", "ts", grade(F.col("sentiment")).alias("severity"))
+    return ST.run_append(ST.halt_states(s), spark, "st-halts", ST.ROCKS).withColumn("until", F.col("until").cast("timestamp_ntz"))
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, CAST(count(*) AS BIGINT) AS n_posts, CAST(count(DISTINCT ticker) AS INTEGER) AS covered, CASE WHEN count(DISTINCT ticker) / 25 >= 0.8 THEN 'FULL' WHEN count(DISTINCT ticker) / 25 >= 0.5 THEN 'PARTIAL' WHEN count(DISTINCT ticker) / 25 >= 0.2 THEN 'SPARSE' ELSE 'DROPOUT' END AS quality FROM posts GROUP BY 1""", "posts")
 def st_coverage(spark, d):
-    return ST.run_complete(ST.hourly_coverage(stream(spark, d), 25), spark, "st-coverage")
+    posts = replayed(spark, d)
+    return ST.run_closed(ST.hourly_coverage(stream(posts), 25), spark, "st-coverage", [posts])
 
 
 @query("""SELECT ticker, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", CAST(count(*) AS BIGINT) AS n_posts, round(avg(sentiment), 6) AS sentiment FROM (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY ts, post_id) AS g FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY ticker ORDER BY ts, post_id) <= INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM posts)) GROUP BY ticker, g""", "posts")
 def st_sessions(spark, d):
-    return rounded(ST.run_complete(ST.post_sessions(stream(spark, d)), spark, "st-sessions"))
+    posts = replayed(spark, d)
+    return rounded(ST.run_closed(ST.post_sessions(stream(posts)), spark, "st-sessions", [posts]))
 
 
-@query("SELECT event_id, post_id FROM posts p JOIN evts e ON p.ticker = e.ticker AND ts >= event_date - INTERVAL 10 DAYS AND ts <= event_date + INTERVAL 3 DAYS", "posts evts")
+@query("SELECT e.event_id, post_id FROM evts e LEFT JOIN posts p ON p.ticker = e.ticker AND ts >= event_date - INTERVAL 10 DAYS AND ts <= event_date + INTERVAL 3 DAYS", "posts evts")
 def st_event_join(spark, d):
+    """Events and their posts; an event without any once, with null."""
     path = S.scratch(spark, "event-stream")
     events(spark, d).select("event_id", "ticker", F.col("event_date").cast("timestamp").alias("event_ts")).write.parquet(path)
-    e = ST.replay(spark, path + "/", spark.read.parquet(path).schema)
-    return ST.run_append(ST.event_posts(stream(spark, d), e), spark, "st-event-join").select("event_id", "post_id")
+    e, p = ST.Replay(spark, path + "/", spark.read.parquet(path).schema, "event_ts"), replayed(spark, d)
+    return ST.run_closed(ST.event_posts(stream(p), e.stream), spark, "st-event-join", [e, p]).select("event_id", "post_id")

@@ -3,42 +3,96 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from eventalpha.operators.quality import quality_class
 from eventalpha.operators.risk import HALT_HOURS, severity
 from eventalpha.sources.tables import scratch
 
+Model = Callable[[list[str]], list[tuple[str, float]]]
 
-def replay(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    return spark.readStream.schema(schema).parquet(path + "*")
 
+@dataclass
+class Replay:
+    """A Parquet table as a stream of its files, and a way to end it: watermarks only move on with later rows,
+    so ``close`` adds a row far in the future, null but for its time and the columns in ``last``, and what waits
+    for the watermark comes out when the stream goes on. ``last`` has a value for the keys of a join, as rows
+    with null keys are dropped before they move a watermark. ``stream`` has all of the table's columns."""
 
-def run_complete(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run an aggregation over all that there is and return its last state. The result table is
-    rewritten after each batch."""
-    out = scratch(spark, name)
+    spark: SparkSession
+    path: str
+    schema: StructType
+    ts: str = "ts"
+    files: int | None = None  # so many files a micro-batch
+    last: dict[str, object] = field(default_factory=dict)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def __post_init__(self):
+        self.tail = scratch(self.spark, "stream-tail")
+        self.spark.createDataFrame([], self.schema).write.parquet(self.tail)
+        read = self.spark.readStream.schema(self.schema)
+        read = read.option("maxFilesPerTrigger", self.files) if self.files else read
+        self.stream = read.parquet(self.path + "*").unionByName(self.spark.readStream.schema(self.schema).parquet(self.tail))
 
-    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    def close(self) -> None:
+        last = self.spark.range(1).select(*[F.lit(FAR if f.name == self.ts else self.last.get(f.name)).cast(f.dataType).alias(f.name) for f in self.schema])
+        last.write.mode("append").parquet(self.tail)
 
 
-def run_append(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    out = scratch(spark, name)
-    q = (
-        stream.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+FAR = "2200-01-01"
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@dataclass
+class Run:
+    """Where an append-mode query keeps its rows and its state, and what its micro-batches reported."""
+
+    spark: SparkSession
+    name: str
+    conf: dict[str, str] = field(default_factory=dict)
+    progress: list = field(default_factory=list)
+
+    def __post_init__(self):
+        self.out, self.state = scratch(self.spark, self.name), scratch(self.spark, f"{self.name}-state")
+
+    def go(self, stream: DataFrame) -> Run:
+        """Take all that there is; called again, go on from the checkpoint."""
+        before = {k: self.spark.conf.get(k, None) for k in self.conf}
+        try:
+            for k, v in self.conf.items():
+                self.spark.conf.set(k, v)
+            q = stream.writeStream.outputMode("append").format("parquet").option("path", self.out).option("checkpointLocation", self.state).trigger(availableNow=True).start()
+            q.awaitTermination()
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        self.schema = stream.schema
+        self.progress += q.recentProgress
+        return self
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.out)
+
+    def state_rows(self) -> list[int]:
+        """Rows in state after each micro-batch."""
+        return [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in self.progress if p["stateOperators"]]
+
+
+def run_append(stream: DataFrame, spark: SparkSession, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+    return Run(spark, name, conf or {}).go(stream).rows()
+
+
+def run_closed(stream: DataFrame, spark: SparkSession, name: str, sources: list[Replay]) -> DataFrame:
+    """Run to the end of the sources, close them, and let out what waited for the watermark."""
+    run = Run(spark, name).go(stream)
+    for s in sources:
+        s.close()
+    return run.go(stream).rows()
 
 
 def dedup(posts: DataFrame, key: list[str], horizon: str = "2 hours", ts: str = "ts") -> DataFrame:
@@ -47,14 +101,16 @@ def dedup(posts: DataFrame, key: list[str], horizon: str = "2 hours", ts: str =
 
 
 def scandal_windows(posts: DataFrame, base_volume: float = 10.0, size: str = "24 hours", slide: str = "6 hours", watermark: str = "2 hours") -> DataFrame:
-    """Volume, mood and severity of each ticker over sliding windows."""
+    """Volume, mood and severity of each ticker over sliding windows. In append mode a window comes out once the
+    watermark has passed its end, and leaves the state."""
     g = posts.withWatermark("ts", watermark).groupBy("ticker", F.window("ts", size, slide).alias("w")).agg(F.count(F.lit(1)).alias("n_posts"), F.avg("sentiment").alias("sentiment"))
     out = g.select("ticker", F.col("w.start").cast("timestamp_ntz").alias("start"), "n_posts", "sentiment")
     return out.withColumn("severity", severity(F.col("n_posts") / base_volume, F.col("sentiment"), F.lit(0)))
 
 
 def hourly_coverage(posts: DataFrame, expected: int, watermark: str = "2 hours") -> DataFrame:
-    """Posts and quality class by hour (tickers by an approximate count, exact for small sets)."""
+    """Posts, distinct tickers and quality class by hour. The state of an open hour is the set of its tickers,
+    as large as the universe at most."""
     g = posts.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n_posts"), F.size(F.collect_set("ticker")).alias("covered"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n_posts", "covered").withColumn("quality", quality_class(F.col("covered") / expected))
 
@@ -65,51 +121,108 @@ def post_sessions(posts: DataFrame, gap: str = "2 hours", watermark: str = "2 ho
     return g.select("ticker", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n_posts", "sentiment")
 
 
-def halt_states(scandals: DataFrame) -> DataFrame:
-    """scandals: (ticker, ts TIMESTAMP, severity) -> a row whenever a ticker is halted, for longer, or
-    released. The state of a ticker is the end of its halt in milliseconds; an event-time timer clears it."""
+class Halts(StatefulProcessor):
+    """Of a ticker: the end of its halt in milliseconds. A scandal that ends later than it extends the halt; an
+    event-time timer at its end releases the ticker and clears the state."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "until long")
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            until, = state.get
-            state.remove()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        until = self.until.get()[0] if self.until.exists() else 0
+        if 0 < until <= timerValues.getCurrentWatermarkInMs():  # rows come before timers that are due in the same batch
             yield pd.DataFrame({"ticker": [key[0]], "action": ["RELEASE"], "until_ms": [until]})
-            return
-        until = state.get[0] if state.exists else 0
-        rows = []
-        for ms, level in sorted(x for frame in frames for x in zip(frame["ms"], frame["severity"])):  # scandals only, so few
+            until = 0
+        ends = []
+        for ms, level in sorted(x for frame in rows for x in zip(frame["ms"], frame["severity"])):  # scandals only, so few
             end = int(ms) + HALT_HOURS[level][0] * 3_600_000
             if end > until:
                 until = end
-                rows.append(end)
-        if until:
-            state.update((until,))
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"ticker": [key[0]] * len(rows), "action": ["HALT"] * len(rows), "until_ms": pd.Series(rows, dtype="int64")})
+                ends.append(end)
+        if ends:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.until.update((until,))
+            self.handle.registerTimer(max(until, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"ticker": [key[0]] * len(ends), "action": ["HALT"] * len(ends), "until_ms": pd.Series(ends, dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until, = self.until.get()
+        self.until.clear()
+        yield pd.DataFrame({"ticker": [key[0]], "action": ["RELEASE"], "until_ms": [until]})
+
+    def close(self) -> None:
+        pass
+
 
+def halt_states(scandals: DataFrame) -> DataFrame:
+    """scandals: (ticker, ts TIMESTAMP, severity) -> a row whenever a ticker is halted, for longer, or released.
+    Runs on the RocksDB state store (``ROCKS``), as typed state and timers need it."""
     graded = scandals.withWatermark("ts", "2 hours").filter(F.col("severity").isin(*HALT_HOURS)).withColumn("ms", F.unix_millis("ts"))
-    states = graded.groupBy("ticker").applyInPandasWithState(update, "ticker string, action string, until_ms long", "until long", "append", "EventTimeTimeout")
+    states = graded.groupBy("ticker").transformWithStateInPandas(Halts(), "ticker string, action string, until_ms long", "append", "EventTime")
     return states.select("ticker", "action", F.timestamp_millis("until_ms").alias("until"))
 
 
-def event_posts(posts: DataFrame, events: DataFrame, before: str = "10 days", after: str = "3 days") -> DataFrame:
-    """Stream-stream interval join on the ticker; both watermarks bound the state."""
+def event_posts(posts: DataFrame, events: DataFrame, before: str = "10 days", after: str = "3 days", how: str = "left_outer") -> DataFrame:
+    """Stream-stream interval join on the ticker; both watermarks bound the state. With ``left_outer`` an event
+    without posts comes out once, with nulls, when the watermark has passed its window and its state goes."""
     p = posts.withWatermark("ts", "2 hours").alias("p")
     e = events.withWatermark("event_ts", "2 hours").alias("e")
     near = F.expr(f"p.ticker = e.ticker and p.ts >= e.event_ts - interval {before} and p.ts <= e.event_ts + interval {after}")
-    return p.join(e, near).select("e.event_id", "p.post_id", "p.ts", "e.event_ts")
+    return e.join(p, near, how).select("e.event_id", "p.post_id", "p.ts", "e.event_ts")
+
 
+def score_in_batches(
+    df: DataFrame, load: Callable[[], Model], text: str = "text", size: int = 32, fallback: Callable[[], Model] | None = None, strict: bool = False,
+) -> DataFrame:
+    """``df`` plus label, score and mode from a pluggable model: ``load`` runs once a task and returns a function
+    of a list of texts that gives a label and a score for each.
 
-def score_in_batches(df: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]], text: str = "text", size: int = 32) -> DataFrame:
-    """``df`` plus label and score from a pluggable model: ``load`` runs once a worker and returns a
-    function of a list of texts."""
+    Where the model cannot be loaded, or fails on a batch, or answers with another number of rows than it was
+    asked for, the texts concerned are scored by ``fallback`` (also loaded once) and say so: mode is ``model``,
+    ``fallback``, or ``none`` (neutral, 0) where there is no fallback either. A batch is tried again text by text
+    first, so that one bad text costs no other its score. With ``strict`` any failure ends the query with
+    RuntimeError. A null text is an empty one; an empty text is neutral, 0 without asking the model."""
 
-    @F.pandas_udf("label string, score double")
+    @F.pandas_udf("label string, score double, mode string")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model, spare = _loaded(load, strict), None
+
+        def spared(texts: list[str]) -> list[tuple[str, float, str]]:
+            nonlocal spare
+            if fallback is None:
+                return [("neutral", 0.0, "none")] * len(texts)
+            spare = spare or fallback()
+            return [(label, score, "fallback") for label, score in spare(texts)]
+
+        def asked(texts: list[str]) -> list[tuple[str, float, str]]:
+            if model is None:
+                return spared(texts)
+            try:
+                found = list(model(texts))
+                if len(found) != len(texts):
+                    raise ValueError(f"{len(found)} answers to {len(texts)} texts")
+                return [(str(label), float(score), "model") for label, score in found]
+            except Exception as error:
+                if strict:
+                    raise RuntimeError(f"the model failed on a batch of {len(texts)} texts") from error
+                return spared(texts) if len(texts) == 1 else [r for t in texts for r in asked([t])]
+
         for texts in batches:
             values = texts.fillna("").tolist()
-            out = [r for at in range(0, len(values), size) for r in model(values[at : at + size])]
-            yield pd.DataFrame(out, columns=["label", "score"])
+            full = [t for t in values if t]
+            answers = iter([r for at in range(0, len(full), size) for r in asked(full[at : at + size])])
+            out = [next(answers) if t else ("neutral", 0.0, "model" if model else "fallback" if fallback else "none") for t in values]
+            yield pd.DataFrame(out, columns=["label", "score", "mode"])
+
+    return df.withColumn("_s", scored(text)).select(*df.columns, "_s.label", "_s.score", "_s.mode")
+
 
-    return df.withColumn("_s", scored(text)).select(*df.columns, "_s.label", "_s.score")
+def _loaded(load: Callable[[], Model], strict: bool) -> Model | None:
+    try:
+        return load()
+    except Exception as error:
+        if strict:
+            raise RuntimeError("the model could not be loaded") from error
+        return None
