@@ -18,6 +18,19 @@ def normal_cdf(z: Column | str) -> Column:
     return pandas_udf(of, "double")(z)
 
 
+def best_of(trials: float) -> float:
+    """Expected greatest of so many standard normal draws (0 for one), by the usual two-quantile formula."""
+    gamma, inv = 0.5772156649, NormalDist().inv_cdf
+    return 0.0 if trials <= 1 else (1 - gamma) * inv(1 - 1 / trials) + gamma * inv(1 - 1 / (trials * math.e))
+
+
+def expected_best(trials: Column | str) -> Column:
+    def of(n: pd.Series) -> pd.Series:
+        return n.astype("float64").map(best_of)
+
+    return pandas_udf(of, "double")(trials)
+
+
 def t_two_sided(t: float, df: int) -> float:
     """P(|T| > |t|), by the continued fraction of the incomplete beta function."""
     if df <= 0:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventalpha.operators.ranks import with_rank
+
 
 def by_ticker():
     return Window.partitionBy("ticker").orderBy("date")
@@ -60,12 +62,50 @@ def with_adv(prices: DataFrame, window: int = 20) -> DataFrame:
     return prices.withColumn("adv_value", F.avg(F.col("close") * F.col("volume")).over(by_ticker().rowsBetween(-(window - 1), 0)))
 
 
-def return_correlations(returns: DataFrame, least: int = 20) -> DataFrame:
-    """Pairwise correlation of tickers on common dates, long form (ticker < other)."""
-    a, b = returns.alias("a"), returns.alias("b")
-    return (
-        a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.ticker") < F.col("b.ticker")))
-        .groupBy(F.col("a.ticker").alias("ticker"), F.col("b.ticker").alias("other"))
-        .agg(F.corr("a.ret", "b.ret").alias("corr"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= least)
-    )
+def return_correlations(returns: DataFrame, least: int = 20, block: int = 256, days: int = 512) -> DataFrame:
+    """Pairwise correlation of tickers on common dates, long form (ticker < other; null without variance); a
+    ticker has one return a date.
+
+    Tickers are dealt into blocks and dates into stretches. A row goes to each pair of blocks that its own is in,
+    so rows sent grow with blocks times data, not with pairs of tickers times dates; a task turns one pair of
+    blocks over one stretch (at most days x 2 block numbers) into matrices, whose products give the sums and
+    counts of all its pairs at once, missing dates left out by a matrix of ones and zeros. Returns are taken less
+    their ticker's mean, so that the sums lose nothing."""
+    given = returns.filter("ret is not null").select("ticker", "date", F.col("ret").cast("double").alias("ret"))
+    names = with_rank(given.groupBy("ticker").agg(F.avg("ret").alias("_mean")), ["ticker"])
+    blocks = -(-names.count() // block)
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    rows = given.join(names, "ticker").select(
+        "ticker", F.floor(F.col("_rank") / block).cast("int").alias("k"), (F.col("_rank") % block).cast("int").alias("place"),
+        F.floor(day / days).cast("int").alias("stretch"), F.pmod(day, F.lit(days)).cast("int").alias("day"), (F.col("ret") - F.col("_mean")).alias("x"))
+    met = F.transform(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))), lambda j: F.struct(F.least("k", j).alias("a"), F.greatest("k", j).alias("b")))
+    sent = rows.withColumn("_m", F.explode(met)).select("_m.a", "_m.b", "stretch", "k", "place", "day", "ticker", "x")
+
+    def products(key: tuple, frame):
+        import numpy as np
+        import pandas as pd
+
+        def filled(k: int):
+            own = frame[frame["k"] == k]
+            x, one = np.zeros((days, block)), np.zeros((days, block))
+            x[own["day"], own["place"]] = own["x"]
+            one[own["day"], own["place"]] = 1.0
+            names_ = np.full(block, None, object)
+            names_[own["place"]] = own["ticker"]
+            return x, one, names_
+
+        x, of_x, left = filled(key[0])
+        y, of_y, right = (x, of_x, left) if key[0] == key[1] else filled(key[1])
+        n = of_x.T @ of_y
+        i, j = np.nonzero(n)
+        if key[0] == key[1]:
+            i, j = i[i < j], j[i < j]
+        sums = {"n": n, "sx": x.T @ of_y, "sy": of_x.T @ y, "sxx": (x * x).T @ of_y, "syy": of_x.T @ (y * y), "sxy": x.T @ y}
+        return pd.DataFrame({"ticker": left[i], "other": right[j], **{k: v[i, j] for k, v in sums.items()}})
+
+    parts = sent.groupBy("a", "b", "stretch").applyInPandas(products, "ticker string, other string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = parts.groupBy("ticker", "other").agg(*[F.sum(c).alias(c) for c in parts.columns[2:]]).filter(F.col("n") >= least)
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    spread = (n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy)
+    corr = F.when(spread > 0, (n * F.col("sxy") - sx * sy) / F.sqrt(spread))
+    return total.select("ticker", "other", corr.alias("corr"), n.cast("long").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import carried
 from .risk import drawdowns
 
 DAYS, RISK_FREE = 252, 0.02
@@ -89,15 +90,11 @@ def psr(returns: DataFrame, benchmark: float = 0.0) -> DataFrame:
 
 def dsr(returns: DataFrame, trials: int) -> DataFrame:
     """Probabilistic Sharpe against the best that ``trials`` skill-less tries would show."""
-    import math
-    from statistics import NormalDist
-
-    from eventalpha.functions.normal import normal_cdf
+    from eventalpha.functions.normal import best_of, normal_cdf
 
     if trials <= 1:
         return psr(returns).withColumnRenamed("psr", "dsr")
-    gamma, inv = 0.5772156649, NormalDist().inv_cdf
-    top = (1 - gamma) * inv(1 - 1 / trials) + gamma * inv(1 - 1 / (trials * math.e))
+    top = best_of(trials)
     sr = F.col("sr")
     v = F.greatest(1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr, F.lit(1e-6)) / (F.col("n") - 1)
     bench = F.sqrt(v) * top * F.sqrt(F.lit(float(DAYS)))
@@ -105,27 +102,24 @@ def dsr(returns: DataFrame, trials: int) -> DataFrame:
 
 
 def trade_returns(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Return of every (partial) close against the average entry price; trades: shares, price.
-
-    A fold over the sorted trades of one name in one run: (position, entry price, returns so far)."""
-    rows = trades.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col("shares").cast("double").alias("shares"), "price"))).alias("_t"))
-    none = F.array().cast("array<double>")
-
-    def step(a: Column, t: Column) -> Column:
-        p, e, s, x = a["p"], a["e"], t["shares"], t["price"]
-        opens, adds = p == 0, ((p > 0) & (s > 0)) | ((p < 0) & (s < 0))
-        closed = F.least(F.abs(p), F.abs(s))
-        gain = F.signum(p) * (x - e) / F.when(e != 0, e)
-        ends = F.abs(s) >= F.abs(p)
-        is_close = ~opens & ~adds & (s != 0)
-        return F.struct(
-            F.when(opens, s).when(adds, p + s).when(is_close & ends, F.lit(0.0)).when(is_close, p + s).otherwise(p).alias("p"),
-            F.when(opens, x).when(adds, (p * e + s * x) / F.when(p + s != 0, p + s)).when(is_close & ends, F.lit(0.0)).otherwise(e).alias("e"),
-            F.when(is_close & (closed * e > 0), F.concat(a["r"], F.array(gain))).otherwise(a["r"]).alias("r"),
-        )
-
-    folded = F.aggregate("_t", F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("e"), none.alias("r")), step, lambda a: a["r"])
-    return rows.select(*by, F.posexplode(folded).alias("nth", "trade_return"))
+    """Return of every (partial) close against the average entry price; trades: shares, price; nth in order of the
+    name's closes. Positions are carried along each name's trades (see ``folds.carried``), so a name's trades
+    are spread over tasks and no task holds more than one position. What goes beyond closing a position opens none."""
+
+    def step(state: tuple[float, float], trade: tuple) -> tuple[tuple[float, float], tuple | None]:
+        held, entry = state
+        shares, price = trade
+        if shares is None or price is None or shares == 0:
+            return state, None
+        if held == 0:
+            return (shares, price), None
+        if (held > 0) == (shares > 0):
+            return (held + shares, (held * entry + shares * price) / (held + shares)), None
+        gain = ((price - entry) / entry * (1 if held > 0 else -1),) if entry > 0 else None
+        return ((0.0, 0.0) if abs(shares) >= abs(held) else (held + shares, entry)), gain
+
+    rows = trades.withColumns({c: F.col(c).cast("double") for c in ("shares", "price")})
+    return carried(rows, by, order, ["shares", "price"], (0.0, 0.0), step, "trade_return double")
 
 
 def trade_stats(trade_returns_: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventalpha.functions.normal import best_of
 from eventalpha.operators import joins as J
 from eventalpha.operators import ml as ML
 from eventalpha.operators import perf as P
@@ -13,6 +14,7 @@ from eventalpha.operators import risk as R
 from eventalpha.operators import sweeps as SW
 from eventalpha.operators import universe as U
 from eventalpha.operators import validation as V
+from eventalpha.operators.folds import Fold
 from eventalpha.plans.base import events, factors, filings, prices, query, returns, scored, signals, table, ticker, universe
 from eventalpha.plans.signal_queries import rounded
 
@@ -233,20 +235,65 @@ def wf_assign(spark, d):
     return assigned(spark, d).groupBy("fold", "split").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-_WFM = f"""{_ASSIGN}, wfm AS (SELECT fold, avg(ret) FILTER (split = 'train') / stddev_samp(ret) FILTER (split = 'train') * sqrt(252) AS train_sharpe, avg(ret) FILTER (split = 'test') / stddev_samp(ret) FILTER (split = 'test') * sqrt(252) AS test_sharpe,
-    exp(sum(ln(1 + ret)) FILTER (split = 'test')) - 1 AS test_return, count(*) FILTER (split = 'test') AS n_test FROM asf GROUP BY fold), wfo AS (SELECT *, CASE WHEN train_sharpe > 0 THEN test_sharpe / train_sharpe ELSE 0 END AS overfit_ratio FROM wfm)"""
+# Signals with the return of their ticker on their date.
+COMPONENTS = ["intensity", "pre_event_sentiment", "event_confidence"]
+ENTER = 0.2
+_WFR = f"""{_FOLDS}, wfr AS (SELECT event_id, s.ticker, s.date, intensity, pre_event_sentiment, event_confidence, ret / 40 AS ret FROM sigs s JOIN rets r ON r.run_id = s.ticker AND r.date = s.date),
+    was AS (SELECT r.*, fold, 'train' AS split FROM wfr r JOIN folds ON date >= train_start AND date < train_end UNION ALL SELECT r.*, fold, 'test' FROM wfr r JOIN folds ON date >= test_start AND date < test_end),
+    wok AS (SELECT * FROM was WHERE fold IN (SELECT fold FROM was GROUP BY fold HAVING count(*) FILTER (split = 'train') >= 10 AND count(*) FILTER (split = 'test') >= 5)),
+    wiv AS (SELECT fold, {', '.join(f"CASE WHEN count(*) >= 20 THEN 1 / greatest(coalesce(var_samp({c}), 1), 1e-6) ELSE 1 END AS {c}" for c in COMPONENTS)} FROM wok WHERE split = 'train' GROUP BY fold),
+    wts AS (SELECT fold, {', '.join(f"{c} / ({' + '.join(COMPONENTS)}) AS {c}" for c in COMPONENTS)} FROM wiv),
+    wsc AS (SELECT o.fold, split, date, ret, {' + '.join(f'o.{c} * w.{c}' for c in COMPONENTS)} AS score FROM wok o JOIN wts w ON o.fold = w.fold),
+    wdy AS (SELECT fold, split, date, count(*) AS n, avg(sign(score) * ret) AS ret FROM wsc WHERE abs(score) >= {ENTER} GROUP BY ALL),
+    weq AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY fold, split ORDER BY date)) AS e FROM wdy),
+    wdd AS (SELECT *, e / greatest(max(e) OVER (PARTITION BY fold, split ORDER BY date), 1) - 1 AS dd FROM weq),
+    wsp AS (SELECT fold, {', '.join(f"coalesce(avg(ret) FILTER (split = '{x}') / nullif(stddev_samp(ret) FILTER (split = '{x}'), 0), 0) * sqrt(252) AS {x}_sharpe, coalesce(sum(n) FILTER (split = '{x}'), 0) AS {x}_n_trades, coalesce(exp(sum(ln(1 + ret)) FILTER (split = '{x}')) - 1, 0) AS {x}_return, coalesce(least(min(dd) FILTER (split = '{x}'), 0), 0) AS {x}_max_drawdown" for x in ('train', 'test'))} FROM wdd GROUP BY fold),
+    wfo AS (SELECT *, CASE WHEN abs(train_sharpe) < 0.001 THEN 0 ELSE test_sharpe / train_sharpe END AS overfit_ratio FROM wsp WHERE test_n_trades > 0)"""
 
 
-@query(f", {_WFM} SELECT fold, round(train_sharpe, 5) AS train_sharpe, round(test_sharpe, 5) AS test_sharpe, round(test_return, 4) AS test_return, CAST(n_test AS BIGINT) AS n_test, round(overfit_ratio, 5) AS overfit_ratio FROM wfo", "rets")
+def walked(spark, d):
+    """Rows of each fold, and weights fitted on their training part."""
+    r = runs(spark, d).withColumnRenamed("run_id", "ticker")
+    s = signals(spark, d).select("event_id", "ticker", "date", *COMPONENTS)
+    rows = V.assign(s.join(r, ["ticker", "date"]), folds(spark))
+    return rows, V.train_weights(rows, COMPONENTS)
+
+
+def walked_metrics(spark, d):
+    rows, weights = walked(spark, d)
+    return V.fold_metrics(V.backtest(rows, weights, COMPONENTS, ENTER))
+
+
+@query(f", {_WFR} SELECT fold, {', '.join(f'round({c}, 8) AS {c}' for c in COMPONENTS)} FROM wts", "sigs rets")
+def wf_weights(spark, d):
+    return rounded(walked(spark, d)[1], 8)
+
+
+_WFC = [f"{x}_{c}" for x in ("train", "test") for c in ("sharpe", "return", "max_drawdown")]
+
+
+@query(f", {_WFR} SELECT fold, {', '.join(f'round({c}, 5) AS {c}' for c in _WFC)}, CAST(train_n_trades AS BIGINT) AS train_n_trades, CAST(test_n_trades AS BIGINT) AS test_n_trades, round(overfit_ratio, 4) AS overfit_ratio FROM wfo", "sigs rets")
 def wf_metrics(spark, d):
-    m = V.sharpe_by_split(assigned(spark, d))
-    return m.select([F.round(c, 4 if c == "test_return" else 5).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
+    m = walked_metrics(spark, d)
+    return m.select("fold", *[F.round(c, 5).alias(c) for c in _WFC], "train_n_trades", "test_n_trades", F.round("overfit_ratio", 4).alias("overfit_ratio"))
+
 
+# The greatest of n normal draws, and the normal distribution, which DuckDB lacks: by table and by integration.
+_BEST = ", ".join(f"({n}, CAST({best_of(n)!r} AS DOUBLE))" for n in range(2, 41))
+_CDF = "(SELECT 0.5 + sum(exp(-t * t / 2)) * abs({z}) / 2000 / sqrt(2 * pi()) * sign({z}) FROM (SELECT (i + 0.5) / 2000 * abs({z}) AS t FROM range(2000) r(i)))"
 
-@query(f""", {_WFM} SELECT CAST(count(*) AS BIGINT) AS folds, round(avg(test_sharpe), 5) AS mean_sharpe, round(coalesce(stddev_samp(test_sharpe), 0), 5) AS std_sharpe, round(min(test_sharpe), 5) AS min_sharpe, round(max(test_sharpe), 5) AS max_sharpe, round(count(*) FILTER (test_return > 0) / count(*), 5) AS profitable,
-    round(avg(overfit_ratio), 5) AS overfit_ratio, avg(test_sharpe) >= 0.5 AND count(*) FILTER (test_return > 0) / count(*) >= 0.6 AS passes FROM wfo""", "rets")
+
+@query(f""", {_WFR}, ag AS (SELECT count(*) AS folds, avg(train_sharpe) AS mean_train_sharpe, avg(test_sharpe) AS mean_sharpe, coalesce(stddev_samp(test_sharpe), 0) AS std_sharpe, min(test_sharpe) AS min_sharpe, max(test_sharpe) AS max_sharpe,
+      count(*) FILTER (test_sharpe > 0) / count(*) AS profitable, avg(overfit_ratio) FILTER (train_sharpe <> 0) AS overfit_ratio, sum(test_n_trades) AS n_trades FROM wfo), bst(n, best) AS (VALUES {_BEST}),
+    az AS (SELECT ag.*, mean_sharpe / (std_sharpe / sqrt(folds)) AS psr_z, (mean_sharpe - std_sharpe * best) / (std_sharpe / sqrt(folds)) AS dsr_z FROM ag JOIN bst ON n = folds),
+    ap AS (SELECT *, {_CDF.format(z='psr_z')} AS p, {_CDF.format(z='dsr_z')} AS q FROM az)
+    SELECT CAST(folds AS BIGINT) AS folds, round(mean_train_sharpe, 5) AS mean_train_sharpe, round(mean_sharpe, 5) AS mean_sharpe, round(std_sharpe, 5) AS std_sharpe, round(min_sharpe, 5) AS min_sharpe, round(max_sharpe, 5) AS max_sharpe, round(profitable, 5) AS profitable,
+      round(overfit_ratio, 4) AS overfit_ratio, CAST(n_trades AS BIGINT) AS n_trades, round(psr_z, 5) AS psr_z, round(dsr_z, 5) AS dsr_z, round(p, 4) AS probabilistic_sharpe, round(q, 4) AS deflated_sharpe,
+      mean_sharpe > 0 AND overfit_ratio > 0.4 AND profitable >= 0.5 AND q >= 0.9 AS passes FROM ap""", "sigs rets")
 def wf_aggregate(spark, d):
-    return rounded(V.aggregate(V.sharpe_by_split(assigned(spark, d))), 5)
+    places = {"overfit_ratio": 4, "probabilistic_sharpe": 4, "deflated_sharpe": 4}
+    out = V.aggregate(walked_metrics(spark, d))
+    return out.select([F.round(c, places.get(c, 5)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 _SWEEP = """lv(threshold) AS (VALUES (CAST(0.2 AS DOUBLE)), (0.4), (0.6), (0.8)), sw AS (SELECT threshold, count(*) AS n_signals, avg(raw_score) / stddev_samp(raw_score) AS sharpe FROM lv JOIN scored ON event_confidence >= threshold GROUP BY threshold)"""
@@ -294,12 +341,8 @@ def funnel(spark, d):
 
 @query(f", {_ASSIGN} SELECT fold, split, round(avg(ret), 9) AS mean, CAST(count(*) AS BIGINT) AS n FROM asf GROUP BY ALL", "rets")
 def udf_fold(spark, d):
-    import pandas as pd
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(int(pdf.fold.iloc[0]), pdf.split.iloc[0], float(pdf.ret.mean()), int(len(pdf)))], columns=["fold", "split", "mean", "n"])
-
-    return V.per_fold(assigned(spark, d).select("fold", "split", "ret"), best, "fold int, split string, mean double, n long").withColumn("mean", F.round("mean", 9))
+    mean = Fold(lambda: (0, 0.0), lambda s, rows: (s[0] + len(rows), s[1] + float(rows["ret"].sum())), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: [(s[1] / s[0], s[0])])
+    return V.per_fold(assigned(spark, d).select("fold", "split", "ret"), mean, "mean double, n long").withColumn("mean", F.round("mean", 9))
 
 
 # --- universe ---
