@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,10 @@ class Tokenizers:
         b = self.b.encode("x" + unit)[len(self.before) :] if self.in_units else self.b.encode(unit[1:])
         return a, b
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, coded: pa.Array, open_ends: set[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A's and B's ids of all units, the numbers of them up to each unit's end, and which units do not
-        come back as they were."""
+        come back as they were. ``open_ends`` has the units that end in white space."""
+        units, lengths = coded.to_pylist(), pc.binary_length(coded).to_numpy().astype(np.int64)
         bad = np.zeros(len(units), bool)
         a_ids, b_ids, a_upto, b_upto = [], [], [], []
         a_n = b_n = 0
@@ -119,7 +121,7 @@ class Tokenizers:
             a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
             if b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw:
                 a, b = np.array(a, np.int64), np.array(b, np.int64)
-                ends = np.cumsum([len(u.encode()) for u in units[first:last]])
+                ends = np.cumsum(lengths[first:last])
                 a_at = np.searchsorted(np.cumsum(self.a_lengths[a]), ends, side="right")
                 b_at = np.searchsorted(np.cumsum(self.b_lengths[b]), ends, side="right")
                 keep(a, b, a_at, b_at)
@@ -127,21 +129,17 @@ class Tokenizers:
                 for at in range(first, last):
                     alone(at)
 
-        first, size = 0, 0
-        for at, unit in enumerate(units):
-            # What ends in a space would meet the next unit's: it is encoded alone.
-            if not self.in_units or unit[-1].isspace():
-                if at > first:
-                    together(first, at)
+        # What ends in white space would meet the next unit's: it is encoded alone.
+        lonely = range(len(units)) if not self.in_units else [at for at, u in enumerate(units) if u in open_ends] if open_ends else []
+        upto, first = np.r_[0, np.cumsum(lengths)], 0
+        for at in [*lonely, len(units)]:
+            while first < at:  # about CHUNK bytes at once
+                last = min(at, max(first + 1, int(np.searchsorted(upto, upto[first] + CHUNK, side="right")) - 1))
+                together(first, last)
+                first = last
+            if at < len(units):
                 alone(at)
-                first, size = at + 1, 0
-                continue
-            size += len(unit)
-            if size >= CHUNK:
-                together(first, at + 1)
-                first, size = at + 1, 0
-        if len(units) > first:
-            together(first, len(units))
+                first = at + 1
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         return join(a_ids), join(b_ids), join(a_upto), join(b_upto), bad
 
@@ -206,7 +204,11 @@ def links(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
 
 def summed(owner: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (owner, pair, times), one for each owner and pair."""
-    order = np.lexsort((pair, owner))
+    bits = int(pair.max()).bit_length() if len(pair) else 0
+    if len(pair) and int(owner.max()).bit_length() + bits < 63:
+        order = np.argsort(owner << bits | pair)
+    else:
+        order = np.lexsort((pair, owner))
     owner, pair, times = owner[order], pair[order], times[order]
     first = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(pair) != 0)]) if len(owner) else np.zeros(0, np.int64)
     return owner[first], pair[first], np.add.reduceat(times, first) if len(first) else times
@@ -222,7 +224,7 @@ def align_texts(texts: list[str], tools: Tokenizers) -> list[pa.Array]:
     counts = np.array([len(u) for u in split], np.int64)
     coded = pa.array([u for units in split for u in units], pa.string()).dictionary_encode()
     unit = coded.indices.to_numpy().astype(np.int64)
-    a, b, a_upto, b_upto, bad = tools.encode(coded.dictionary.to_pylist())
+    a, b, a_upto, b_upto, bad = tools.encode(coded.dictionary, {u[-1] for u in split if u and u[-1][-1].isspace()})
     owner = np.repeat(np.arange(len(texts)), counts)
     spoiled = np.zeros(len(texts), bool)
     spoiled[owner[bad[unit]]] = True
