@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventalpha.operators.folds import Fold, merged
 from eventalpha.operators.ranks import tile, with_rank
+from eventalpha.sources.tables import scratch
 
 
 def return_label(ret: Column, low: float = -0.01, high: float = 0.01) -> Column:
@@ -46,17 +50,39 @@ def select_by_variance(df: DataFrame, features: list[str], k: int, least: float
     return _top(rows.groupBy("feature").agg(F.var_samp("x").alias("score")).filter(F.col("score") >= least), k)
 
 
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, corr) of all pairs of the columns, a before b in the list; 0 where undefined. One pass: each task
+    folds its rows into means and co-moments, and only these matrices are merged."""
+    import numpy as np
+
+    def update(state, frame):
+        x = frame[columns].to_numpy(np.float64)
+        mean = x.mean(axis=0)
+        return merge(state, (len(x), mean, (x - mean).T @ (x - mean)))
+
+    def merge(a, b):
+        if a is None or b is None:
+            return a or b
+        n = a[0] + b[0]
+        apart = b[1] - a[1]
+        return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+    def finish(state):
+        m = state[2]
+        spread = np.sqrt(np.outer(np.diag(m), np.diag(m)))
+        corr = np.divide(m, spread, out=np.zeros_like(m), where=spread > 0)
+        return [(columns[i], columns[j], float(corr[i, j])) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+
+    clean = df.select(F.lit(0).alias("_all"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    return merged(clean, ["_all"], Fold(lambda: None, update, merge, finish), "a string, b string, corr double").drop("_all")
+
+
 def drop_collinear(df: DataFrame, features: list[str], target: str, limit: float = 0.8) -> DataFrame:
     """Features without those that lose a pair of |correlation| above the limit (the one less
-    correlated with the target loses; ties: the later name). All pairs in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    corr = lambda a, b: F.coalesce(F.nanvl(F.abs(F.corr(a, b)), F.lit(0.0)), F.lit(0.0))
-    cols = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features], F.col(target).cast("double").alias("_y"))
-    row = cols.agg(
-        F.array(*[F.struct(F.lit(f).alias("feature"), corr(f, "_y").alias("score")) for f in features]).alias("own"),
-        F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("c")) for a, b in pairs]).alias("pairs"))
-    own = row.select(F.inline("own"))
-    close = row.select(F.inline("pairs")).filter(F.col("c") > limit)
+    correlated with the target loses; ties: the later name), with that correlation as score."""
+    both = correlations(df.select(*features, F.col(target).alias("_y")), [*features, "_y"]).withColumn("c", F.abs("corr"))
+    own = both.filter("b = '_y'").select(F.col("a").alias("feature"), F.col("c").alias("score"))
+    close = both.filter((F.col("b") != "_y") & (F.col("c") > limit)).select("a", "b")
     j = close.join(own.select(F.col("feature").alias("a"), F.col("score").alias("sa")), "a").join(own.select(F.col("feature").alias("b"), F.col("score").alias("sb")), "b")
     losers = j.select(F.when(F.col("sa") >= F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("feature")).distinct()
     return own.join(losers, "feature", "left_anti")
@@ -79,18 +105,37 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(clean)
 
 
-def select_by_forest(df: DataFrame, features: list[str], target: str, k: int, seed: int = 42) -> list[tuple[str, float]]:
-    data = _assembled(df, features).select("features", F.col(target).cast("double").alias("label"))
+def _importances(data: DataFrame, names: list[str], seed: int) -> list[tuple[str, float]]:
+    """Of rows (features, label): the names, most important first; ties by name."""
     weights = RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed).fit(data).featureImportances.toArray()
-    return sorted(zip(features, map(float, weights)), key=lambda x: (-x[1], x[0]))[:k]
+    return sorted(zip(names, map(float, weights)), key=lambda x: (-x[1], x[0]))
 
 
-def eliminate(df: DataFrame, features: list[str], target: str, k: int) -> list[str]:
-    """Drop the least important feature until k are left."""
-    left = list(features)
-    while len(left) > k:
-        left.remove(select_by_forest(df, left, target, len(left))[-1][0])
-    return left
+def select_by_forest(df: DataFrame, features: list[str], target: str, k: int, seed: int = 42) -> list[tuple[str, float]]:
+    data = _assembled(df, features).select("features", F.col(target).cast("double").alias("label"))
+    return _importances(data, features, seed)[:k]
+
+
+def eliminate(df: DataFrame, features: list[str], target: str, k: int, step: int = 1, seed: int = 42) -> DataFrame:
+    """Recursive elimination: (feature, ranking, importance). Each round fits a forest to the features left and
+    drops the ``step`` least important ones, until k are left; these have ranking 1, those of the last round
+    2, and so on; importance is that of the last fit that had the feature. The vectors are assembled and written
+    once, and each round takes a slice of them."""
+    path = scratch(df.sparkSession, "assembled")
+    _assembled(df, features).select("features", F.col(target).cast("double").alias("label")).write.parquet(path)
+    data = df.sparkSession.read.parquet(path).withColumnRenamed("features", "every")
+    left, dropped, scores = list(features), [], {}
+    while True:
+        at = [features.index(f) for f in left]
+        found = _importances(VectorSlicer(inputCol="every", outputCol="features", indices=at).transform(data).select("features", "label"), left, seed)
+        scores |= dict(found)
+        if len(left) <= k:
+            break
+        gone = {f for f, _ in found[max(k, len(left) - step) :]}
+        dropped.append(gone)
+        left = [f for f in left if f not in gone]
+    rank = {f: 1 for f in left} | {f: 2 + i for i, gone in enumerate(reversed(dropped)) for f in gone}
+    return df.sparkSession.createDataFrame([(f, rank[f], scores[f]) for f in features], "feature string, ranking int, importance double")
 
 
 def vote(selections: list[DataFrame], scores: DataFrame, least: int, k: int) -> DataFrame:
@@ -114,13 +159,37 @@ def pipeline(features: list[str], kind: str = "forest", classes: int = 3, seed:
     return Pipeline(stages=[assembler, scale, model])
 
 
-def fit(df: DataFrame, features: list[str], label: str = "label", kind: str = "forest") -> PipelineModel:
-    clean = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}).withColumn("label", F.col(label).cast("double"))
-    return pipeline(features, kind).fit(clean)
+@dataclass
+class Fitted:
+    """A pipeline and, for a model that takes no negative values, the least training value of each feature:
+    smaller ones count as that, so that a scaled feature is never below 0."""
+
+    model: PipelineModel
+    features: list[str]
+    floors: dict[str, float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df.withColumns({c: F.greatest(_filled(c), F.lit(self.floors[c])) if c in self.floors else _filled(c) for c in self.features}))
+
+    def importances(self) -> DataFrame:
+        """(feature, importance) of a forest, most important first."""
+        weights = self.model.stages[-1].featureImportances.toArray()
+        rows = sorted(zip(self.features, map(float, weights)), key=lambda x: (-x[1], x[0]))
+        return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+
+
+def _filled(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+
+def fit(df: DataFrame, features: list[str], label: str = "label", kind: str = "forest") -> Fitted:
+    clean = df.withColumns({c: _filled(c) for c in features}).withColumn("label", F.col(label).cast("double"))
+    floors = clean.agg(*[F.min(c).alias(c) for c in features]).first().asDict() if kind == "bayes" else {}
+    return Fitted(pipeline(features, kind).fit(clean), features, floors)
 
 
-def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
-    return model.transform(df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}))
+def predict(model: Fitted, df: DataFrame) -> DataFrame:
+    return model.transform(df)
 
 
 def accuracy(predictions: DataFrame, label: str = "label") -> Column | DataFrame:
@@ -135,7 +204,7 @@ def time_series_cv(df: DataFrame, features: list[str], order: list[str], splits:
     out = None
     for i in range(1, splits + 1):
         model = fit(blocks.filter(F.col("_b") <= i), features, label, kind)
-        part = accuracy(predict(model, blocks.filter(F.col("_b") == i + 1), features), label).withColumn("fold", F.lit(i))
+        part = accuracy(predict(model, blocks.filter(F.col("_b") == i + 1)), label).withColumn("fold", F.lit(i))
         out = part if out is None else out.unionByName(part)
     return out
 

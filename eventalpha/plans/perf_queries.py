@@ -389,14 +389,16 @@ def universe_except(spark, d):
 
 # --- machine learning ---
 
-FEATURES = [f"f{i}" for i in range(8)]
-_FEAT = f"ft AS (SELECT vec_id, label, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(7))}, CAST(embedding[1] AS DOUBLE) * 2 + CAST(embedding[2] AS DOUBLE) / 10 AS f7 FROM embeddings)"
+# All dimensions of the vectors, and one that nearly repeats the first.
+DIMENSIONS = 64
+FEATURES = [f"f{i}" for i in range(DIMENSIONS + 1)]
+_FEAT = f"ft AS (SELECT vec_id, label, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(DIMENSIONS))}, CAST(embedding[1] AS DOUBLE) * 2 + CAST(embedding[2] AS DOUBLE) / 10 AS f{DIMENSIONS} FROM embeddings)"
 _LONG = f"{_FEAT}, lf AS (UNPIVOT ft ON {', '.join(FEATURES)} INTO NAME feature VALUE x)"
 
 
 def features(spark, d):
-    e = lambda i: F.element_at("embedding", i).cast("double")
-    cols = [e(i + 1).alias(f"f{i}") for i in range(7)] + [(e(1) * 2 + e(2) / 10).alias("f7")]
+    e = lambda i: F.get("embedding", i).cast("double")
+    cols = [e(i).alias(f"f{i}") for i in range(DIMENSIONS)] + [(e(0) * 2 + e(1) / 10).alias(f"f{DIMENSIONS}")]
     return table(spark, d, "embeddings").select("vec_id", "label", *cols)
 
 
@@ -415,7 +417,7 @@ def select_variance(spark, d):
     return rounded(ML.select_by_variance(features(spark, d), FEATURES, 5, 0.001))
 
 
-@query(f"""WITH {_LONG}, own AS (SELECT feature, abs(corr(x, label)) AS s FROM lf GROUP BY feature), pr AS (SELECT a.feature AS a, b.feature AS b FROM lf a JOIN lf b USING (vec_id) WHERE a.feature < b.feature GROUP BY 1, 2 HAVING abs(corr(a.x, b.x)) > 0.8),
+@query(f"""WITH {_LONG}, own AS (SELECT feature, abs(corr(x, label)) AS s FROM lf GROUP BY feature), pr AS (SELECT a.feature AS a, b.feature AS b FROM lf a JOIN lf b USING (vec_id) WHERE CAST(a.feature[2:] AS INTEGER) < CAST(b.feature[2:] AS INTEGER) GROUP BY 1, 2 HAVING abs(corr(a.x, b.x)) > 0.8),
     los AS (SELECT CASE WHEN x.s >= y.s THEN pr.b ELSE pr.a END AS feature FROM pr JOIN own x ON x.feature = pr.a JOIN own y ON y.feature = pr.b) SELECT feature, round(s, 6) AS score FROM own WHERE feature NOT IN (SELECT feature FROM los)""")
 def select_collinear(spark, d):
     return rounded(ML.drop_collinear(features(spark, d), FEATURES, "label"))
@@ -432,15 +434,27 @@ def select_rf(spark, d):
     return spark.createDataFrame(ML.select_by_forest(features(spark, d), FEATURES, "label", 5), "feature string, importance double")
 
 
-@query(f"""WITH {_LONG}, p AS (SELECT feature, abs(corr(x, label)) AS s FROM lf GROUP BY feature), c AS (SELECT feature FROM p ORDER BY s DESC, feature LIMIT 5), v AS (SELECT feature FROM lf GROUP BY feature HAVING var_samp(x) >= 0.001 ORDER BY var_samp(x) DESC, feature LIMIT 5)
-    SELECT feature, CAST(2 AS BIGINT) AS votes, round(s, 6) AS score FROM p WHERE feature IN (SELECT feature FROM c) AND feature IN (SELECT feature FROM v)""")
+@query(f"""WITH {_LONG}, p AS (SELECT feature, abs(corr(x, label)) AS s FROM lf GROUP BY feature), c AS (SELECT feature FROM p ORDER BY s DESC, feature LIMIT 20), v AS (SELECT feature FROM lf GROUP BY feature HAVING var_samp(x) >= 0.001 ORDER BY var_samp(x) DESC, feature LIMIT 20)
+    SELECT feature, CAST(2 AS BIGINT) AS votes, round(s, 6) AS score FROM p WHERE feature IN (SELECT feature FROM c) AND feature IN (SELECT feature FROM v) ORDER BY s DESC, feature LIMIT 8""")
 def select_vote(spark, d):
     f = features(spark, d)
     every = ML.select_by_correlation(f, FEATURES, "label", len(FEATURES))
-    chosen = [ML.select_by_correlation(f, FEATURES, "label", 5), ML.select_by_variance(f, FEATURES, 5, 0.001)]
+    chosen = [ML.select_by_correlation(f, FEATURES, "label", 20), ML.select_by_variance(f, FEATURES, 20, 0.001)]
     return rounded(ML.vote(chosen, every, 2, 8))
 
 
+@query()
+def select_rfe(spark, d):
+    """Ranking of all features by recursive elimination down to nine, eight a round."""
+    return ML.eliminate(features(spark, d), FEATURES, "label", 9, 8)
+
+
+@query()
+def class_importance(spark, d):
+    f = features(spark, d).withColumn("label", (F.col("label") % 3).cast("int"))
+    return ML.fit(f, FEATURES).importances()
+
+
 @query()
 def classify(spark, d):
     """Accuracy of each model on held-out rows, a fifth by a hash of the id."""
@@ -448,7 +462,7 @@ def classify(spark, d):
     train, test = f.filter("fold <> 0").drop("fold"), f.filter("fold = 0").drop("fold")
     out = None
     for kind in ("forest", "bayes", "perceptron", "svm"):
-        a = ML.accuracy(ML.predict(ML.fit(train, FEATURES, kind=kind), test, FEATURES)).withColumn("model", F.lit(kind))
+        a = ML.accuracy(ML.predict(ML.fit(train, FEATURES, kind=kind), test)).withColumn("model", F.lit(kind))
         out = a if out is None else out.unionByName(a)
     return out
 
