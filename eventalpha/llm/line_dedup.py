@@ -1,12 +1,11 @@
 """Boilerplate lines by their frequency within a site.
 
-For each host, the share of its pages that hold a line; lines over ``ratio`` are dropped from that
-host's pages. The share is shrunk towards zero by ``prior_pages`` pages without the line, so that on
-a small host more pages must agree: rate = pages with the line / (pages + prior_pages). With 0.05 and
-40 a line goes from a host of 3 pages if all have it, of 20 if 4 have it, of 1,000 if 53 have it; it
-never goes for being on one or two pages, as a copied article would be. A page counts once for a
-line, however often it repeats it. Blank lines are neither counted nor dropped. Lines are told apart
-by a 128-bit hash.
+For each host, the pages that hold a line are divided by the host's page total; lines above ``ratio`` are
+dropped from that host's pages. A line on fewer than ``least_pages`` (two) pages of its host is never
+dropped, as it repeats nothing there; beyond that a host's size does not matter: on a host of 2 pages a line
+that both have goes, on one of 20 a line of 2, on one of 1,000 a line of 51. A page counts once for a
+line, however often it repeats it. Blank lines are neither counted nor dropped. Lines are told apart by a
+128-bit hash.
 
 Why the result is small: a page with k distinct lines adds k to its host's line counts, so a host
 has at most (mean lines a page) / ratio lines above the ratio, whatever its size. A page's lines
@@ -25,14 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-RATIO, PRIOR_PAGES = 0.05, 40
+RATIO, LEAST_PAGES = 0.05, 2
 
 
 def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def frequent_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, prior_pages: int = PRIOR_PAGES) -> DataFrame:
+def frequent_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """_ld_host, _ld_hash: the hashes of the host's boilerplate lines."""
     pages = df.select(F.col(host).alias("_ld_host"), F.col(text).alias("_ld_text"))
     totals = pages.groupBy("_ld_host").agg(F.count(F.lit(1)).alias("_ld_pages"))
@@ -46,18 +45,18 @@ def frequent_lines(df: DataFrame, host: str = "source", text: str = "text", rati
     return (
         counts.alias("c")
         .join(totals.alias("t"), F.col("c._ld_host").eqNullSafe(F.col("t._ld_host")))
-        .filter(F.col("_ld_on") > F.lit(ratio) * (F.col("_ld_pages") + prior_pages))
+        .filter((F.col("_ld_on") >= least_pages) & (F.col("_ld_on") > F.lit(ratio) * F.col("_ld_pages")))
         .select("c._ld_host", "_ld_hash")
     )
 
 
 def drop_frequent_lines(
-    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, prior_pages: int = PRIOR_PAGES,
+    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES,
     n_lines: str = "n_lines", n_dropped: str = "n_dropped",
 ) -> DataFrame:
     """``df`` with ``text`` rewritten, plus the columns ``n_lines`` and ``n_dropped`` (long; 0 for a null text)."""
     # Within one host's short list 64 bits tell lines apart.
-    heavy = frequent_lines(df, host, text, ratio, prior_pages).groupBy("_ld_host").agg(F.collect_list("_ld_hash.a").alias("_ld_lines"))
+    heavy = frequent_lines(df, host, text, ratio, least_pages).groupBy("_ld_host").agg(F.collect_list("_ld_hash.a").alias("_ld_lines"))
     heavy = cut(heavy, "frequent-lines")
     # No hint: the written table's size decides whether it is broadcast; beyond the session's
     # threshold Spark sorts and merges and splits a hot host.
@@ -88,7 +87,7 @@ heavy AS (
   SELECT l.source, l.line FROM (
     SELECT source, line, count(*) AS on_pages FROM lines WHERE trim(line, ' ') <> '' GROUP BY source, line) l
   JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
-  WHERE l.on_pages > CAST(0.05 AS DOUBLE) * (p.pages + 40)),
+  WHERE l.on_pages >= 2 AND l.on_pages > CAST(0.05 AS DOUBLE) * p.pages),
 by_host AS (SELECT source, list(line) AS lines FROM heavy GROUP BY source),
 cut AS (
   SELECT d.doc_id, string_split(d.text, chr(10)) AS a,
