@@ -23,7 +23,7 @@ text is empty; repeated rows give repeated results; an empty table gives an empt
 kind never overlap, and a random span never overlaps a base span; columns named ``spans`` or
 ``base_spans`` are replaced, the text is left out, other columns pass through, and names that begin
 with ``_ss_`` are reserved. Very long texts are read whole: a row holds its text, the text between
-matches, and the spans."""
+matches, and the spans; the work grows with the text and its spans, also in a text of very many."""
 
 from __future__ import annotations
 
@@ -56,6 +56,8 @@ ENCODINGS = {
 BINS_PER_DECADE, MAX_BIN = 20, 400
 ALPHA = 0.05  # the share of random runs among those cleared as structured
 
+BLOCK, PIECE, LEAST = 64, 4096, 20  # places of a block, code points of a piece, and of the shortest run
+
 _SPAN = "array<struct<start:int,end:int,token:string>>"
 
 
@@ -64,32 +66,63 @@ def _bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def prefixes(values: Column, op) -> Column:
+    """Of an array<bigint>: for each place ``op`` (a sum, a maximum) of 0 and all values before it. By blocks, first
+    within them and then over them, as an array that grows by one value is copied each time."""
+    zero = F.lit(0).cast("long")
+
+    def along(xs: Column, start: Column) -> Column:
+        return F.aggregate(
+            xs, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out")),
+            lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def scanned(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        part = lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))
+        starts = along(F.transform(blocks, lambda b: F.aggregate(part(b), zero, op)), zero)
+        return _bound(starts, lambda s: F.flatten(F.transform(blocks, lambda b: along(part(b), F.get(s, b)))))
+
+    return F.when(F.size(values) > 0, _bound(values, scanned)).otherwise(F.array().cast("array<bigint>"))
+
+
 def matches(text: Column, pattern: str, offset: Column | int = 0) -> Column:
     """The matches of ``pattern`` as array<struct<start,end,token>>, counted from ``offset``."""
     pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("got"), F.split(text, pattern, -1).alias("gaps"))
+    first = F.lit(offset) if isinstance(offset, int) else offset
 
     def walked(x: Column) -> Column:
         got, gaps = x["got"], x["gaps"]
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(got) - 1),
-            F.struct((F.lit(offset) if isinstance(offset, int) else offset).alias("at"), F.array().cast(_SPAN).alias("spans")),
-            lambda a, i: F.struct(
-                (a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(got, i))).alias("at"),
-                F.concat(a["spans"], F.array(F.struct(
-                    (a["at"] + F.length(F.get(gaps, i))).alias("start"),
-                    (a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(got, i))).alias("end"),
-                    F.get(got, i).alias("token"),
-                ))).alias("spans"),
-            ),
-            lambda a: a["spans"],
-        )
+        places = F.sequence(F.lit(0), F.size(got) - 1)
+        lengths = F.transform(places, lambda i: (F.length(F.get(gaps, i)) + F.length(F.get(got, i))).cast("long"))
+
+        def placed(before: Column) -> Column:
+            start = lambda i: (first + F.get(before, i) + F.length(F.get(gaps, i))).cast("int")
+            return F.transform(places, lambda i: F.struct(start(i).alias("start"), (start(i) + F.length(F.get(got, i))).alias("end"), F.get(got, i).alias("token")))
+
+        return _bound(prefixes(lengths, lambda a, x: a + x), placed)
 
     return F.when(text.rlike(pattern), _bound(pair, walked)).otherwise(F.array().cast(_SPAN))
 
 
-def without_spans(text: Column, spans: Column) -> Column:
-    """The text with blanks in place of the spans."""
-    return F.aggregate(spans, text, lambda t, s: F.overlay(t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+def between(text: Column, spans: Column, least: int) -> Column:
+    """What the spans, sorted by start, leave of the text in stretches of ``least`` or more:
+    array<struct<start,text>>. Stretches are put together from pieces of the text, as finding a place in a
+    string means to walk to it."""
+    size = F.length(text)
+
+    def cut_out(x: Column) -> Column:
+        pieces, ends = x["pieces"], x["ends"]
+        n = F.size(spans)
+        start = lambda i: F.get(ends, i)
+        stop = lambda i: F.when(i < n, F.get(spans, i)["start"]).otherwise(size)
+        free = F.filter(F.sequence(F.lit(0), n), lambda i: stop(i) - start(i) >= least)
+        in_piece = lambda i, k, a, b: F.substring(
+            F.get(pieces, k), F.greatest(a - k * PIECE, F.lit(0)).cast("int") + 1, (F.least(b, (k + 1) * PIECE) - F.greatest(a, k * PIECE)).cast("int"))
+        whole = lambda i, a, b: F.array_join(F.transform(F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")), lambda k: in_piece(i, k, a, b)), "")
+        return F.transform(free, lambda i: F.struct(start(i).cast("int").alias("start"), whole(i, start(i), stop(i)).alias("text")))
+
+    latest = prefixes(F.concat(F.transform(spans, lambda s: s["end"].cast("long")), F.array(F.lit(0).cast("long"))), lambda a, x: F.greatest(a, x))
+    return _bound(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), latest.alias("ends")), cut_out)
 
 
 def in_one_encoding(runs: Column) -> Column:
@@ -205,8 +238,9 @@ def scan(df: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
     long_enough = F.filter(matches(t, ASSIGN), lambda c: F.length(F.regexp_extract(c["token"], ASSIGN, 2)) >= 8)
     base = F.concat(*[ranked(spans, r) for r, spans in enumerate((long_enough, matches(t, ACCESS), matches(t, HEX)))])
     found = found.withColumn("_ss_base", F.sort_array(base))
-    left = F.when(F.size("_ss_base") > 0, without_spans(t, F.col("_ss_base"))).otherwise(t)
-    found = found.withColumn("_ss_text", left).withColumn("_ss_run", in_one_encoding(matches(t, RUN))).drop("_ss_text")
+    left = F.flatten(F.transform(between(t, F.col("_ss_base"), LEAST), lambda g: matches(g["text"], RUN, g["start"])))
+    runs = F.when(F.size("_ss_base") > 0, left).otherwise(matches(t, RUN))
+    found = found.withColumn("_ss_run", in_one_encoding(runs)).drop("_ss_text")
     found = cut(with_battery(found, "_ss_run", "_ss_tested").drop("_ss_run"), "secret-spans")
     cleared = cleared_bins(found, "_ss_tested", alpha)
     limit = F.lit(MAX_BIN + 1)
