@@ -8,9 +8,11 @@ from eventalpha.functions import text as X
 from eventalpha.operators import features as FE
 from eventalpha.operators import joins as J
 from eventalpha.operators import market as M
+from eventalpha.operators import pointintime as PIT
 from eventalpha.operators import posts as P
 from eventalpha.operators import quality as Q
 from eventalpha.operators import words as W
+from eventalpha.plans.text_queries import NEGATIVE, POSITIVE
 from eventalpha.plans.base import events, filings, posts, posts_text, prices, query, scored, sectors, signals, table, ticker, universe, weights
 
 
@@ -302,7 +304,8 @@ def wordcorr_counts(spark, d):
     return W.best_and_worst_counts(posts_text(spark, d, counted), events(spark, d), 7)
 
 
-_DOCRET = """dr AS (SELECT filing_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3) AS w, (filing_id * 37 % 201 - 100) / 1000 AS r, filing_id % 3 AS yr FROM filings),
+_DR = "dr AS (SELECT filing_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3) AS w, (filing_id * 37 % 201 - 100) / 1000 AS r, filing_id % 3 AS yr FROM filings)"
+_DOCRET = f"""{_DR},
     dw AS (SELECT filing_id, r, yr, unnest(list_distinct(w)) AS word FROM dr),
     ws AS (SELECT word, count(*) AS n_docs, (avg(r) - (SELECT avg(r) FROM dr)) / (SELECT stddev_pop(r) FROM dr) AS corr FROM dw GROUP BY word HAVING count(*) >= 10)"""
 
@@ -346,12 +349,39 @@ def returns(spark, d):
     return p.select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("ret", "log_ret", "forward_ret")])
 
 
-@query(f""", {_BEFORE.format('posts')} SELECT e.event_id, CAST(coalesce(n, 0) AS BIGINT) AS n_posts, round(coalesce(m, 0), 8) AS mean, round(coalesce(t, 0), 6) AS trend, CAST(filing_type = '8-K' AS INTEGER) AS is_8k, CAST(filing_type = '10-K' AS INTEGER) AS is_10k
-    FROM evts e LEFT JOIN (SELECT event_id, count(*) AS n, avg(sentiment) AS m, CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(sentiment, nth) END AS t FROM bef GROUP BY event_id) f USING (event_id)""", "posts evts")
+_TEMPORAL = """tmp AS (SELECT event_id, count(*) AS n_posts, count(*) FILTER (sentiment > 0.1) AS n_positive, count(*) FILTER (sentiment < -0.1) AS n_negative, count(*) FILTER (sentiment > 0.5) AS n_strong_positive, count(*) FILTER (sentiment < -0.5) AS n_strong_negative,
+      sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS n_words, avg(sentiment) AS mean, stddev_samp(sentiment) AS std, max(sentiment) AS max, min(sentiment) AS min, count(DISTINCT day) AS n_days, CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(sentiment, nth) END AS trend FROM bef GROUP BY event_id)"""
+# Documents with returns by date, scores of words as of each event date, and the texts before each ticker's event dates.
+_POINT = f"""{_DR}, drd AS (SELECT f.date, dr.* FROM dr JOIN filings f USING (filing_id)), dts AS (SELECT DISTINCT event_date AS d FROM evts),
+    tot AS (SELECT d, avg(r) AS m, stddev_pop(r) AS s FROM dts JOIN drd ON date < d GROUP BY d), dwd AS (SELECT date, r, unnest(list_distinct(w)) AS word FROM drd),
+    pws AS (SELECT d, word, (avg(r) - any_value(m)) / any_value(s) AS corr FROM dts JOIN dwd ON date < d JOIN tot USING (d) GROUP BY d, word HAVING count(*) >= 10),
+    per AS (SELECT ticker, CAST(ts AS DATE) AS day, post_id % (SELECT max(doc_id) + 1 FROM documents) AS filing_id, count(*) AS k, count(*) FILTER (sentiment > 0.1) AS up, count(*) FILTER (sentiment < -0.1) AS down FROM posts GROUP BY ALL),
+    nr AS (SELECT w.ticker, d, p.* EXCLUDE (ticker) FROM (SELECT DISTINCT ticker, event_date AS d FROM evts) w JOIN per p ON p.ticker = w.ticker AND day >= d - 7 AND day < d),
+    dwn AS (SELECT filing_id, word, count(*) AS n FROM (SELECT filing_id, unnest(w) AS word FROM dr) GROUP BY ALL),
+    wsc AS (SELECT ticker, d, sum(corr * k * n) AS s, sum(k * n) FILTER (corr > 0.1) AS n_best_words, sum(k * n) FILTER (corr < -0.1) AS n_worst_words, sum(up) FILTER (corr > 0.1) AS best_positive, sum(up) FILTER (corr < -0.1) AS worst_positive,
+      sum(down) FILTER (corr > 0.1) AS best_negative, sum(down) FILTER (corr < -0.1) AS worst_negative FROM nr JOIN dwn USING (filing_id) JOIN pws USING (d, word) GROUP BY ALL),
+    wtt AS (SELECT ticker, d, sum(k * len(w)) AS total FROM nr JOIN dr USING (filing_id) GROUP BY ALL),
+    trm AS (SELECT ticker, d, sum(k * words) AS words, max(a1) + max(a2) + max(a3) AS dict_positive, max(b1) + max(b2) + max(b3) AS dict_negative FROM nr JOIN (SELECT filing_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words,
+      contains(t, 'tion')::INT AS a1, contains(t, 'and')::INT AS a2, contains(t, 'la')::INT AS a3, contains(t, 'ble')::INT AS b1, contains(t, 'the')::INT AS b2, contains(t, 'sch')::INT AS b3 FROM (SELECT *, lower(text) AS t FROM filings WHERE text IS NOT NULL)) USING (filing_id) GROUP BY ALL)"""
+_WHOLE = ["n_posts", "n_positive", "n_negative", "n_strong_positive", "n_strong_negative", "n_words", "n_days", "n_best_words", "n_worst_words", "best_positive", "worst_positive", "best_negative", "worst_negative"]
+_REAL = {"mean": 8, "std": 8, "max": 8, "min": 8, "trend": 6, "word_score": 8}
+
+
+@query(f""", {_BEFORE.format('posts_text')}, {_TEMPORAL}, {_POINT} SELECT e.event_id, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in _WHOLE)}, {', '.join(f'round(coalesce({"s / total" if c == "word_score" else c}, 0), {n}) AS {c}' for c, n in _REAL.items())},
+    round(coalesce(n_positive / greatest(n_negative, 1), 0), 8) AS ratio, round(coalesce(n_posts, 0) / 7, 8) AS daily_volume, round(coalesce(n_days, 0) / 7, 8) AS coverage, CAST(coalesce(dict_positive, 0) AS INTEGER) AS dict_positive, CAST(coalesce(dict_negative, 0) AS INTEGER) AS dict_negative,
+    round(coalesce((dict_positive - dict_negative) / nullif(dict_positive + dict_negative, 0), 0), 8) AS dict_polarity, round(coalesce((dict_positive + dict_negative) / greatest(words, 1), 0), 8) AS dict_subjectivity, CAST(filing_type = '8-K' AS INTEGER) AS is_8k, CAST(filing_type = '10-K' AS INTEGER) AS is_10k
+    FROM evts e LEFT JOIN tmp USING (event_id) LEFT JOIN wsc ON wsc.ticker = e.ticker AND wsc.d = event_date LEFT JOIN wtt ON wtt.ticker = e.ticker AND wtt.d = event_date LEFT JOIN trm ON trm.ticker = e.ticker AND trm.d = event_date""", "posts_text evts")
 def feature_matrix(spark, d):
-    b = before(spark, d)
-    e = events(spark, d)
-    f = b.groupBy("event_id").agg(F.count("*").alias("n_posts"), F.avg("sentiment").alias("mean"))
-    out = e.join(f, "event_id", "left").join(FE.sentiment_trend(b), "event_id", "left").fillna({"n_posts": 0, "mean": 0.0, "trend": 0.0})
-    hot = [(F.col("filing_type") == k).cast("int").alias(f"is_{n}") for k, n in (("8-K", "8k"), ("10-K", "10k"))]
-    return out.select("event_id", "n_posts", F.round("mean", 8).alias("mean"), F.round("trend", 6).alias("trend"), *hot)
+    """All features of each event, from what was known before its date."""
+    e, docs = events(spark, d), filings(spark, d).withColumnRenamed("filing_id", "doc_id")
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    p = posts(spark, d).withColumn("doc_id", F.col("post_id") % (last + 1))
+    texts = docs.select("doc_id", X.word_tokens(F.col("text")).alias("w"))
+    known = docs.select("date", X.word_tokens(F.col("text")).alias("w"), ((F.col("doc_id") * 37 % 201 - 100) / 1000).alias("r"))
+    dates = [r[0] for r in e.select("event_date").distinct().collect()]  # a calendar
+    scores = PIT.score_table(known, "w", "r", "date", dates, 10)
+    temporal = FE.temporal_features(posts_text(spark, d, lambda t: t.select("doc_id", FE.word_count().alias("n_words"))), e)
+    temporal = temporal.join(FE.sentiment_trend(before(spark, d)), "event_id", "left").fillna({"trend": 0.0})
+    out = PIT.feature_matrix(e, temporal, PIT.word_features(p, texts, "w", e, scores), PIT.term_features(p, docs, POSITIVE, NEGATIVE, e), {"is_8k": "8-K", "is_10k": "10-K"}, "filing_type")
+    places = _REAL | {c: 8 for c in ("ratio", "daily_volume", "coverage", "dict_polarity", "dict_subjectivity")}
+    return out.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in out.columns])
