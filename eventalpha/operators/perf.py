@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .folds import carried
+from .ranks import grouped_percentiles
 from .risk import drawdowns
 
 DAYS, RISK_FREE = 252, 0.02
@@ -45,7 +46,7 @@ def moments(returns: DataFrame) -> DataFrame:
 
 def risk_metrics(returns: DataFrame) -> DataFrame:
     r = F.col("ret")
-    points = returns.groupBy("run_id").agg(F.percentile("ret", F.lit(0.05)).alias("var95"), F.percentile("ret", F.lit(0.01)).alias("var99"))
+    points = grouped_percentiles(returns, ["run_id"], "ret", [0.05, 0.01]).select("run_id", F.get("_p", F.lit(0)).alias("var95"), F.get("_p", F.lit(1)).alias("var99"))
     tails = returns.join(points, "run_id").groupBy("run_id", "var95", "var99").agg(
         F.avg(F.when(r <= F.col("var95"), r)).alias("cvar95"), F.avg(F.when(r <= F.col("var99"), r)).alias("cvar99"), F.coalesce(F.stddev_samp(F.when(r < 0, r)), F.lit(0.0)).alias("downside"))
     return tails.join(moments(returns).select("run_id", "skew", "kurt"), "run_id", "left")
@@ -173,8 +174,8 @@ def rolling_sharpe(returns: DataFrame, days: int = 63) -> DataFrame:
 def return_distribution(returns: DataFrame, points: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """run_id, point, value and the counts by sign."""
     r = F.col("ret")
-    g = returns.groupBy("run_id").agg(
-        F.percentile("ret", F.array(*[F.lit(p) for p in points])).alias("v"), F.count_if(r > 0).alias("n_up"), F.count_if(r < 0).alias("n_down"), F.count_if(r == 0).alias("n_flat"))
+    g = returns.groupBy("run_id").agg(F.count_if(r > 0).alias("n_up"), F.count_if(r < 0).alias("n_down"), F.count_if(r == 0).alias("n_flat"))
+    g = g.join(grouped_percentiles(returns, ["run_id"], "ret", list(points)).withColumnRenamed("_p", "v"), "run_id")
     return g.select("run_id", "n_up", "n_down", "n_flat", F.posexplode("v").alias("i", "value")).withColumn("point", F.get(F.array(*[F.lit(p) for p in points]), F.col("i"))).drop("i")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,7 +40,8 @@ def tile(rank: Column, n: Column | int, tiles: int) -> Column:
 
 def percentiles(df: DataFrame, value: str, shares: list[float]) -> tuple[int, list[float]]:
     """Number of values, and their exact percentiles, interpolated as ``percentile`` does. Approximate ones
-    bracket each; only the distinct values within the brackets, a small share of the rows, are sorted."""
+    bracket each; only the distinct values within the brackets, some 8 in 10,000 of the rows, are sorted, each
+    bracket's in one task."""
     v = F.col(value).cast("double")
     n = df.agg(F.count(v)).first()[0]
     if not n:
@@ -64,3 +67,32 @@ def percentiles(df: DataFrame, value: str, shares: list[float]) -> tuple[int, li
         part = s * (n - 1) - low
         out.append(found[i, low] if low == high else found[i, low] * (1 - part) + found[i, high] * part)
     return n, out
+
+
+def grouped_percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], whole: int = 10_000) -> DataFrame:
+    """``by``, _n (number of values) and _p (their exact percentiles, interpolated as ``percentile`` does, in
+    order of ``shares``) of each group that has a value, without a state that grows with the group's values.
+
+    Mergeable sketches bracket each percentile (groups of up to ``whole`` values are one bracket); then one pass
+    counts, for all groups at once, what lies below each bracket, as one number, and the distinct values within,
+    some 8 in 10,000 of a large group's rows. Only these are sorted, each bracket's in one task."""
+    k, width = len(shares), 4 / 10_000
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    sides = [max(0.0, s - width) for s in shares] + [min(1.0, s + width) for s in shares]
+    ends = rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(s) for s in sides]), 10_000).alias("_e"))
+    side = lambda i, far: F.when(F.col("_n") > whole, F.get("_e", F.lit(i))).otherwise(F.lit(far))
+    ends = ends.select(*by, "_n", F.array(*[F.struct(side(i, -math.inf).alias("low"), side(k + i, math.inf).alias("high")) for i in range(k)]).alias("_b"))
+    # NaN sorts last, above the infinite end, as ``percentile`` has it.
+    met = F.transform("_b", lambda b, i: F.when(F.col("_v") < b["low"], F.struct(i.alias("i"), F.lit(None).cast("double").alias("v")))
+                      .when((F.col("_v") <= b["high"]) | F.isnan("_v"), F.struct(i.alias("i"), F.col("_v").alias("v"))))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    joined = rows.alias("r").join(ends.alias("e"), same).select(*[f"r.{c}" for c in by], "_n", F.explode(F.filter(met, lambda m: m.isNotNull())).alias("_m"))
+    counted = joined.groupBy(*by, "_n", F.col("_m.i").alias("_i"), F.col("_m.v").alias("_v")).count()
+    upto = F.sum("count").over(Window.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_v")))  # what lies below comes first
+    at = F.get(F.array(*[F.lit(s) for s in shares]), F.col("_i")) * (F.col("_n") - 1)
+    placed = counted.withColumn("_to", upto).withColumn("_at", at)
+    holds = lambda rank: F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("count")), F.col("_v")))
+    low, high = F.floor("_at"), F.ceil("_at")
+    found = placed.groupBy(*by, "_n", "_i").agg(F.first("_at").alias("_at"), holds(low).alias("_x"), holds(high).alias("_y"))
+    between = F.when((low == high) | (F.col("_x") == F.col("_y")), F.col("_x")).otherwise((high - F.col("_at")) * F.col("_x") + (F.col("_at") - low) * F.col("_y"))
+    return found.withColumn("_p", between).groupBy(*by, "_n").agg(F.array(*[F.max(F.when(F.col("_i") == i, F.col("_p"))) for i in range(k)]).alias("_p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .portfolio import _over, _sides
+from .ranks import grouped_percentiles
 
 
 def risk_controls(df: DataFrame, by: list[str], most: float = 0.1, min_positions: int = 10, leverage: float = 1.0) -> DataFrame:
@@ -57,6 +58,7 @@ def drawdown_scale(dd: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 
 # Days that losses of at most this depth took to recover.
+# Days to recover by depth of drawdown.
 RECOVERY_DAYS = {-0.05: 15, -0.10: 45, -0.15: 90, -0.20: 180, -0.30: 365}
 
 
@@ -74,16 +76,17 @@ def optimal_leverage(sharpe: Column, most: float = 2.0, least: float = 0.5) -> C
     return F.greatest(F.least(sharpe / 2, F.lit(most)), F.lit(least))
 
 
+# Depths of drawdown and the exposure below each.
 DEFAULT_THRESHOLDS, EXPOSURES = (-0.10, -0.15, -0.20, -0.25), (0.95, 0.85, 0.70, 0.50)
 
 
 def adaptive_thresholds(dd: DataFrame, least: int = 60, least_negative: int = 10) -> DataFrame:
     """run_id, thresholds (from mild to deep): the 25, 50, 75 and 95 % points of the depth of the
     negative drawdowns, the defaults for short histories."""
-    neg = F.when(F.col("drawdown") < 0, F.col("drawdown"))
-    points = F.percentile(neg, F.array(*[F.lit(x) for x in (0.75, 0.50, 0.25, 0.05)]))
-    enough = (F.count(F.lit(1)) >= least) & (F.count(neg) >= least_negative)
-    return dd.groupBy("run_id").agg(F.when(enough, points).otherwise(F.array(*[F.lit(x) for x in DEFAULT_THRESHOLDS])).alias("thresholds"))
+    points = grouped_percentiles(dd.filter("drawdown < 0"), ["run_id"], "drawdown", [0.75, 0.50, 0.25, 0.05])
+    runs = dd.groupBy("run_id").agg(F.count(F.lit(1)).alias("_rows")).join(points, "run_id", "left")
+    enough = (F.col("_rows") >= least) & (F.col("_n") >= least_negative)
+    return runs.select("run_id", F.when(enough, F.col("_p")).otherwise(F.array(*[F.lit(x) for x in DEFAULT_THRESHOLDS])).alias("thresholds"))
 
 
 def exposure(dd: Column, thresholds: Column, legacy: bool = False) -> Column:
@@ -112,7 +115,7 @@ def stop_loss(positions: DataFrame, limit: float = -0.10) -> DataFrame:
 
 def var_es(returns: DataFrame, level: float = 0.05, horizon: int = 1, least: int = 30) -> DataFrame:
     """run_id, var (scaled by the root of the horizon), es: mean of the returns at or below it."""
-    v = returns.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("ret", F.lit(level)).alias("_v"))
+    v = grouped_percentiles(returns, ["run_id"], "ret", [level]).select("run_id", F.col("_n").alias("n"), F.get("_p", F.lit(0)).alias("_v"))
     j = returns.join(v, "run_id").groupBy("run_id").agg(F.first("n").alias("n"), F.first("_v").alias("_v"), F.avg(F.when(F.col("ret") <= F.col("_v"), F.col("ret"))).alias("_e"))
     ok = F.col("n") >= least
     return j.select("run_id", F.when(ok, F.col("_v") * F.sqrt(F.lit(float(horizon)))).otherwise(F.lit(0.0)).alias("var"), F.when(ok, F.col("_e")).otherwise(F.lit(0.0)).alias("es"))
@@ -158,6 +161,7 @@ def scandals(posts: DataFrame, baselines: DataFrame, keywords: list[tuple[str, s
     return out.filter((F.col("severity") != "LOW") | (F.col("n_keywords") > 0)).select("ticker", "n_posts", "volume_spike", "sentiment_crash", "n_keywords", "severity", "category")
 
 
+# Hours of a halt and confidence kept, by severity.
 HALT_HOURS = {"CRITICAL": (48, 0.5), "HIGH": (24, 0.25), "MEDIUM": (12, 0.0)}
 
 

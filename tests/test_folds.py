@@ -10,6 +10,7 @@ from eventalpha.operators import market as M
 from eventalpha.operators import perf as P
 from eventalpha.operators import validation as V
 from eventalpha.operators.folds import Fold, carried, merged
+from eventalpha.operators.ranks import grouped_percentiles
 
 DAY0 = datetime.date(2024, 1, 1)
 
@@ -151,3 +152,17 @@ def test_aggregate_probabilities(spark):
     assert (r.folds, r.n_trades, r.profitable, r.passes) == (4, 12, 0.75, False)
     one = V.aggregate(m.limit(1)).first()
     assert (one.probabilistic_sharpe, one.deflated_sharpe) == (1.0, 0.5)
+
+
+@pytest.mark.parametrize("whole", [50, 10_000])
+def test_grouped_percentiles(spark, whole):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [("big", rng.gauss(0, 1)) for _ in range(4000)] + [("ties", float(rng.randint(0, 3))) for _ in range(900)] + [("one", 2.5), (None, 1.0), (None, 3.0), ("none", None), ("nan", float("nan")), ("nan", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    got = {r.k: (r._n, r._p) for r in grouped_percentiles(df, ["k"], "v", shares, whole).collect()}
+    want = {r.k: (r.n, r.p) for r in df.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("p")).filter("n > 0").collect()}
+    assert str(sorted(got.items(), key=str)) == str(sorted(want.items(), key=str))  # to the last digit
+    assert grouped_percentiles(df.limit(0), ["k"], "v", shares).count() == 0
