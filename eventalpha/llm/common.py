@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,27 @@ def words_of(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+TABLE_BITS = 23  # of a bit table, as a power of two: 1 MB, whatever it is made of
+
+
+def bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes, packed, to be broadcast: at most 2^TABLE_BITS / 64 numbers reach
+    the driver. The fuller it is, the more it lets pass that is not in it; it never loses what is."""
+    places = F.array(*[F.shiftright(column, s).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) for s in (0, 32)])
+    words = df.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("w"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, bitorder="little").astype(bool)
+
+
+def in_table(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) the unpacked table may hold."""
+    mask = np.uint64((1 << TABLE_BITS) - 1)
+    return bits[(hashes & mask).astype(np.int64)] & bits[((hashes >> np.uint64(32)) & mask).astype(np.int64)]

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import bit_table, cut, in_table, table, unpacked
 
 # Fixed patterns. Where a pattern begins with a run, it can only match from the run's beginning, and a run
 # need not be given back: said so, matching takes linear time on texts of any shape.
@@ -54,7 +54,6 @@ FOUND = tuple(f"{k}_like" for k in KINDS)
 
 LEAST_SIGNS, LEAST_SEEDS, ROUNDS, PRIOR = 6, 3, 3, 1.0
 FLOOR, CONFIDENT = 0.5, 0.8
-TABLE_BITS = 23  # of the Bloom filter, as a power of two
 AT_ONCE = 1 << 22  # characters whose words are numbered together
 
 _WORD = re.compile(r"[^\x20\t-\r]+")
@@ -195,25 +194,6 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [*batch.columns[1:], a, b, pa.array(spans_out, pa.list_(span)), pa.array(seeds_out, pa.list_(seed))], names=[*batch.schema.names[1:], "_pd_a", "_pd_b", "_pd_base", "_pd_seeds"])
 
 
-def _bits(context):
-    """Two places in the bit table."""
-    return [F.shiftright(context, s).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) for s in (0, 32)]
-
-
-def bit_table(patterns: DataFrame) -> np.ndarray:
-    """A Bloom filter of the contexts, as bits: at most 2^TABLE_BITS / 64 numbers reach the driver."""
-    places = patterns.select(F.explode(F.array(*_bits(F.col("context")))).alias("at"))
-    words = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _looked_up(bits: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    mask = np.uint64((1 << TABLE_BITS) - 1)
-    return bits[(contexts & mask).astype(np.int64)] & bits[((contexts >> np.uint64(32)) & mask).astype(np.int64)]
-
-
 def candidate_runs(words: list[str], like: np.ndarray) -> list[tuple[int, int]]:
     """First and last word of the maximal runs of identifier-like words."""
     at = np.flatnonzero(like)
@@ -228,7 +208,7 @@ def _fillers(shared):
     candidate (kind -1) or seed in it, with the text's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value, bitorder="little").astype(bool)
+        bits = unpacked(shared.value)
         for batch in batches:
             others: list[np.ndarray] = []
             rows: list[tuple] = []
@@ -260,9 +240,9 @@ def _fillers(shared):
                         for a, b, x, kind, y in found:
                             ctx = np.concatenate(context_hashes(around[0][a : a + 1], around[1][a : a + 1], around[2][b : b + 1]))
                             instance = np.uint64(_hash(text[x:y])).view(np.int64).item()
-                            rows += [(*key, c, instance, kind, x, y) for c, hit in zip(ctx.view(np.int64).tolist(), _looked_up(bits, ctx).tolist()) if hit]
+                            rows += [(*key, c, instance, kind, x, y) for c, hit in zip(ctx.view(np.int64).tolist(), in_table(bits, ctx).tolist()) if hit]
                     for ctx in context_hashes(*(x[other] for x in around)):
-                        others.append(ctx[_looked_up(bits, ctx)])
+                        others.append(ctx[in_table(bits, ctx)])
             ctx, n = np.unique(np.concatenate(others), return_counts=True) if others else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             m = len(ctx)
             cols = list(zip(*rows)) or [()] * 7
@@ -324,7 +304,7 @@ def scan(df: DataFrame, text: str = "text", confident: float = CONFIDENT) -> Dat
     first = cut(first, "personal-data")
     seeds = first.select(F.inline("_pd_seeds"))
     patterns = cut(induced(seeds), "context-patterns")
-    shared = spark.sparkContext.broadcast(np.packbits(bit_table(patterns), bitorder="little"))
+    shared = spark.sparkContext.broadcast(bit_table(patterns, "context"))
     # The texts are read again, not kept in a second copy.
     fillers = texts.select("text").mapInArrow(_fillers(shared), "a long, b long, context long, instance long, kind int, start int, end int, others long")
     # False hits of the bit table go here.

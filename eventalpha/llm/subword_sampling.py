@@ -489,27 +489,28 @@ def _row_key(key, seed: int) -> int:
     return xxhash.xxh64_intdigest("null" if key is None else str(key), seed)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+def _chunks(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple[list, list[str]]]:
     keys, texts, size = [], [], 0
     for key, text in zip(batch.column(0), batch.column(1)):
         keys.append(key.as_py())
         texts.append(text.as_py() or "")
         size += len(texts[-1])
-        if size >= CHUNK or len(texts) >= 4096:
+        if size >= chunk or len(texts) >= 4096:
             yield keys, texts
             keys, texts, size = [], [], 0
     if keys:
         yield keys, texts
 
 
-def encode_samples(df: DataFrame, k: int = 2, theta: float = 1.0, seed: int = 42, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_samples(df: DataFrame, k: int = 2, theta: float = 1.0, seed: int = 42, model: str | None = None, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Up to ``k`` rows for each row of ``df``: doc_id, sample (0 is the perturbed best), ids,
-    log_prob, perturbed, log_inclusion, and ``exact``: whether the ids decode to the text."""
+    log_prob, perturbed, log_inclusion, and ``exact``: whether the ids decode to the text. A smaller ``chunk``
+    (characters segmented at once; the results are the same) takes less memory and more time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = Model(model, theta)
         for batch in batches:
-            for keys, texts in _chunks(batch):
+            for keys, texts in _chunks(batch, chunk):
                 rows = segment(loaded, [_row_key(x, seed) for x in keys], texts, k)
                 flat = [(x, i, t, *r) for x, t, many in zip(keys, texts, rows) for i, r in enumerate(many)]
                 ids = [r[3] for r in flat]

@@ -706,8 +706,9 @@ def test_frequent_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash")).withColumn("n_dropped", F.lit("clash")).withColumn("a", F.lit(1))
     pages = collections.Counter(s for _, _, s in rows)
     on = collections.Counter((s, x) for _, t, s in rows for x in set((t or "").split("\n")) if x.strip(" "))
-    heavy = {k for k, n in on.items() if n > 0.05 * (pages[k[0]] + 40)}
-    assert [n for n in range(1, 10) if (f"small{n}", f"Menu {n}") in heavy] == [3, 4, 5, 6, 7, 8, 9]
+    heavy = {k for k, n in on.items() if n >= 2 and n > 0.05 * pages[k[0]]}
+    assert [n for n in range(1, 10) if (f"small{n}", f"Menu {n}") in heavy] == [2, 3, 4, 5, 6, 7, 8, 9]
+    assert [n for n in range(1, 10) if (f"small{n}", "seldom") in heavy] == [2, 3, 4, 5, 6, 7, 8, 9]
     got = collections.Counter((r.doc_id, r.text, r.n_dropped) for r in LD.drop_frequent_lines(df).collect())
     want = collections.Counter()
     for i, t, s in rows:
@@ -737,6 +738,7 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     columns, kept = docs.columns, None
     for at, (name, stage) in enumerate(pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
+        given = {r.doc_id: r.text for r in docs.collect()}
         if at < 4:
             assert out.columns == columns
             docs = spark.createDataFrame(out.collect(), out.schema)
@@ -744,7 +746,9 @@ def test_pipeline_stages(spark, corpus, tmp_path):
             if at == 0:
                 assert not [i for i in ids if i and i >= 800] and 700 in ids and len([i for i in ids if i is not None and i < 60]) > 55
             if at == 2:
-                assert not [i for i in ids if i is not None and 60 <= i < 68]
+                # Of what the stage is given: a line that all rows of document 3 repeat on their small host is gone by now.
+                copies = [i for i in range(60, 68) if i in given and given[i] == given.get(i - 60)]
+                assert len(copies) >= 6 and not [i for i in copies if i in ids]
             if at == 3:
                 assert 700 not in ids
                 kept = collections.Counter(ids)
