@@ -313,8 +313,8 @@ def scan(df: DataFrame, text: str = "text", confident: float = CONFIDENT) -> Dat
     best = F.max_by("like", F.struct("confidence", -F.col("like")))
     found = fillers.filter("kind = -1").join(sure, "context").groupBy("a", "b", "start", "end").agg(best.alias("like"))
     span = F.struct("start", (F.col("like") + len(KINDS)).alias("rank"), "end")
-    found = cut(found.groupBy("a", "b").agg(F.collect_list(span).alias("_pd_found")), "personal-data-found")
-    out = first.join(found, (F.col("_pd_a") == F.col("a")) & (F.col("_pd_b") == F.col("b")), "left")
+    found = found.groupBy(F.col("a").alias("_pd_a"), F.col("b").alias("_pd_b")).agg(F.collect_list(span).alias("_pd_found"))
+    out = first.join(cut(found, "personal-data-found"), ["_pd_a", "_pd_b"], "left")
     every = F.sort_array(F.concat("_pd_base", F.coalesce("_pd_found", F.array().cast(spans))))
     return out.select(*[F.col(f"`{c}`") for c in rest], F.col("_pd_base").alias("base_spans"), every.alias("spans"))
 
