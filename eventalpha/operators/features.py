@@ -109,8 +109,9 @@ def sentiment_acceleration(joined: DataFrame, key: str = "event_id") -> DataFram
     return joined.withColumn("_d2", second).groupBy(key).agg(F.coalesce(F.avg("_d2"), F.lit(0.0)).alias("acceleration"))
 
 
-def volume_concentration(joined: DataFrame, key: str = "event_id") -> DataFrame:
-    """Herfindahl index of posts over days, scaled to 0..1; 1 for a single day."""
-    daily = joined.groupBy(key, "day").agg(F.count(F.lit(1)).alias("n"))
+def volume_concentration(posts: DataFrame, events: DataFrame, days: int = 7, key: str = "event_id", ts: str = "ts") -> DataFrame:
+    """Herfindahl index of the posts in the ``days`` days before each event's date over these days, scaled to 0..1; 1
+    for a single day. Posts are counted by day once; events without posts are left out."""
+    daily = posts.groupBy("ticker", F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     k, h = F.count(F.lit(1)), F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))
-    return daily.groupBy(key).agg(F.when(k < 2, F.lit(1.0)).otherwise((h - 1 / k) / (1 - 1 / k)).alias("concentration"))
+    return on_days(daily, events, days, -1, key).groupBy(key).agg(F.when(k < 2, F.lit(1.0)).otherwise((h - 1 / k) / (1 - 1 / k)).alias("concentration"))

@@ -286,7 +286,7 @@ def sentiment_accel(spark, d):
 
 @query(f""", {_BEFORE.format('posts')} SELECT event_id, round(CASE WHEN count(*) < 2 THEN 1 ELSE (sum(n * n) / (sum(n) * sum(n)) - 1 / count(*)) / (1 - 1 / count(*)) END, 6) AS concentration FROM (SELECT event_id, day, count(*) AS n FROM bef GROUP BY ALL) GROUP BY event_id""", "posts evts")
 def volume_hhi(spark, d):
-    return FE.volume_concentration(before(spark, d)).withColumn("concentration", F.round("concentration", 6))
+    return FE.volume_concentration(posts(spark, d), events(spark, d)).withColumn("concentration", F.round("concentration", 6))
 
 
 BEST, WORST = ["the", "que", "ing", "und"], ["and", "les", "der", "del"]

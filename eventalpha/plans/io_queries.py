@@ -9,7 +9,7 @@ from eventalpha.operators import market as M
 from eventalpha.operators import words as W
 from eventalpha.plans.base import events, filings, grade, posts, posts_text, prices, query, signals, table, ticker
 from eventalpha.plans.signal_queries import rounded
-from eventalpha.plans.text_queries import sectioned
+from eventalpha.plans.text_queries import _SECTIONS, sectioned
 from eventalpha.sources import tables as S
 from eventalpha.streaming import jobs as ST
 
@@ -94,19 +94,19 @@ def udf_model(spark, d):
     return scored.select("post_id", "label", F.round("score", 9).alias("score"), "mode")
 
 
-@query("""SELECT filing_id, unnest(['1.01', '2.02', '1.01']) AS item, CAST(unnest([0, 1, 2]) AS INTEGER) AS nth FROM filings""", "filings")
+@query(f", {_SECTIONS} SELECT filing_id, item, title, CAST(nth - 1 AS INTEGER) AS nth FROM parts", "filings")
 def udtf_sections(spark, d):
     import re
 
     @F.udtf(returnType="item string, title string, nth int")
     class Sections:
         def eval(self, text: str):
-            for i, m in enumerate(re.finditer(X.ITEM_HEADER, text or "")):
-                yield m[1], m[2].strip(), i
+            for i, m in enumerate(re.finditer(X.ITEM_HEADER, text or "", re.ASCII)):
+                yield m[1], m[2].strip(" "), i
 
     spark.udtf.register("item_sections", Sections)
     sectioned(spark, d).select("filing_id", "made").createOrReplaceTempView("made_filings")
-    return spark.sql("SELECT filing_id, item, nth FROM made_filings, LATERAL item_sections(made)")
+    return spark.sql("SELECT filing_id, item, title, nth FROM made_filings, LATERAL item_sections(made)")
 
 
 # --- streams ---
