@@ -53,7 +53,7 @@ def reaction_features(posts: DataFrame, events: DataFrame, before: int = 10, aft
     return near.groupBy(key).agg(
         F.coalesce(F.try_divide(of_post("sw"), of_post("w")), F.lit(0.0)).alias("intensity"),
         F.when(n_post == 0, F.lit(1.0)).when(n_pre < 3, F.log1p(n_post.cast("double"))).otherwise(n_post / n_pre).alias("volume_ratio"),
-        F.count_if(~pre & (value["n"] > 0) & (F.abs(value["s"] / value["n"]) > 0.2)).alias("duration_days"),
+        F.count_if(~pre & (value["n"] > 0) & (F.abs(F.round(value["s"] / value["n"], 9)) > 0.2)).alias("duration_days"),
         F.when(n_post > 0, F.log1p(of_post("v") / n_post)).otherwise(F.lit(0.0)).alias("amplification"),
         F.when(n_pre == 0, F.lit(0.0)).otherwise((n_post - n_pre) / F.sqrt(n_pre)).alias("baseline_deviation"),
         F.when(n_pre < 3, F.lit(0.0)).otherwise(F.sum(F.when(pre, value["s"])) / n_pre).alias("pre_event_sentiment"),

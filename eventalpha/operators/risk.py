@@ -132,7 +132,9 @@ def scandal_baselines(posts: DataFrame, least: int = 20) -> DataFrame:
 
 
 def severity(spike: Column, crash: Column, hits: Column) -> Column:
-    """LOW to CRITICAL from points for volume, mood and distinct keywords (in twentieths)."""
+    """LOW to CRITICAL from points for volume, mood and distinct keywords (in twentieths). Volume and mood are
+    rounded to nine places, so that a mean on an edge falls the same way in whatever order it was added up."""
+    spike, crash = F.round(spike, 9), F.round(crash, 9)
     ladder = lambda c, steps: F.coalesce(*[F.when(test(c), F.lit(p)) for test, p in steps], F.lit(0))
     points = (
         ladder(spike, [(lambda x: x > 10, 8), (lambda x: x > 5, 5), (lambda x: x > 2.5, 2)])

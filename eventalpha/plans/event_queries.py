@@ -248,7 +248,7 @@ _AROUND = """around AS (SELECT e.event_id, p.*, (epoch_us(ts) - epoch_us(CAST(ev
       FROM posts p JOIN evts e ON p.ticker = e.ticker AND ts >= event_date - INTERVAL 10 DAYS AND ts <= event_date + INTERVAL 3 DAYS),
     reac AS (SELECT a.event_id, coalesce(sum(sentiment * (v + 1) * (quality + 0.5)) FILTER (days >= 0) / sum((v + 1) * (quality + 0.5)) FILTER (days >= 0), 0) AS intensity, count(*) FILTER (days >= 0) AS n_post, count(*) FILTER (days < 0) AS n_pre,
       coalesce(ln(1 + avg(v) FILTER (days >= 0)), 0) AS amplification, avg(sentiment) FILTER (days < 0) AS pre, count(*) AS n_posts, any_value(dd.n) AS duration_days
-      FROM around a LEFT JOIN (SELECT event_id, count(*) AS n FROM (SELECT event_id, day FROM around WHERE days >= 0 GROUP BY ALL HAVING abs(avg(sentiment)) > 0.2) GROUP BY event_id) dd ON a.event_id = dd.event_id GROUP BY a.event_id)"""
+      FROM around a LEFT JOIN (SELECT event_id, count(*) AS n FROM (SELECT event_id, day FROM around WHERE days >= 0 GROUP BY ALL HAVING abs(round(avg(sentiment), 9)) > 0.2) GROUP BY event_id) dd ON a.event_id = dd.event_id GROUP BY a.event_id)"""
 
 
 @query(f""", {_AROUND} SELECT e.event_id, round(coalesce(intensity, 0), 6) AS intensity, round(CASE WHEN r.event_id IS NULL OR n_post = 0 THEN 1 WHEN n_pre < 3 THEN ln(1 + n_post) ELSE n_post / n_pre END, 6) AS volume_ratio,

@@ -131,7 +131,7 @@ def st_dedup(spark, d):
 
 @query("""SELECT ticker, start, CAST(count(*) AS BIGINT) AS n_posts, round(avg(sentiment), 6) AS sentiment, CASE WHEN p >= 16 THEN 'CRITICAL' WHEN p >= 10 THEN 'HIGH' WHEN p >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (
       SELECT ticker, start, sentiment, CASE WHEN n > 100 THEN 8 WHEN n > 50 THEN 5 WHEN n > 25 THEN 2 ELSE 0 END + CASE WHEN m < -0.8 THEN 8 WHEN m < -0.5 THEN 5 WHEN m < -0.3 THEN 2 ELSE 0 END AS p FROM (
-        SELECT ticker, start, sentiment, count(*) OVER w AS n, avg(sentiment) OVER w AS m FROM (SELECT ticker, sentiment, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(6 * k AS INTEGER)) AS start FROM posts, range(4) t(k)) WINDOW w AS (PARTITION BY ticker, start))) GROUP BY ticker, start, p""", "posts")
+        SELECT ticker, start, sentiment, count(*) OVER w AS n, round(avg(sentiment) OVER w, 9) AS m FROM (SELECT ticker, sentiment, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(6 * k AS INTEGER)) AS start FROM posts, range(4) t(k)) WINDOW w AS (PARTITION BY ticker, start))) GROUP BY ticker, start, p""", "posts")
 def st_scandal(spark, d):
     posts = replayed(spark, d)
     return rounded(ST.run_closed(ST.scandal_windows(stream(posts)), spark, "st-scandal", [posts]))

@@ -401,7 +401,7 @@ KEYWORDS = [("the", "E"), ("que", "S"), ("und", "G"), ("license", "G"), ("secret
 _KW = ", ".join(f"('{t}', '{c}', {i})" for i, (t, c) in enumerate(KEYWORDS))
 _SCAND = f"""{_BASE}, kw(term, cat, nth) AS (VALUES {_KW}), sw AS (SELECT p.*, (SELECT arg_min(struct_pack(t := kw.term, c := kw.cat), kw.nth) FROM kw WHERE contains(lower(p.text), kw.term)) AS k FROM posts_text p WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOURS),
     sg AS (SELECT ticker, count(*) AS n_posts, avg(sentiment) AS s, count(DISTINCT k) AS n_keywords, count(DISTINCT k.t) FILTER (k.c = 'E') AS e, count(DISTINCT k.t) FILTER (k.c = 'S') AS sn, count(DISTINCT k.t) FILTER (k.c = 'G') AS g FROM sw GROUP BY ticker HAVING count(*) >= 10),
-    sj AS (SELECT sg.*, n_posts / greatest(coalesce(base_volume, 10), 1) AS spike, s - coalesce(base_sentiment, 0) AS crash FROM sg LEFT JOIN bl USING (ticker)),
+    sj AS (SELECT sg.*, round(n_posts / greatest(coalesce(base_volume, 10), 1), 9) AS spike, round(s - coalesce(base_sentiment, 0), 9) AS crash FROM sg LEFT JOIN bl USING (ticker)),
     sp AS (SELECT *, CASE WHEN spike > 10 THEN 8 WHEN spike > 5 THEN 5 WHEN spike > 2.5 THEN 2 ELSE 0 END + CASE WHEN crash < -0.8 THEN 8 WHEN crash < -0.5 THEN 5 WHEN crash < -0.3 THEN 2 ELSE 0 END + CASE WHEN n_keywords >= 5 THEN 4 WHEN n_keywords >= 2 THEN 2 ELSE 0 END AS pts FROM sj),
     sc AS (SELECT *, CASE WHEN pts >= 16 THEN 'CRITICAL' WHEN pts >= 10 THEN 'HIGH' WHEN pts >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN e >= sn AND e >= g THEN 'E' WHEN sn >= g THEN 'S' ELSE 'G' END AS category FROM sp)"""
 
