@@ -75,7 +75,8 @@ def mark_to_market(intervals: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def book_returns(weights: DataFrame, returns: DataFrame, cost: float = 0.0, by: list[str] | None = None) -> DataFrame:
-    """Sum of weight x return, less cost x gross, by run and date, and the running product."""
+    """Sum of weight x return, less cost x gross, by run and date, and the running product. Without ``by`` one
+    task has all dates (a row each)."""
     by = by or []
     daily = weights.join(returns, ["ticker", "date"]).groupBy(*by, "date").agg((F.sum(F.col("weight") * F.col("ret")) - cost * F.sum(F.abs("weight"))).alias("ret"))
     w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

@@ -106,7 +106,8 @@ def reweight(df: DataFrame, event_weight: str, post_weights: list[str], quality:
 
 
 def quality_alerts(history: DataFrame, hours: int = 6, by: list[str] | None = None) -> DataFrame:
-    """history: (ts, quality) -> level of sustained degradation over the trailing hours."""
+    """history: (ts, quality) -> level of sustained degradation over the trailing hours. Without ``by``
+    one task has the whole history: a row an hour, whatever the posts."""
     w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-hours * 3600, 0)
     share = lambda q: F.count_if(F.col("quality") == q).over(w) / F.count(F.lit(1)).over(w)
     enough = F.count(F.lit(1)).over(w) >= 2

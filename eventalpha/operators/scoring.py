@@ -107,8 +107,12 @@ def _as_rows(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
 
 
 def normalize(df: DataFrame, by: list[str], value: str = "weight") -> DataFrame:
-    """``value`` divided by its sum in the group; equal shares if the sum is 0."""
-    w = Window.partitionBy(*(by or [F.lit(1)]))
+    """``value`` divided by its sum in the group; equal shares if the sum is 0. Without ``by`` the whole frame's sum and
+    count are taken first, so that no task sees all rows."""
+    if not by:
+        total, n = df.agg(F.coalesce(F.sum(value), F.lit(0)).cast("double"), F.count(F.lit(1))).first()
+        return df.withColumn(value, F.col(value) / F.lit(total) if total > 0 else F.lit(1 / max(n, 1)))
+    w = Window.partitionBy(*by)
     total = F.sum(value).over(w)
     return df.withColumn(value, F.when(total > 0, F.col(value) / total).otherwise(1 / F.count(F.lit(1)).over(w)))
 
