@@ -22,7 +22,8 @@ each stretch also gets the earlier turns it may repeat. So no task holds more th
 however long one conversation is, and windows break at stretch ends besides.
 
 Defined cases: a null text or role is empty; rows that repeat a turn number are turns of their own,
-in order of role and text; rows without a conversation id form one conversation; a further system
+in order of role and text; rows without a turn number come with turn 0 and all lie in its block, in one task;
+rows without a conversation id form one conversation; a further system
 turn is an ordinary turn, only the first turn can be the one retained; an empty table gives an empty
 result; further columns are not read, whatever their names. A very long text is one turn and stays
 whole: a task holds a stretch of turns and one window. ``digests`` reads a conversation's windows in
