@@ -798,6 +798,7 @@ def test_offered_partners_are_the_nearest_of_other_components():
             r[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     rows = [np.repeat([0, 1], 75), fps[:, 0], fps[:, 1], rng.integers(0, 12, 150), rng.permutation(150), rng.integers(90, 130, 150)]
     rows.append(np.bincount(rows[3])[rows[3]])
+    rows.append(np.ones(150, np.int32))
     apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
 
     def fits(i, j):
@@ -809,10 +810,14 @@ def test_offered_partners_are_the_nearest_of_other_components():
     assert set(zip(*(x.tolist() for x in NC.partners(rows, 100, 150)))) == {(i, j) for i, j in every if j >= 100}
     two = set(zip(*(x.tolist() for x in NC.partners(rows, 0, 2))))
     assert two < every
-    for i in range(150):
-        n = rows[6]
-        near, taken = (sorted(apart[a, b] for a, b in pairs if (a == i and n[i] <= n[b]) or (b == i and n[i] <= n[a])) for pairs in (every, two))
-        assert taken[:2] == near[:2]
+    n, met = rows[6], collections.defaultdict(list)
+    for i in range(150):  # each row's two nearest, from the smaller component's side
+        own = sorted((apart[a, b], a + b - i, (a, b)) for a, b in every if (a == i and n[i] <= n[b]) or (b == i and n[i] <= n[a]))
+        for far, _, (a, b) in own[:2]:
+            met[tuple(sorted((rows[3][a], rows[3][b])))].append((far, a, b))
+    assert two == {(a, b) for pairs in met.values() for _, a, b in sorted(set(pairs))[:2]}
+    rows[7] = np.where(rows[3] < 3, 1, 0)
+    assert set(zip(*(x.tolist() for x in NC.partners(rows, 0, 150)))) == {(i, j) for i, j in every if min(rows[3][i], rows[3][j]) < 3}
 
 
 def test_near_dedup_of_a_dense_group_against_brute_force(spark, tmp_path):
