@@ -169,11 +169,7 @@ def event_window_join(spark, d):
 
 @query("""SELECT event_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(post_id) AS BIGINT) AS ids FROM posts p JOIN evts e ON p.ticker = e.ticker AND ts >= event_date - INTERVAL 7 DAYS AND ts < event_date GROUP BY event_id""", "posts evts")
 def pre_window_join(spark, d):
-    return before(spark, d).groupBy("event_id").agg(F.count("*").alias("n"), F.sum("post_id").alias("ids"))
-
-
-def before(spark, d, p=None):
-    return J.interval_join(p if p is not None else posts(spark, d), events(spark, d), 7, 0, closed_end=False)
+    return FE.window_sums(posts(spark, d), events(spark, d), {"ids": F.col("post_id")})
 
 
 @query("SELECT s.event_id, s.ticker, s.date, p.close AS close_asof FROM sigs s ASOF LEFT JOIN prices p ON s.ticker = p.ticker AND s.date >= p.date", "sigs prices")
@@ -276,12 +272,12 @@ def temporal_features(spark, d):
 
 @query(f", {_BEFORE.format('posts')} SELECT event_id, round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(sentiment, nth) END, 6) AS trend FROM bef GROUP BY event_id", "posts evts")
 def sentiment_trend(spark, d):
-    return FE.sentiment_trend(before(spark, d)).withColumn("trend", F.round("trend", 6))
+    return FE.sentiment_trend(posts(spark, d), events(spark, d)).withColumn("trend", F.round("trend", 6))
 
 
 @query(f""", {_BEFORE.format('posts')} SELECT event_id, round(coalesce(avg(d2), 0) + 1e-9, 6) AS acceleration FROM (SELECT event_id, sentiment - 2 * lag(sentiment) OVER w + lag(sentiment, 2) OVER w AS d2 FROM bef WINDOW w AS (PARTITION BY event_id ORDER BY nth)) GROUP BY event_id""", "posts evts")
 def sentiment_accel(spark, d):
-    return FE.sentiment_acceleration(before(spark, d)).withColumn("acceleration", F.round(F.col("acceleration") + 1e-9, 6))
+    return FE.sentiment_acceleration(posts(spark, d), events(spark, d)).withColumn("acceleration", F.round(F.col("acceleration") + 1e-9, 6))
 
 
 @query(f""", {_BEFORE.format('posts')} SELECT event_id, round(CASE WHEN count(*) < 2 THEN 1 ELSE (sum(n * n) / (sum(n) * sum(n)) - 1 / count(*)) / (1 - 1 / count(*)) END, 6) AS concentration FROM (SELECT event_id, day, count(*) AS n FROM bef GROUP BY ALL) GROUP BY event_id""", "posts evts")
@@ -381,7 +377,7 @@ def feature_matrix(spark, d):
     dates = [r[0] for r in e.select("event_date").distinct().collect()]  # a calendar
     scores = PIT.score_table(known, "w", "r", "date", dates, 10)
     temporal = FE.temporal_features(posts_text(spark, d, lambda t: t.select("doc_id", FE.word_count().alias("n_words"))), e)
-    temporal = temporal.join(FE.sentiment_trend(before(spark, d)), "event_id", "left").fillna({"trend": 0.0})
+    temporal = temporal.join(FE.sentiment_trend(posts(spark, d), e), "event_id", "left").fillna({"trend": 0.0})
     out = PIT.feature_matrix(e, temporal, PIT.word_features(p, texts, "w", e, scores), PIT.term_features(p, docs, POSITIVE, NEGATIVE, e), {"is_8k": "8-K", "is_10k": "10-K"}, "filing_type")
     places = _REAL | {c: 8 for c in ("ratio", "daily_volume", "coverage", "dict_polarity", "dict_subjectivity")}
     return out.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in out.columns])

@@ -316,3 +316,51 @@ def test_empty_frames(spark):
     empty = spark.createDataFrame([], "event_id long, ticker string, date date, raw_score double, event_confidence double")
     q = S.zscores(S.quintiles(empty, ["date"]), ["date"])
     assert PO.quintile_portfolio(q, ["date"], best="event_confidence").count() == 0
+
+
+def posts_and_events(spark, seed, days=25):
+    """Few posts a day, some at midnight, at the same instant or without sentiment, days of one post and of none."""
+    rng, posts = random.Random(seed), []
+    for name in "AB":
+        for d in range(days):
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+                ts = dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=rng.choice([0, 0, 5, 23]))
+                posts.append((len(posts), name, ts, None if rng.random() < 0.1 else rng.randrange(-100, 101) / 100))
+    rng.shuffle(posts)
+    events = [(i, rng.choice("ABC"), day(rng.randrange(days + 9))) for i in range(60)]
+    return posts, events
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows_before_events_against_brute_force(spark, seed):
+    posts, events = posts_and_events(spark, seed)
+    p = spark.createDataFrame(posts, "post_id long, ticker string, ts timestamp_ntz, sentiment double")
+    e = spark.createDataFrame(events, "event_id long, ticker string, event_date date")
+    trend, acceleration, sums = {}, {}, {}
+    for key, name, date in events:
+        end = dt.datetime.combine(date, dt.time())
+        near = sorted((ts, i, s) for i, n, ts, s in posts if n == name and end - dt.timedelta(days=7) <= ts < end)
+        if near:
+            xy = [(x, s) for x, (_, _, s) in enumerate(near) if s is not None]
+            mean = [sum(v) / len(xy) for v in zip(*xy)]
+            square = sum((x - mean[0]) ** 2 for x, _ in xy)
+            trend[key] = sum((x - mean[0]) * (s - mean[1]) for x, s in xy) / square if square else 0.0
+            s = [s for _, _, s in near]
+            d2 = [c - 2 * b + a for a, b, c in zip(s, s[1:], s[2:]) if None not in (a, b, c)]
+            acceleration[key] = sum(d2) / len(d2) if d2 else 0.0
+            sums[key] = (len(near), sum(i for _, i, _ in near))
+    assert {r.event_id: r.trend for r in FE.sentiment_trend(p, e).collect()} == pytest.approx(trend, abs=1e-9)
+    assert {r.event_id: r.acceleration for r in FE.sentiment_acceleration(p, e).collect()} == pytest.approx(acceleration, abs=1e-9)
+    assert {r.event_id: (r.n, r.ids) for r in FE.window_sums(p, e, {"ids": F.col("post_id")}).collect()} == sums
+
+
+def test_events_of_a_date_share_their_window(spark):
+    """Posts meet no event; the sums of a ticker and date do."""
+    posts, _ = posts_and_events(spark, 4)
+    p = spark.createDataFrame(posts, "post_id long, ticker string, ts timestamp_ntz, sentiment double")
+    e = spark.range(5000).select(F.col("id").alias("event_id"), F.lit("A").alias("ticker"), F.lit(day(12)).alias("event_date"))
+    for out in (FE.sentiment_trend(p, e), FE.sentiment_acceleration(p, e), FE.window_sums(p, e, {})):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        top = plan[: plan.index("Aggregate")]
+        assert "event_id" in top and "post_id" not in top and "sentiment" not in top
+        assert out.count() == 5000
