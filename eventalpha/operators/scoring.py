@@ -89,10 +89,26 @@ def global_quintile(df: DataFrame, score: str = "raw_score") -> DataFrame:
 
 
 def rolling_zscore(df: DataFrame, by: list[str], order: list[str], score: str = "raw_score", lookback: int = 252, least: int = 20) -> DataFrame:
-    """Against the rows before; null until there are ``least``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-lookback, -1)
+    """Against the ``lookback`` rows before; null until ``least`` of them have a score.
+
+    A group's rows are dealt into blocks of ``lookback``. What a row looks back on is the end of the block before, from
+    the row ``lookback`` places earlier on, and the start of its own; both have running sums, so a row costs the same
+    however long the lookback. Sums of the two are joined about their means, so nothing cancels."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    block = Window.partitionBy(*by, "_block")
+    tail = block.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
     s = F.col(score)
-    return df.withColumn("rolling_z", F.when(F.count(s).over(w) >= least, (s - F.avg(s).over(w)) / (F.stddev_samp(s).over(w) + 1e-6)))
+    sums = lambda over: F.struct(F.count(s).over(over).alias("n"), F.avg(s).over(over).alias("mean"), F.var_pop(s).over(over).alias("var"))
+    at = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_at") / lookback))
+    head = block.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    both = at.withColumn("_tail", sums(tail)).withColumn("_head", sums(head)).withColumn("_tail", F.lag("_tail", lookback).over(Window.partitionBy(*by).orderBy("_at")))
+    part = lambda side, name: F.coalesce(F.col(side)[name], F.lit(0))
+    (n1, m1, v1), (n2, m2, v2) = ([part(side, x) for x in ("n", "mean", "var")] for side in ("_tail", "_head"))
+    n = n1 + n2
+    mean = F.when(n1 == 0, m2).when(n2 == 0, m1).otherwise(m1 + (m2 - m1) * n2 / n)
+    square = n1 * v1 + n2 * v2 + F.when((n1 > 0) & (n2 > 0), (m2 - m1) * (m2 - m1) * n1 * n2 / n).otherwise(0.0)
+    std = F.when(n > 1, F.sqrt(square / (n - 1)))
+    return both.withColumn("rolling_z", F.when(n >= least, (s - mean) / (std + 1e-6))).drop("_at", "_block", "_tail", "_head")
 
 
 def recent(df: DataFrame, order: list[Column], n: int, by: list[str] | None = None) -> DataFrame:

@@ -364,3 +364,27 @@ def test_events_of_a_date_share_their_window(spark):
         top = plan[: plan.index("Aggregate")]
         assert "event_id" in top and "post_id" not in top and "sentiment" not in top
         assert out.count() == 5000
+
+
+def test_rolling_zscore_against_brute_force(spark):
+    """Blocks of the lookback, null scores, long constant runs, and no frame that moves over its rows one by one."""
+    rng = random.Random(5)
+    rows = [(i, "AB"[i % 5 == 0], day(i // 3), None if rng.random() < 0.1 else 0.07 if 100 < i < 160 else rng.randrange(-100, 101) / 100) for i in range(260)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "event_id long, ticker string, date date, raw_score double")
+    for lookback, least in ((20, 8), (7, 2)):
+        want = {}
+        for name in "AB":
+            own = [r for r in rows if r[1] == name]
+            for at, (key, _, _, s) in enumerate(own):
+                seen = [x for _, _, _, x in own[max(0, at - lookback) : at] if x is not None]
+                want[key] = None
+                if len(seen) >= least and s is not None:
+                    mean = sum(seen) / len(seen)
+                    std = math.sqrt(sum((x - mean) ** 2 for x in seen) / (len(seen) - 1))
+                    want[key] = (s - mean) / (std + 1e-6)
+        out = S.rolling_zscore(df, ["ticker"], ["date", "event_id"], lookback=lookback, least=least)
+        got = {r.event_id: r.rolling_z for r in out.collect()}
+        assert got.keys() == want.keys() and {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+        assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None}, rel=1e-6, abs=1e-6)
+        assert f"-{lookback}, -1" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.columns == [*df.columns, "rolling_z"]
