@@ -93,25 +93,65 @@ def dictionary_scores(text: Column, positive: list[str], negative: list[str]) ->
     )
 
 
+def group_hits(text: Column, groups: dict[str, tuple[float, list[str]]]) -> Column:
+    """struct<group: array<struct<term,at>>>: the words of each group that the text has and where each is first found.
+    It depends on the text alone, so a text that many posts share is searched once."""
+    listed = {n: F.array(*[F.lit(t) for t in terms]) for n, (_, terms) in groups.items()}
+
+    def placed(low: Column, words: Column, x: Column) -> Column:
+        return F.transform(F.array_intersect(x, words), lambda t: F.struct(t.alias("term"), F.instr(low, t).alias("at")))
+
+    # The lower-cased text and its words are bound to variables, so that a text is split once for all groups.
+    def found(low: Column) -> Column:
+        return F.get(F.transform(F.array(F.split(low, WORD_SPLIT)), lambda w: F.struct(*[placed(low, w, x).alias(n) for n, x in listed.items()])), F.lit(0))
+
+    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), found), F.lit(0))
+
+
+def hits_behind(lead: Column, hits: Column, groups: dict[str, tuple[float, list[str]]]) -> Column:
+    """``group_hits`` of the lead and the text behind it, from those of the text; the lead is empty or ends in a space."""
+    low = F.lower(lead)
+    none = F.array().cast("array<struct<term:string,at:int>>")
+
+    def of(name: str, terms: list[str]) -> Column:
+        own = F.array_intersect(F.array(*[F.lit(t) for t in terms]), F.split(low, WORD_SPLIT))
+        first = lambda t: F.instr(low, t)
+        there = F.coalesce(hits.getField(name), none)
+        here = F.transform(own, lambda t: F.struct(t.alias("term"), first(t).alias("at")))
+        rest = F.transform(
+            F.filter(there, lambda h: ~F.array_contains(own, h["term"])),
+            lambda h: F.struct(h["term"].alias("term"), F.when(first(h["term"]) > 0, first(h["term"])).otherwise(h["at"] + F.length(lead)).alias("at")))
+        return F.when(lead.isNull(), none).when(lead == "", there).otherwise(F.concat(here, rest)).alias(name)
+
+    return F.struct(*[of(n, terms) for n, (_, terms) in groups.items()])
+
+
+def names_found(text: Column, names: Column) -> Column:
+    """array<struct<name,at>> of those of the names, in either case, that the text has, and where each is first found."""
+    up = F.upper(F.coalesce(text, F.lit("")))
+    placed = F.get(F.transform(F.array(up), lambda u: F.transform(names, lambda t: F.struct(t.alias("name"), F.instr(u, F.upper(t)).alias("at")))), F.lit(0))
+    return F.filter(placed, lambda x: x["at"] > 0)
+
+
 def relevance(df: DataFrame, groups: dict[str, tuple[float, list[str]]], text: str = "text", ticker: str | None = "ticker") -> DataFrame:
     """``df`` plus relevance and relevance_category. Each category scores min(hits / 3, 1) times its
     weight; several categories lift the best by 1.2, a ticker within 50 characters of a hit by 1.3."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    listed = {n: F.array(*[F.lit(t) for t in terms]) for n, (_, terms) in groups.items()}
-    # The words are bound to a variable, so that a text is split once for all groups.
-    found = F.get(F.transform(F.array(F.split(low, WORD_SPLIT)), lambda w: F.struct(*[F.array_intersect(x, w).alias(n) for n, x in listed.items()])), F.lit(0))
-    out = df.withColumn("_r", found)
-    hit = {n: F.col("_r").getField(n) for n in groups}
+    at = F.instr(F.upper(F.coalesce(F.col(text), F.lit(""))), F.upper(F.col(ticker))) if ticker else None
+    return weigh_hits(df.withColumn("_r", group_hits(F.col(text), groups)), groups, F.col("_r"), at).drop("_r")
+
+
+def weigh_hits(df: DataFrame, groups: dict[str, tuple[float, list[str]]], hits: Column, at: Column | None) -> DataFrame:
+    """``relevance`` from the hits of a text and the place of the ticker in it (0: nowhere)."""
+    hit = {n: hits.getField(n) for n in groups}
     score = {n: F.least(F.size(hit[n]) / 3, F.lit(1.0)) * w for n, (w, _) in groups.items()}
     best = F.greatest(*score.values())
     several = sum(((F.size(hit[n]) > 0).cast("int") for n in groups), F.lit(0)) > 1
     value = F.when(several, F.least(best * 1.2, F.lit(1.0))).otherwise(best)
-    if ticker:
-        at = F.instr(F.upper(F.coalesce(F.col(text), F.lit(""))), F.upper(F.col(ticker)))
-        near = F.exists(F.concat(*hit.values()), lambda t: F.abs(at - F.instr(low, t)) < 50)
+    if at is not None:
+        near = F.exists(F.concat(*hit.values()), lambda h: F.abs(at - h["at"]) < 50)
         value = F.when((at > 0) & near, F.least(value * 1.3, F.lit(1.0))).otherwise(value)
     name = F.coalesce(*[F.when((s == best) & (s > 0), F.lit(n)) for n, s in score.items()], F.lit("general"))
-    return out.withColumn("relevance", value).withColumn("relevance_category", name).drop("_r")
+    return df.withColumn("relevance", value).withColumn("relevance_category", name)
 
 
 def engagement(score: Column, comments: Column, karma: Column) -> Column:

@@ -68,28 +68,29 @@ def source_agreement(df: DataFrame, group: list[str], dead: float = 0.01) -> Dat
     return means.groupBy(*group).agg(n.alias("n_sources"), F.when(n < 2, F.lit(0.0)).otherwise(F.round(most / n, 3)).alias("source_agreement"))
 
 
-def score_news(df: DataFrame, least: int = 20) -> DataFrame:
-    """English news of a minimal length, with sentiment (given, else from tone) and quality."""
+def score_news(df: DataFrame, least: int = 20, length: Column | None = None) -> DataFrame:
+    """English news of a minimal length, with sentiment (given, else from tone) and quality. ``length`` is that of the
+    trimmed text where it is known, so that the text need not be there."""
     from eventalpha.functions.lexicon import blend
 
     tone = F.greatest(F.least(F.col("tone") / 10, F.lit(1.0)), F.lit(-1.0))
     known = F.array(*[F.lit(x) for x in REPUTABLE])
     reputation = F.when(F.exists(known, lambda x: F.contains(F.coalesce("domain", F.lit("")), x)), F.lit(0.9)).otherwise(F.lit(0.5))
     return (
-        df.filter(F.lower(F.coalesce("language", F.lit(""))).isin("", "english")).filter(F.length(F.trim("text")) >= least)
+        df.filter(F.lower(F.coalesce("language", F.lit(""))).isin("", "english")).filter((F.length(F.trim("text")) if length is None else length) >= least)
         .withColumn("sentiment", F.coalesce("sentiment", tone, F.lit(0.0)))
         .withColumn("quality", blend([(0.4, F.col("relevance")), (0.3, reputation), (0.3, F.abs("sentiment"))]))
     )
 
 
-def score_messages(df: DataFrame, least: int = 10) -> DataFrame:
-    """Messages with a user's own label in JSON, as sentiment where no score is given."""
+def score_messages(df: DataFrame, least: int = 10, length: Column | None = None) -> DataFrame:
+    """Messages with a user's own label in JSON, as sentiment where no score is given; ``length`` as in ``score_news``."""
     from eventalpha.functions.lexicon import blend
 
     basic = F.get_json_object("entities", "$.sentiment.basic")
     label = F.when(basic == "Bullish", F.lit(0.5)).when(basic == "Bearish", F.lit(-0.5)).otherwise(F.lit(0.0))
     return (
-        df.filter(F.length(F.trim("text")) >= least)
+        df.filter((F.length(F.trim("text")) if length is None else length) >= least)
         .withColumn("sentiment", F.coalesce("sentiment", label))
         .withColumn("quality", blend([(0.3, F.col("relevance")), (0.3, F.least(F.col("likes") / 20, F.lit(1.0))), (0.4, F.abs("sentiment"))]))
     )

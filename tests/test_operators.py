@@ -388,3 +388,25 @@ def test_rolling_zscore_against_brute_force(spark):
         assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None}, rel=1e-6, abs=1e-6)
         assert f"-{lookback}, -1" not in out._jdf.queryExecution().executedPlan().toString()
         assert out.columns == [*df.columns, "rolling_z"]
+
+
+def test_relevance_of_shared_texts(spark, tmp_path):
+    """Hits of a text, searched once, give what its posts' whole texts give; texts do not pass the join."""
+    from eventalpha.plans import text_queries as TQ
+    from eventalpha.plans.base import posts, posts_text
+
+    rng = random.Random(6)
+    words = ["the", "of", "und", "and", "THE", "t03", "T07", "xt11y", "other", "le", "que", "der", "therefore", "x" * 30]
+    texts = [None, "", "   ", " t03", "and  ", *[" ".join(rng.choices(words, k=rng.choice([2, 5, 30]))) for _ in range(40)]]
+    spark.createDataFrame([(i + (i > 20), t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    i = F.col("id")
+    spark.range(1500).select(i.alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("ts"), F.when(i % 97 != 5, i * 31 % 1013).alias("user_id"), F.lit("a").alias("event_type"),
+        (i % 90).cast("double").alias("value"), F.lit('{"k": 3}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    whole = posts_text(spark, str(tmp_path)).withColumn("text", F.concat(F.when(F.col("post_id") % 3 == 0, F.concat("ticker", F.lit(" "))).otherwise(""), "text"))
+    want = L.relevance(whole, TQ.GROUPS).select("post_id", "relevance", "relevance_category", F.length(F.trim("text")).alias("n_chars"))
+    shared = TQ.relevant_posts(spark, str(tmp_path)).select("post_id", "relevance", "relevance_category", "n_chars")
+    assert sorted(shared.collect()) == sorted(want.collect()) and shared.count() == posts(spark, str(tmp_path)).count()
+    for name in ("relevance", "post_quality", "news_quality", "message_quality"):
+        out = getattr(TQ, name)(spark, str(tmp_path))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "text#" not in plan[: plan.index("Join")]
