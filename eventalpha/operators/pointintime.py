@@ -62,22 +62,24 @@ def word_features(
 ) -> DataFrame:
     """ticker, as_of and, of the posts in the ``days`` before: mean score of all words (0 for unknown ones), how
     many of them score beyond the threshold, and in how many positive and negative posts each such word stands.
-    ``texts`` (doc, tokens) has a text once, however many posts share it; ``scores`` is a ``score_table``."""
-    daily = _daily(posts, doc, ts, high)
+    ``texts`` (doc, tokens) has a text once, however many posts share it; ``scores`` is a ``score_table``.
+
+    A text is scored once for each date, and posts meet its sums, not its words: the work is texts times words times
+    dates of the calendar, plus posts. Texts are dealt out once, whole, so what is summed up of one stays in a task
+    if the scores are small enough to be sent to all."""
     windows = _windows(events, days, date)
-    sized = texts.select(doc, F.size(tokens).alias("_n"))
-    totals = daily.join(sized, doc).groupBy("ticker", "day").agg(F.sum(F.col("k") * F.col("_n")).alias("_total"))
-    totals = windows.join(totals, ["ticker", "day"]).groupBy("ticker", "as_of").agg(F.sum("_total").alias("_total"))
-    counts = texts.select(doc, F.explode(tokens).alias("word")).groupBy(doc, "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(scores.select("word").distinct(), "word", "left_semi")
-    words = daily.join(counts, doc).groupBy("ticker", "day", "word").agg(F.sum(F.col("k") * F.col("n")).alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"))
+    near = windows.join(_daily(posts, doc, ts, high), ["ticker", "day"]).groupBy("ticker", "as_of", doc).agg(*[F.sum(x).alias(x) for x in ("k", "up", "down")])
+    dealt = texts.select(doc, tokens).repartition(doc)
+    counts = dealt.select(doc, F.explode(tokens).alias("word")).groupBy(doc, "word").agg(F.count(F.lit(1)).alias("n"))
     c, n = F.col("corr"), F.col("n")
-    where = lambda side, x: F.coalesce(F.sum(F.when(side, F.col(x))), F.lit(0))
     best, worst = c > threshold, c < -threshold
-    scored = windows.join(words, ["ticker", "day"]).join(scores.select("as_of", "word", "corr"), ["as_of", "word"]).groupBy("ticker", "as_of").agg(
-        F.sum(c * n).alias("_s"), where(best, "n").alias("n_best_words"), where(worst, "n").alias("n_worst_words"), where(best, "up").alias("best_positive"),
-        where(worst, "up").alias("worst_positive"), where(best, "down").alias("best_negative"), where(worst, "down").alias("worst_negative"))
-    out = totals.join(scored, ["ticker", "as_of"], "left").withColumn("word_score", F.try_divide(F.col("_s"), F.col("_total")))
+    of_text = counts.join(scores.select("as_of", "word", "corr"), "word").groupBy(doc, "as_of").agg(
+        F.sum(c * n).alias("_c"), F.sum(F.when(best, n)).alias("_nb"), F.sum(F.when(worst, n)).alias("_nw"), F.count_if(best).alias("_b"), F.count_if(worst).alias("_w"))
+    joined = near.join(texts.select(doc, F.size(tokens).alias("_n")), doc).join(of_text, [doc, "as_of"], "left")
+    times = lambda x, y: F.coalesce(F.sum(F.col(x) * F.col(y)), F.lit(0))
+    out = joined.groupBy("ticker", "as_of").agg(
+        F.try_divide(F.sum(F.col("k") * F.col("_c")), F.sum(F.col("k") * F.col("_n"))).alias("word_score"), times("k", "_nb").alias("n_best_words"), times("k", "_nw").alias("n_worst_words"),
+        times("up", "_b").alias("best_positive"), times("up", "_w").alias("worst_positive"), times("down", "_b").alias("best_negative"), times("down", "_w").alias("worst_negative"))
     return out.select("ticker", "as_of", *NO_WORDS).fillna(NO_WORDS)
 
 

@@ -103,3 +103,23 @@ def test_empty_tables(spark, tables):
     _, _, events = tables
     got = features(spark, [], [], events)[1].collect()
     assert len(got) == len(events) and all(r.word_score == 0.0 and r.dict_positive == 0 for r in got)
+
+
+def test_posts_do_not_meet_words(spark, tables):
+    """Rows joined of many posts of one long text: its words once for a date, not once for a post's ticker and day."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, day(0), words, 0.01 * i) for i in range(4)]
+    posts = [(i, f"T{i % 40}", datetime.datetime.combine(day(i // 40 % 7), datetime.time()), 0.3, 0) for i in range(1120)]
+    d, p, e = frames(spark, docs, posts, [(i, f"T{i}", day(7), None) for i in range(40)])
+    scores = PIT.score_table(d, "w", "r", "date", [day(7)], 1)
+    out = PIT.word_features(p, d, "w", e, scores)
+    rows = out.collect()
+    assert len(rows) == 40 and all(r.n_best_words == r.n_worst_words == r.best_positive == 0 and r.word_score == pytest.approx(0.0, abs=1e-9) for r in rows)
+
+    def most(plan):
+        own = [plan.metrics().get("numOutputRows").get().value()] if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows") else []
+        inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else []
+        children = plan.children()
+        return max([0, *own, *[most(x) for x in inner], *[most(children.apply(i)) for i in range(children.size())]])
+
+    assert 0 < most(out._jdf.queryExecution().executedPlan()) <= 4 * 400
