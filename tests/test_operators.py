@@ -123,6 +123,20 @@ def test_interval_join_edges_and_brute_force(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_interval_join_meets_lists_of_events(spark):
+    """Events of a ticker and date reach the join as lists of bounded length, and each comes out with each post once."""
+    at = dt.datetime(2024, 1, 20)
+    p = spark.createDataFrame([(i, "A", at + dt.timedelta(hours=i)) for i in range(100)], "post_id long, ticker string, ts timestamp_ntz")
+    e = spark.range(9000).select(F.col("id").alias("event_id"), F.lit("A").alias("ticker"), F.lit(at.date()).alias("event_date"))
+    e = e.union(e.filter("event_id = 7")).union(e.select("event_id", F.lit("B"), "event_date")).union(e.select("event_id", F.lit(None), "event_date"))
+    sizes = J.listed(e.filter("ticker = 'A'"), ["ticker", "event_date"]).select(F.size("_listed")).collect()
+    assert len(sizes) == 3 and sum(n for n, in sizes) == 9001 and max(n for n, in sizes) < 1.2 * J.LISTED
+    joined = J.interval_join(p, e, 10, 3, digits=6)
+    assert set(joined.columns) == {"ticker", "post_id", "ts", "event_id", "event_date", "days", "day"}
+    assert joined.count() == 73 * 9001 and joined.filter("event_id = 7").count() == 146
+    assert {(r.post_id, r.days) for r in joined.filter("event_id = 8").collect()} == {(i, round(i / 24, 6)) for i in range(73)}
+
+
 def test_asof_before_first_on_gap_and_null(spark):
     prices = spark.createDataFrame([("A", day(5), 10.0), ("A", day(7), None), ("A", day(9), 12.0)], "ticker string, date date, close double")
     ask = spark.createDataFrame([(1, "A", day(1)), (2, "A", day(5)), (3, "A", day(8)), (4, "A", day(30)), (5, "Z", day(9))], "id long, ticker string, date date")
