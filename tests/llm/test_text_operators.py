@@ -818,6 +818,42 @@ def test_offered_partners_are_the_nearest_of_other_components():
     assert set(zip(*(x.tolist() for x in NC.partners(rows, 0, 150)))) == {(i, j) for i, j in every if min(rows[3][i], rows[3][j]) < 3}
 
 
+def test_near_copies_without_any_candidate_from_the_sort(spark, monkeypatch):
+    """Whatever window and offers drop, the rest finds: here they drop all, and lists are dealt into blocks."""
+    from eventalpha.llm import near_copies as NC
+
+    rng = random.Random(77)
+    base, other = prose(rng, 60).split(), prose(rng, 200).split()
+    rows = [(i, prose(rng, rng.randint(1, 90))) for i in range(1000, 1150)]
+    for i in range(240):
+        w = list(base if i % 3 else other)
+        for at in rng.sample(range(len(w)), rng.randint(0, 6)):
+            w[at] = f"edit{rng.random()}"
+        rows.append((i, " ".join(w[: rng.randint(len(w) - 8, len(w))])))
+    rows += [(2000, ""), (2001, None), (2002, "one two"), (2003, "One  two"), (5, rows[155][1])]
+    sets = {i: NC._shingles(t)[1] for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            x, y = set(sets[a]), set(sets[b])
+            if a < b and (x == y or len(x & y) >= 0.8 * len(x | y)):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    want = {i: find(i) for i in sets}
+    assert len(set(want.values())) > 200 and sum(want[i] != i for i in want) > 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(NC, "families", lambda nodes: [])
+    for block in (NC.BLOCK, 7):
+        monkeypatch.setattr(NC, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in NC.near_copies(df).collect()} == want
+
+
 def test_near_dedup_of_a_dense_group_against_brute_force(spark, tmp_path):
     """Copies with more and more edits, so that links end at every similarity; no link is unverified."""
     from eventalpha.llm import near_copies as NC
