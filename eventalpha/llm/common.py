@@ -52,6 +52,16 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on in this session Python gets at most ``most`` bytes of rows at once, and a row more; a smaller limit of the
+    caller's stays. Spark's own limit (64 MB) costs an executor up to twice that for each task in its buffers, and again
+    in each Python worker, which keeps it for the next stage."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= most:
+        spark.conf.set(key, f"{most}b")
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -910,3 +910,47 @@ def test_pipeline_edges(spark, tmp_path):
     assert sum(n for (i, _), n in near.items() if i == 3) == 2
     left = [(r.doc_id, r.text) for r in pipeline.decontaminate(spark, df, d).collect()]
     assert sorted(left, key=str) == sorted([x for x in texts if item not in (x[1] or "")], key=str)
+
+
+def test_pipeline_hands_python_little_at_once(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        pipeline.encode(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(tmp_path))
+        wide = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), 8000).alias("text"))
+        found = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 16_000_000 and max(found) < 5_000_000
+        spark.conf.set(key, "1m")  # a smaller limit stays
+        pipeline.encode(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(tmp_path))
+        assert spark.conf.get(key) in ("1m", "1048576b")
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_lists_of_common_shingles_are_made_in_portions():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from eventalpha.llm import near_copies as NC
+
+    class Shared:  # each shingle's list has 50 blocks
+        value = np.arange(1000), np.full(1000, 50 * NC.BLOCK)
+
+    ids, keys = np.arange(400), [np.arange(i, i + 100) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(np.full(400, 500, np.int32)), pa.array(keys)], names=["node", "component", "shingles", "keys"])
+    tracemalloc.start()
+    n = largest = 0
+    for part in NC._listed(Shared)(iter([batch])):
+        n, largest = n + part.num_rows, max(largest, part.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 * 100 * 50 and largest <= NC.PORTION and peak < 40e6, (n, largest, peak)
