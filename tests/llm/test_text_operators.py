@@ -954,3 +954,32 @@ def test_lists_of_common_shingles_are_made_in_portions():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 400 * 100 * 50 and largest <= NC.PORTION and peak < 40e6, (n, largest, peak)
+
+
+def test_texts_that_share_a_phrase_by_chance_are_not_verified(spark, monkeypatch):
+    """Each text shares one phrase with each other one, so all pairs meet in a list, and only the similar ones are verified;
+    among these are sets of few shingles, that have less in common than is asked of others."""
+    from eventalpha.llm import near_copies as NC
+
+    rng = random.Random(12)
+    words = [[f"w{rng.random()}" for _ in range(100)] for _ in range(60)]
+    for i in range(60):
+        for j in range(i):  # the phrase of i and j, apart from others
+            phrase = [f"p{i}.{j}.{k}" for k in range(5)]
+            words[i] += phrase
+            words[j] += phrase
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    rows += [(100 + i, " ".join(w[:-2])) for i, w in enumerate(words[:20])]
+    short = [f"s{i}" for i in range(12)]
+    rows += [(200 + n, " ".join(short[:n])) for n in (5, 6, 8, 9, 10, 11, 12)]
+    sets = {i: set(NC._shingles(t)[1]) for i, t in rows}
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(i, 100 + i) for i in range(20)} < similar and {(208, 209), (209, 210), (210, 211), (211, 212)} < similar
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = df.mapInArrow(NC._fingerprints, "doc_id long, low long, high long, words long, size long")
+    standing = prints.select(F.col("doc_id").alias("node"), "words", F.col("doc_id").alias("component"))
+    for block in (NC.BLOCK, 7):
+        monkeypatch.setattr(NC, "BLOCK", block)
+        got = [(r.a, r.b) for r in NC.rest_pairs(df, standing, len(rows)).collect()]
+        assert len(got) == len(set(got)) and similar <= set(got)
+        assert len(got) < len(similar) + 20, len(got)
