@@ -976,10 +976,34 @@ def test_texts_that_share_a_phrase_by_chance_are_not_verified(spark, monkeypatch
     similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert {(i, 100 + i) for i in range(20)} < similar and {(208, 209), (209, 210), (210, 211), (211, 212)} < similar
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    prints = df.mapInArrow(NC._fingerprints, "doc_id long, low long, high long, words long, size long")
-    standing = prints.select(F.col("doc_id").alias("node"), "words", F.col("doc_id").alias("component"))
+    prints = df.mapInArrow(NC._fingerprints, "doc_id long, low long, high long, words long, size long, sketch binary")
+    standing = prints.select(F.col("doc_id").alias("node"), "words", "size", "sketch", F.col("doc_id").alias("component"))
     for block in (NC.BLOCK, 7):
         monkeypatch.setattr(NC, "BLOCK", block)
         got = [(r.a, r.b) for r in NC.rest_pairs(df, standing, len(rows)).collect()]
         assert len(got) == len(set(got)) and similar <= set(got)
         assert len(got) < len(similar) + 20, len(got)
+
+
+def test_texts_that_share_a_passage_are_not_verified(spark):
+    """All share a passage of a quarter of their shingles, that no sample shows: pairs by their lists, not by their sketches."""
+    from eventalpha.llm import near_copies as NC
+
+    rng = random.Random(13)
+    passage = [f"q{i}" for i in range(60)]
+    words = [[f"w{rng.random()}" for _ in range(180)] + passage for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, " ".join(w[20 - i :])) for i, w in enumerate(words[:20])]
+    sets = {i: set(NC._shingles(t)[1]) for i, t in rows}
+    prints = {i: NC.fingerprint(t) for i, t in rows}
+    for a in sets:
+        for b in sets:
+            x, y = (np.frombuffer(prints[k][4], np.uint8) for k in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(sets[a] ^ sets[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(i, p[2] - (p[2] >> 63 << 64), p[3], p[4], i) for i, p in prints.items()], "node long, words long, size long, sketch binary, component long")
+    lone = np.zeros(0, np.int64), np.zeros(0, np.int64)  # no shingle is known to be common
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(NC, "common_shingles", lambda docs, n: lone)
+        got = {(r.a, r.b) for r in NC.rest_pairs(df, table, len(rows)).collect()}
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(i, 100 + i) for i in range(20)} <= similar <= got and len(got) < len(similar) + 20, (len(got), len(similar))
