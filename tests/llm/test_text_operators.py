@@ -1007,3 +1007,39 @@ def test_texts_that_share_a_passage_are_not_verified(spark):
         got = {(r.a, r.b) for r in NC.rest_pairs(df, table, len(rows)).collect()}
     similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert {(i, 100 + i) for i in range(20)} <= similar <= got and len(got) < len(similar) + 20, (len(got), len(similar))
+
+
+def test_near_dedup_judges_each_text_of_an_id(spark, tmp_path):
+    """Ids with several texts: each text is a document, which has copies, is one, or stands alone."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(41)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    near = lambda t: t + " and"
+    rows = [(1, a), (1, b), (0, near(a)), (2, near(b)), (3, c), (3, near(c)), (3, c), (4, d), (4, None), (4, ""), (5, None), (None, near(d))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, df, str(tmp_path)).collect()), key=str)
+    assert len(kept) == 5 and {i for i, _ in kept} == {0, 1, 3, 4}
+    assert (0, near(a)) in kept and (1, b) in kept and (4, d) in kept  # of each group the least id, and b although id 1 has a copy of 0 too
+    assert sum(i == 3 for i, _ in kept) == 1 and sum(not t for _, t in kept) == 1
+
+
+def test_a_dense_group_is_dealt_once(spark, monkeypatch):
+    """Links of a large group that come in one by one bring no round each, in which all its nodes are dealt again."""
+    from eventalpha.llm import near_copies as NC
+
+    rng = random.Random(31)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for at in rng.sample(range(120), i % 8):
+            w[at] = f"edit{rng.random()}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = []
+    deal = NC._deal
+    monkeypatch.setattr(NC, "_deal", lambda chosen: dealt.append(1) or deal(chosen))
+    got = {r.doc_id: r.component_id for r in NC.near_copies(df).collect()}
+    assert len(dealt) == 1
+    dealt.clear()
+    assert {r.doc_id: r.component_id for r in NC.near_copies(df, rounds=9).collect()} == got and len(dealt) > 1
