@@ -137,6 +137,17 @@ def test_interval_join_meets_lists_of_events(spark):
     assert {(r.post_id, r.days) for r in joined.filter("event_id = 8").collect()} == {(i, round(i / 24, 6)) for i in range(73)}
 
 
+def test_interval_join_rows_of_a_list_recur_post_by_post(spark):
+    """Rows come out by day and list, so that a column of events written from them repeats itself."""
+    at = dt.datetime(2024, 1, 20)
+    random.seed(3)
+    p = spark.createDataFrame([(i, random.choice("AB"), at + dt.timedelta(hours=random.randint(-200, 70))) for i in range(600)], "post_id long, ticker string, ts timestamp_ntz")
+    e = spark.createDataFrame([(i, "AB"[i % 2], (at + dt.timedelta(days=i // 2 % 3)).date()) for i in range(24)], "event_id long, ticker string, event_date date")
+    rows = [r[:] for r in J.interval_join(p.repartition(7), e, 10, 3).select("ticker", "day", "event_date", "post_id").collect()]
+    blocks = [k for k, before in zip(rows, [None, *rows]) if before is None or k[:3] != before[:3]]
+    assert len(rows) > 6000 and len(blocks) == len({r[:3] for r in rows}) < 90
+
+
 def test_asof_before_first_on_gap_and_null(spark):
     prices = spark.createDataFrame([("A", day(5), 10.0), ("A", day(7), None), ("A", day(9), 12.0)], "ticker string, date date, close double")
     ask = spark.createDataFrame([(1, "A", day(1)), (2, "A", day(5)), (3, "A", day(8)), (4, "A", day(30)), (5, "Z", day(9))], "id long, ticker string, date date")
