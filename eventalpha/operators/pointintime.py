@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventalpha.sources.tables import scratch
+
 
 def _known(dates: list[datetime.date], day: str, following: Column) -> Column:
     """The dates on which what was known up to ``day`` is the latest: after it, up to the day that follows."""
@@ -44,6 +47,9 @@ NO_WORDS = {"word_score": 0.0, "n_best_words": 0, "n_worst_words": 0, "best_posi
 NO_TERMS = {"dict_positive": 0, "dict_negative": 0, "dict_polarity": 0.0, "dict_subjectivity": 0.0}
 
 
+PORTION = 1 << 20  # scores that go to all tasks at once, some 30 MB
+
+
 def _windows(events: DataFrame, days: int, date: str) -> DataFrame:
     """(ticker, as_of, day) for the days before each date that a ticker has an event on; events of a ticker and
     date share their window."""
@@ -65,20 +71,29 @@ def word_features(
     ``texts`` (doc, tokens) has a text once, however many posts share it; ``scores`` is a ``score_table``.
 
     A text is scored once for each date, and posts meet its sums, not its words: the work is texts times words times
-    dates of the calendar, plus posts. Texts are dealt out once, whole, so what is summed up of one stays in a task
-    if the scores are small enough to be sent to all."""
-    windows = _windows(events, days, date)
-    near = windows.join(_daily(posts, doc, ts, high), ["ticker", "day"]).groupBy("ticker", "as_of", doc).agg(*[F.sum(x).alias(x) for x in ("k", "up", "down")])
-    dealt = texts.select(doc, tokens).repartition(doc)
-    counts = dealt.select(doc, F.explode(tokens).alias("word")).groupBy(doc, "word").agg(F.count(F.lit(1)).alias("n"))
+    dates of the calendar, plus posts. The words of a text are counted and written as one row, and scores go to all tasks, in
+    portions of ``PORTION``, so a text is summed up where it is read: what is moved of it is a row of sums for each date
+    and portion. Posts are dealt out by text once, and meet the dates that they count for after that."""
+    windows = _windows(events, days, date).groupBy("ticker", "day").agg(F.collect_list("as_of").alias("_dates"))
+    near = _daily(posts.repartition(doc), doc, ts, high).join(windows, ["ticker", "day"])
+    spark, path = texts.sparkSession, scratch(texts.sparkSession, "word-counts")
+    counts = texts.select(doc, tokens).repartition(doc).select(doc, F.explode(tokens).alias("word")).groupBy(doc, "word").agg(F.count(F.lit(1)).alias("n"))
+    packed = counts.groupBy(doc).agg(F.collect_list(F.struct("word", "n")).alias("_words"))
+    packed.write.parquet(path)
+    counts = spark.read.schema(packed.schema).parquet(path).select(doc, F.inline("_words"))
+    parts = max(1, -(-scores.count() // PORTION))
+    portions = [scores.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == i).groupBy("word").agg(F.collect_list(F.struct("as_of", "corr")).alias("_scores")) for i in range(parts)]
+    met = [counts.join(F.broadcast(some), "word").select(doc, "n", F.inline("_scores")) for some in portions]  # bounded by PORTION
     c, n = F.col("corr"), F.col("n")
     best, worst = c > threshold, c < -threshold
-    of_text = counts.join(scores.select("as_of", "word", "corr"), "word").groupBy(doc, "as_of").agg(
+    of_text = reduce(DataFrame.union, met).groupBy(doc, "as_of").agg(
         F.sum(c * n).alias("_c"), F.sum(F.when(best, n)).alias("_nb"), F.sum(F.when(worst, n)).alias("_nw"), F.count_if(best).alias("_b"), F.count_if(worst).alias("_w"))
-    joined = near.join(texts.select(doc, F.size(tokens).alias("_n")), doc).join(of_text, [doc, "as_of"], "left")
-    times = lambda x, y: F.coalesce(F.sum(F.col(x) * F.col(y)), F.lit(0))
+    of_text = of_text.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("as_of", F.struct("_c", "_nb", "_nw", "_b", "_w")))).alias("_sums"))
+    joined = near.join(texts.select(doc, F.size(tokens).alias("_n")), doc).join(of_text, doc, "left")
+    joined = joined.select("ticker", "k", "up", "down", "_n", "_sums", F.explode("_dates").alias("as_of")).withColumn("_at", F.element_at("_sums", F.col("as_of")))
+    times = lambda x, y: F.coalesce(F.sum(F.col(x) * F.col("_at")[y]), F.lit(0))
     out = joined.groupBy("ticker", "as_of").agg(
-        F.try_divide(F.sum(F.col("k") * F.col("_c")), F.sum(F.col("k") * F.col("_n"))).alias("word_score"), times("k", "_nb").alias("n_best_words"), times("k", "_nw").alias("n_worst_words"),
+        F.try_divide(F.sum(F.col("k") * F.col("_at")["_c"]), F.sum(F.col("k") * F.col("_n"))).alias("word_score"), times("k", "_nb").alias("n_best_words"), times("k", "_nw").alias("n_worst_words"),
         times("up", "_b").alias("best_positive"), times("up", "_w").alias("worst_positive"), times("down", "_b").alias("best_negative"), times("down", "_w").alias("worst_negative"))
     return out.select("ticker", "as_of", *NO_WORDS).fillna(NO_WORDS)
 
@@ -93,7 +108,7 @@ def term_features(
     flags = [F.contains(low, F.lit(t.lower())).cast("int") for t in [*positive, *negative]]
     words = F.size(F.array_remove(F.split(text, r"\s+"), ""))
     seen = texts.filter(F.col(text).isNotNull()).select(doc, words.alias("_n"), *[f.alias(f"_t{i}") for i, f in enumerate(flags)])
-    daily = posts.groupBy("ticker", F.to_date(ts).alias("day"), doc).agg(F.count(F.lit(1)).alias("k")).join(seen, doc)
+    daily = posts.repartition(doc).groupBy("ticker", F.to_date(ts).alias("day"), doc).agg(F.count(F.lit(1)).alias("k")).join(seen, doc)
     terms = [f"_t{i}" for i in range(len(flags))]
     daily = daily.groupBy("ticker", "day").agg(F.sum(F.col("k") * F.col("_n")).alias("_n"), *[F.max(t).alias(t) for t in terms])
     near = _windows(events, days, date).join(daily, ["ticker", "day"]).groupBy("ticker", "as_of").agg(F.sum("_n").alias("_n"), *[F.max(t).alias(t) for t in terms])

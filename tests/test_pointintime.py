@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventalpha.operators import pointintime as PIT
+from eventalpha.sources import tables as ST
 
 DAY0 = datetime.date(2024, 3, 1)
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
@@ -123,3 +124,33 @@ def test_posts_do_not_meet_words(spark, tables):
         return max([0, *own, *[most(x) for x in inner], *[most(children.apply(i)) for i in range(children.size())]])
 
     assert 0 < most(out._jdf.queryExecution().executedPlan()) <= 4 * 400
+
+
+def test_words_are_not_moved_where_scores_are_many(spark, monkeypatch):
+    """Scores that the planner would not send to all tasks, in several portions: what is shuffled is a row for a text, date and portion."""
+    words = [[f"w{(i * 7 + k) % 500}" for k in range(400)] for i in range(40)]
+    docs = [(i, day(i % 5), w, 0.01 * i) for i, w in enumerate(words)]
+    posts = [(i, "A", datetime.datetime.combine(day(i % 9), datetime.time()), 0.3, i % 40) for i in range(200)]
+    d, p, e = frames(spark, docs, posts, [(i, "A", day(5 + i), None) for i in range(5)])
+    scores = PIT.score_table(d, "w", "r", "date", [day(5 + i) for i in range(5)], 1)
+    few = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in PIT.word_features(p, d, "w", e, scores).collect())
+    written = f"{ST.scratch(spark, 'scores')}"
+    scores.write.parquet(written)
+    scores, before = spark.read.parquet(written), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(PIT, "PORTION", 1000, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = PIT.word_features(p, d, "w", e, scores)
+        got = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == few and len(got) == 5
+
+    def moved(plan):
+        own = [plan.metrics().get("shuffleRecordsWritten").get().value()] if plan.metrics().contains("shuffleRecordsWritten") else []
+        inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else []
+        children = plan.children()
+        return max([0, *own, *[moved(x) for x in inner], *[moved(children.apply(i)) for i in range(children.size())]])
+
+    # 16,000 words and 80,000 with dates; the scores, 2,500, are dealt out by word before they are sent.
+    assert 0 < moved(out._jdf.queryExecution().executedPlan()) <= 3 * 40 * 5 * 4 < 16_000
